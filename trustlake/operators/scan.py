@@ -84,36 +84,45 @@ def assign_sequence(df: DataFrame, keys: Sequence[str], order: str, width: int =
     return with_rank(df, keys, order, "sequence_number", width)
 
 
-def equi_depth_buckets(support: DataFrame, by: Sequence[str], value: str, side: int = 32) -> DataFrame:
+def equi_depth_buckets(
+    support: DataFrame, by: Sequence[str], value: str, side: int = 32, rows_per_bucket: int = WIDTH
+) -> DataFrame:
     """Add ``_bucket`` with about equal numbers of distinct values per group.
 
-    Bounds come from a mergeable quantile sketch, so they follow the data however clustered it is. A value
-    finds its bucket in two steps of ``side`` comparisons (side * side buckets in all).
+    A group of up to ``rows_per_bucket`` values is one bucket. Larger groups are cut at bounds from a mergeable
+    quantile sketch, which follow the data however clustered it is; a value finds its bucket in two steps of
+    ``side`` comparisons (side * side buckets in all).
     """
     count = side * side
     cuts = [i / count for i in range(1, count)]
-    bounds = support.groupBy(*by).agg(F.percentile_approx(value, cuts, 20_000).alias("_bounds"))
-    keyed = bounds.select(*[F.col(b).alias(f"_g_{b}") for b in by], "_bounds")
-    test = reduce(lambda a, b: a & b, [support[b].eqNullSafe(keyed[f"_g_{b}"]) for b in by], F.lit(True))
-    coarse = F.size(F.filter("_bounds", lambda x, i: (i % side == side - 1) & (x < F.col(value))))
-    fine = F.size(F.filter(F.slice("_bounds", F.col("_coarse") * side + 1, side), lambda x: x < F.col(value)))
+    none = F.array().cast("array<double>")
+    bounds = support.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_values"), F.percentile_approx(F.col(value).cast("double"), cuts, 20_000).alias("_all")
+    )
+    bounds = bounds.select(
+        *[F.col(b).alias(f"_g_{b}") for b in by],
+        F.when(F.col("_values") > rows_per_bucket, F.col("_all")).otherwise(none).alias("_bounds"),
+    ).withColumn("_steps", F.filter("_bounds", lambda x, i: i % side == side - 1))
+    test = reduce(lambda a, b: a & b, [support[b].eqNullSafe(bounds[f"_g_{b}"]) for b in by], F.lit(True))
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col(value)))
     return (
-        support.join(keyed, test)
-        .withColumn("_coarse", coarse)
-        .withColumn(_BUCKET, (F.col("_coarse") * side + fine).cast("long"))
-        .drop("_bounds", "_coarse", *[f"_g_{b}" for b in by])
+        support.join(bounds, test)
+        .withColumn("_coarse", below("_steps"))
+        .withColumn(_BUCKET, (F.col("_coarse") * side + below(F.slice("_bounds", F.col("_coarse") * side + 1, side))).cast("long"))
+        .drop("_bounds", "_steps", "_coarse", *[f"_g_{b}" for b in by])
     )
 
 
 def order_statistics(
-    df: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, Column], side: int = 32
+    df: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, Column],
+    side: int = 32, rows_per_bucket: int = WIDTH,
 ) -> DataFrame:
     """Exact order statistics per group without sorting a group in one task.
 
     ``ranks`` maps an output name to a zero-based rank expression over ``n``. One row per group with ``n``.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
-    rows = equi_depth_buckets(counts, by, value, side)
+    rows = equi_depth_buckets(counts, by, value, side, rows_per_bucket)
     inside = W.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = rows.groupBy(*by, _BUCKET).agg(F.sum("_k").alias("_t"))
     across = W.partitionBy(*by).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
