@@ -12,10 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustlake.functions.numeric import fixed
 
 
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
 def byte_at(content: Column, pos: Column | int) -> Column:
     """One-byte slice at a zero-based position; binary ordering is unsigned."""
     pos = pos if isinstance(pos, Column) else F.lit(pos)
@@ -63,7 +68,7 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.coalesce(hamming(parse(a), parse(b)), F.lit(64))
 
 
-@F.pandas_udf("struct<first double, last double, middle double>")
+@F.pandas_udf(_doubles("first", "last", "middle"))
 def _window_deltas(windows: pd.Series) -> pd.DataFrame:
     out = np.full((len(windows), 3), np.nan)
     present = windows.notna().to_numpy()
@@ -123,7 +128,7 @@ def _features(data: bytes, dim: int) -> np.ndarray:
 
 def byte_features(content: Column, dim: int = 128) -> Column:
     """Unit vector of 64 byte-share bins, four moments and two gradient figures, padded to ``dim``."""
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def extract(data: pd.Series) -> pd.Series:
         return data.map(lambda d: _features(d or b"", dim))
 
@@ -150,12 +155,12 @@ def pixel_bytes(data: bytes) -> bytes:
     return data
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decoded_pixels(content: pd.Series) -> pd.Series:
     return content.map(lambda d: None if d is None else pixel_bytes(d))
 
 
-@F.pandas_udf("struct<luminance double, contrast double, sharpness double>")
+@F.pandas_udf(_doubles("luminance", "contrast", "sharpness"))
 def _quality(content: pd.Series) -> pd.DataFrame:
     out = np.zeros((len(content), 3))
     for i, data in enumerate(content):
@@ -181,7 +186,7 @@ def quality_scalars(content: Column, width: Column, height: Column) -> Column:
     )
 
 
-@F.pandas_udf("struct<width long, height long>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("width", "height")]))
 def _jpeg_size(head: pd.Series) -> pd.DataFrame:
     def walk(data: bytes | None) -> tuple[int, int]:
         at = 2

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fields of a record that its signature binds, in the order of the canonical text.
 BOUND_FIELDS = (
@@ -75,13 +76,13 @@ def _compact(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quantize_json(text: pd.Series) -> pd.Series:
     """Free-form JSON text with every float rounded, keys sorted."""
     return text.map(lambda t: None if t is None else _compact(quantized(json.loads(t))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _payload(rows: pd.DataFrame) -> pd.Series:
     def one(row: dict) -> str:
         body = {k: (None if row[k] is None or row[k] is pd.NA else row[k]) for k in BOUND_FIELDS}
@@ -104,7 +105,7 @@ def canonical_payload(timestamp: str = "timestamp") -> Column:
     return _payload(F.struct(*parts))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _event_text(rows: pd.DataFrame) -> pd.Series:
     def one(row: dict) -> str:
         body = {k: row[k] for k in EVENT_FIELDS}

@@ -50,10 +50,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` is small; otherwise leave the join to Spark.
+def is_small(df: DataFrame, max_rows: int = 200_000) -> bool:
+    """Count at most ``max_rows + 1`` rows of an aggregated side table (class statistics, key stores)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
 
-    Meant for aggregated side tables (class statistics, key stores), never for row-level data.
-    """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+def sized_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` is small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
