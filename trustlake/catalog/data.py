@@ -114,9 +114,9 @@ def outlier_scores(spark, sf):
     return rows.select("vec_id", "label", fixed(F.col("score"), 6).alias("score"))
 
 
-@query("class_outliers", f"WITH {OUTLIERS} SELECT vec_id, label, {fx('score', 3)} AS score FROM z WHERE score > 1.1")
+@query("class_outliers", f"WITH {OUTLIERS} SELECT vec_id, label, {fx('score', 3)} AS score FROM z WHERE score > 1.0")
 def class_outliers(spark, sf):
-    rows = C.class_outliers(features(Tables(spark, sf)), sigma=1.1, label="label")
+    rows = C.class_outliers(features(Tables(spark, sf)), sigma=1.0, label="label")
     return rows.select("vec_id", "label", fixed(F.col("score"), 3).alias("score"))
 
 

@@ -70,7 +70,7 @@ def canonical_timestamp(ts: Column) -> Column:
 
 
 def seconds_between(a: Column, b: Column) -> Column:
-    return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
+    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1e6)
 
 
 def timestamp_skew(ts: Column, now: Column, tolerance: float) -> Column:
