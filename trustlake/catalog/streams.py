@@ -109,10 +109,10 @@ def records(t: Tables):
         F.concat(F.lit('{"class_id": '), F.col("user_id") % 7, F.lit(', "confidence": 0.875}')).alias("output"),
         F.lit(None).cast("string").alias("signature"), F.when(a % 53 == 0, "0.9").otherwise("1.0").alias("schema_version"),
     )
-    signed = R.sign_records(rows, F.encode(F.concat(F.lit("secret-"), F.col("session_id").cast("long") % 10), "UTF-8"))
+    signed = R.sign_records(rows, keys(t))
     return signed.withColumn(
         "output", F.when(a % 17 == 0, F.lit('{"class_id": 1, "confidence": 0.99}')).otherwise(F.col("output"))
-    ).withColumn("binding_hmac", F.when(a % 19 == 0, None).otherwise(F.col("binding_hmac")))
+    ).withColumn("binding_hmac", F.when(a % 19 != 0, F.coalesce("binding_hmac", F.lit("unsigned"))))
 
 
 def registries(t: Tables):

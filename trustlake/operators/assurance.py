@@ -130,30 +130,61 @@ def contributing_findings(scored: DataFrame) -> DataFrame:
     return scored.where("contributes").select("session_id", "finding_id", "threat_id", "risk", "veto")
 
 
+def _marks(scored: DataFrame, coverage: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """Findings, coverage rows and bare sessions in one layout, so that each input is read once."""
+    state = F.col("state")
+    rows = scored.select(
+        "session_id", "asset_id", F.trim("threat_id").alias("analysis_id"), "dimension", "risk", "veto", "review_asked",
+        "contributes", F.lit(1).alias("finding"), F.lit(False).alias("open"), F.lit(True).alias("covered"),
+    ).unionByName(
+        coverage.select(
+            "session_id", F.trim("analysis_id").alias("analysis_id"), F.lit(0).alias("finding"),
+            state.isin("unsupported", "skipped").alias("open"), (state == "executed").alias("covered"),
+        ),
+        allowMissingColumns=True,
+    )
+    if sessions is not None:
+        assets = F.col("asset_id") if "asset_id" in sessions.columns else F.lit(None).cast("string")
+        rows = rows.unionByName(
+            sessions.select("session_id", assets.alias("asset_id"), F.lit(0).alias("finding")), allowMissingColumns=True
+        )
+    return rows
+
+
 def verdicts(
     findings: DataFrame, coverage: DataFrame, sessions: DataFrame | None = None,
     policy: AssurancePolicy = DEFAULT_POLICY, order: str = "ord",
 ) -> DataFrame:
     """One verdict per session named by a finding, a coverage row or the optional ``sessions`` table.
 
-    ``unsupported_checks`` is an array over the check catalogue; finding ids stay in the long table of
-    :func:`contributing_findings` because a session's findings have no size bound.
+    Two aggregation levels, (session, check) then session, over one union: each input is scanned once and a
+    session owning a third of the findings is reduced on the map side. ``unsupported_checks`` is an array over
+    the check catalogue; finding ids stay in the long table of :func:`contributing_findings`.
     """
     scored = score_findings(dedup_findings(findings, order), policy)
-    scores = session_scores(scored, policy)
-    still_open = open_checks(coverage, scored).groupBy("session_id").agg(
-        F.sort_array(F.collect_list("analysis_id")).alias("unsupported_checks")
+    left = lambda d: F.product(F.when(F.col("dimension") == d, F.lit(1.0) - F.col("risk")))
+    per_check = _marks(scored, coverage, sessions).groupBy("session_id", "asset_id", "analysis_id").agg(
+        F.sum("finding").alias("findings"), *[left(d).alias(d) for d in DIMENSIONS], F.max("risk").alias("max_risk"),
+        F.bool_or("veto").alias("veto"), F.bool_or("review_asked").alias("review_asked"),
+        F.count_if(F.col("veto")).alias("veto_findings"), F.count_if(F.col("contributes")).alias("contributing"),
+        F.bool_or("open").alias("open"), F.bool_or("covered").alias("covered"),
     )
-    named = scored.select("session_id").union(coverage.select("session_id"))
-    if sessions is not None:
-        named = named.union(sessions.select("session_id"))
-    joined = (
-        named.distinct().join(scores, "session_id", "left").join(still_open, "session_id", "left")
-        .withColumn("unsupported_checks", F.coalesce("unsupported_checks", F.array().cast("array<string>")))
-        .fillna(0, [*DIMENSIONS, "findings", "veto_findings", "contributing"])
-        .fillna(False, ["veto", "review_asked"])
+    # Coverage rows carry no asset, so a check of a session may still be split over two rows here.
+    per_check = per_check.groupBy("session_id", "analysis_id").agg(
+        F.min("asset_id").alias("asset_id"), *[F.product(d).alias(d) for d in DIMENSIONS], F.max("max_risk").alias("max_risk"),
+        *[F.bool_or(c).alias(c) for c in ("veto", "review_asked", "open", "covered")],
+        *[F.sum(c).alias(c) for c in ("findings", "veto_findings", "contributing")],
+    )
+    is_open = F.col("open") & ~F.col("covered") & (F.col("analysis_id") != "")
+    per_session = per_check.groupBy("session_id").agg(
+        F.min("asset_id").alias("asset_id"), F.sum("findings").alias("findings"),
+        *[fixed(clamp(F.lit(1.0) - F.coalesce(F.product(d), F.lit(1.0))), 4).alias(d) for d in DIMENSIONS],
+        F.max("max_risk").alias("max_risk"), F.coalesce(F.bool_or("veto"), F.lit(False)).alias("veto"),
+        F.coalesce(F.bool_or("review_asked"), F.lit(False)).alias("review_asked"),
+        F.sum("veto_findings").alias("veto_findings"), F.sum("contributing").alias("contributing"),
+        F.sort_array(F.collect_list(F.when(is_open, F.col("analysis_id")))).alias("unsupported_checks"),
     )
-    return joined.withColumn("composite_risk", composite_risk(policy)).select(
+    return per_session.withColumn("composite_risk", composite_risk(policy)).select(
         "session_id", "asset_id", "composite_risk",
         disposition(
             F.col("composite_risk"), F.col("veto"), F.col("review_asked"), F.size("unsupported_checks"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trustlake.functions.hashing import canonical_payload, hmac_pads, hmac_sha256
 from trustlake.functions.text import timestamp_skew
 from trustlake.operators.scan import WIDTH, with_previous, with_running
-from trustlake.session import sized_broadcast
+from trustlake.session import cut_lineage, sized_broadcast
 
 SignatureCheck = Callable[[Column, Column, Column], Column]
 STREAM = ("session_id", "signing_key_id")
@@ -39,6 +39,7 @@ def join_keys(records: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     state = key_state(F.col("status"), F.col("valid_from"), F.col("valid_until"), now)
     known = keys.select(
         F.col("key_id").alias("_kid"), state.alias("_state"), F.col("key_type").alias("_key_type"), F.col("secret").alias("_secret"),
+        hmac_pads(F.col("secret")).alias("_pads"),
     )
     joined = records.join(sized_broadcast(known), F.col("signing_key_id") == F.col("_kid"), "left")
     missing = F.coalesce(F.col("signing_key_id"), F.lit("")) == ""
@@ -59,7 +60,7 @@ def bind(records: DataFrame, verify_signature: SignatureCheck | None = None) ->
     has_sig, has_mac = F.col("signature").isNotNull(), F.col("binding_hmac").isNotNull()
     rows = records.withColumn("_payload", F.encode(canonical_payload(), "UTF-8"))
     can_mac = active & has_mac & (F.col("_key_type") == "HMAC_SECRET") & F.col("_secret").isNotNull()
-    mac_ok = F.when(can_mac, F.lower("binding_hmac") == hmac_sha256(hmac_pads(F.col("_secret")), F.col("_payload")))
+    mac_ok = F.when(can_mac, F.lower("binding_hmac") == hmac_sha256(F.col("_pads"), F.col("_payload")))
     sig_ok = F.lit(None).cast("boolean")
     if verify_signature is not None:
         can_sign = active & has_sig & F.col("_key_type").startswith("ED25519") & F.col("_secret").isNotNull()
@@ -236,10 +237,16 @@ def verify_records(
     records: DataFrame, keys: DataFrame, now: Column, models: DataFrame | None = None,
     preprocessing: DataFrame | None = None, images: DataFrame | None = None, tolerance: float = 300.0,
     verify_signature: SignatureCheck | None = None, check_links: bool = False, check_replay: bool = True,
-    nonce_from: str = "all", nonce_scope: Sequence[str] = (), width: int = WIDTH,
+    nonce_from: str = "all", nonce_scope: Sequence[str] = (), width: int = WIDTH, materialize: bool = True,
 ) -> DataFrame:
-    """Full verification of a batch. ``nonce_from='trusted'`` lets only authentic records use a nonce up."""
+    """Full verification of a batch. ``nonce_from='trusted'`` lets only authentic records use a nonce up.
+
+    The state checks read the flags several times. ``materialize`` writes the stateless result, without the
+    free-form payload columns, to the checkpoint folder so that payloads are serialised and hashed once.
+    """
     rows = stateless_checks(records, keys, now, models, preprocessing, images, tolerance, verify_signature)
+    if materialize and (check_links or check_replay):
+        rows = cut_lineage(rows.drop("inference_config", "output"))
     rows = record_links(rows, width=width) if check_links else rows.withColumn("link_broken", F.lit(False))
     rows = authentic(rows)
     if check_replay:
@@ -263,7 +270,9 @@ def records_to_findings(judged: DataFrame) -> DataFrame:
     )
 
 
-def sign_records(records: DataFrame, secret: Column) -> DataFrame:
-    """Fill ``binding_hmac`` over the canonical payload."""
+def sign_records(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """Fill ``binding_hmac`` over the canonical payload with the record's key; pads are built once per key."""
+    side = sized_broadcast(keys.select(F.col("key_id").alias("_kid"), hmac_pads(F.col("secret")).alias("_pads")))
+    rows = records.join(side, F.col("signing_key_id") == F.col("_kid"), "left")
     payload = F.encode(canonical_payload(), "UTF-8")
-    return records.withColumn("binding_hmac", hmac_sha256(hmac_pads(secret), payload))
+    return rows.withColumn("binding_hmac", hmac_sha256(F.col("_pads"), payload)).drop("_kid", "_pads")
