@@ -76,47 +76,61 @@ def _compact(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
+def _per_distinct(text: pd.Series, fn) -> pd.Series:
+    """Apply ``fn`` once per distinct text of the batch."""
+    known = {t: fn(t) for t in text.dropna().unique()}
+    return text.map(lambda t: None if t is None else known[t])
+
+
 @F.pandas_udf(T.StringType())
 def quantize_json(text: pd.Series) -> pd.Series:
     """Free-form JSON text with every float rounded, keys sorted."""
-    return text.map(lambda t: None if t is None else _compact(quantized(json.loads(t))))
+    return _per_distinct(text, lambda t: _compact(quantized(json.loads(t))))
 
 
 @F.pandas_udf(T.StringType())
-def _payload(rows: pd.DataFrame) -> pd.Series:
-    def one(row: dict) -> str:
-        body = {k: (None if row[k] is None or row[k] is pd.NA else row[k]) for k in BOUND_FIELDS}
-        body["sequence_number"] = int(body["sequence_number"])
-        for name in ("inference_config", "output"):
-            body[name] = quantized(json.loads(body[name])) if body[name] else {}
-        return _compact(body)
+def canonical_json(text: pd.Series) -> pd.Series:
+    """JSON text with sorted keys, no spaces and ASCII escapes."""
+    return _per_distinct(text, lambda t: _compact(json.loads(t)))
 
-    return pd.Series([one(r) for r in rows.to_dict("records")], dtype="object")
 
+def _body(parts: dict[str, Column], free: dict[str, Column]) -> Column:
+    """One JSON object in key order: typed parts natively, free-form parts as given JSON text.
 
-def canonical_payload(timestamp: str = "timestamp") -> Column:
-    """The exact text a record's binding covers. Free-form maps make this the one Python step."""
-    parts = []
-    for name in BOUND_FIELDS:
-        if name == "timestamp":
-            parts.append(F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(name))
-        else:
-            parts.append(F.col(name).alias(name))
-    return _payload(F.struct(*parts))
+    Only a row holding anything but printable ASCII goes through Python once more, for its escapes.
+    """
+    pieces, run = [], {}
 
+    def flush() -> None:
+        if run:
+            text = F.to_json(F.struct(*[c.alias(n) for n, c in run.items()]), {"ignoreNullFields": "false"})
+            pieces.append(F.substring(text, F.lit(2), F.length(text) - 2))
+            run.clear()
 
-@F.pandas_udf(T.StringType())
-def _event_text(rows: pd.DataFrame) -> pd.Series:
-    def one(row: dict) -> str:
-        body = {k: row[k] for k in EVENT_FIELDS}
-        body["sequence_number"] = int(body["sequence_number"])
-        body["details"] = json.loads(body["details"]) if body["details"] else {}
-        return _compact(body)
+    for name in sorted([*parts, *free]):
+        if name in parts:
+            run[name] = parts[name]
+        else:
+            flush()
+            pieces.append(F.concat(F.lit(f'"{name}":'), free[name]))
+    flush()
+    text = F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
+    odd = text.rlike("[^ -~]|\\\\u")
+    return F.coalesce(canonical_json(F.when(odd, text)), text)
 
-    return pd.Series([one(r) for r in rows.to_dict("records")], dtype="object")
+
+def canonical_payload(timestamp: str = "timestamp") -> Column:
+    """The exact text a record's binding covers."""
+    free = {n: F.coalesce(quantize_json(F.col(n)), F.lit("{}")) for n in ("inference_config", "output")}
+    parts = {n: F.col(n) for n in BOUND_FIELDS if n not in free}
+    parts["sequence_number"] = F.col("sequence_number").cast("long")
+    parts["timestamp"] = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return _body(parts, free)
 
 
 def event_payload(timestamp_text: str = "timestamp_text") -> Column:
     """Canonical text of an audit event; ``timestamp_text`` is the stored ISO form."""
-    parts = [F.col(timestamp_text if n == "timestamp" else n).alias(n) for n in EVENT_FIELDS]
-    return _event_text(F.struct(*parts))
+    free = {"details": F.coalesce(canonical_json(F.col("details")), F.lit("{}"))}
+    parts = {n: F.col(n) for n in EVENT_FIELDS if n not in free}
+    parts["timestamp"] = F.col(timestamp_text)
+    return _body(parts, free)
