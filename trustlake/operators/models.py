@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustlake.functions.geometry import grid_cell, iou
+from trustlake.functions.geometry import centre_size_delta, grid_cell
 from trustlake.functions.numeric import clamp, fixed
 from trustlake.functions.risk import distance_band
 from trustlake.operators.scan import exact_median
@@ -141,30 +141,42 @@ def detection_signature(detections: DataFrame, classes: int) -> DataFrame:
     return plain.unionByName(spatial)
 
 
-def _covered(box: Column, side: int) -> Column:
+def _slot(v: Column, side: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(side - 1, F.floor(v * side).cast("int")))
+
+
+def _covered(box: Column, side: Column) -> Column:
     """Grid cells a box touches."""
-    slot = lambda v: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(v * side).cast("int")))
-    cols = F.sequence(slot(box["x_min"]), F.greatest(slot(box["x_min"]), slot(box["x_max"])))
-    rows = F.sequence(slot(box["y_min"]), F.greatest(slot(box["y_min"]), slot(box["y_max"])))
+    span = lambda low, high: F.sequence(_slot(box[low], side), F.greatest(_slot(box[low], side), _slot(box[high], side)))
+    cols, rows = span("x_min", "x_max"), span("y_min", "y_max")
     return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: r * side + c)))
 
 
-def iou_pairs(candidate: DataFrame, reference: DataFrame, by: Sequence[str] = ("probe_id",), side: int = 8) -> DataFrame:
+def iou_pairs(
+    candidate: DataFrame, reference: DataFrame, by: Sequence[str] = ("probe_id",), side: int = 16, crowd: int = 64
+) -> DataFrame:
     """Overlapping boxes of the same probe with their IoU.
 
-    Boxes meet only in grid cells both touch, and a pair is kept in the one cell that holds the corner of its
-    intersection, so crowded images do not pair every box with every other.
+    In a probe of more than ``crowd`` boxes, boxes meet only in grid cells both touch, and a pair is kept in the
+    one cell that holds the corner of its intersection; a crowded image does not pair every box with every other.
     """
+    keys = list(by)
+    sizes = candidate.select(*by).union(reference.select(*by)).groupBy(*by).count()
+    sizes = sizes.select(*by, F.when(F.col("count") > crowd, side).otherwise(1).alias("_side"))
     a = candidate.select(*by, F.col("det_no").alias("c_no"), F.col("class_id").alias("c_class"), F.col("box").alias("c_box"))
     b = reference.select(*by, F.col("det_no").alias("r_no"), F.col("class_id").alias("r_class"), F.col("box").alias("r_box"))
-    a = a.withColumn("_cell", F.explode(_covered(F.col("c_box"), side)))
-    b = b.withColumn("_cell", F.explode(_covered(F.col("r_box"), side)))
-    slot = lambda v: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(v * side).cast("int")))
-    left = F.greatest(F.col("c_box.x_min"), F.col("r_box.x_min"))
-    top = F.greatest(F.col("c_box.y_min"), F.col("r_box.y_min"))
-    home = slot(top) * side + slot(left)
-    joined = a.join(b, [*by, "_cell"]).where(F.col("_cell") == home)
-    return joined.withColumn("iou", iou(F.col("c_box"), F.col("r_box"))).where("iou > 0").drop("_cell")
+    grid = F.col("_side")
+    a = a.join(sizes, keys).withColumn("_cell", F.explode(_covered(F.col("c_box"), grid)))
+    b = b.join(sizes, keys).withColumn("_cell", F.explode(_covered(F.col("r_box"), grid))).drop("_side")
+    # Staged columns keep each generated method small enough for the JIT.
+    edge = lambda pick, side: pick(F.col(f"c_box.{side}"), F.col(f"r_box.{side}"))
+    area = lambda box: (F.col(f"{box}.x_max") - F.col(f"{box}.x_min")) * (F.col(f"{box}.y_max") - F.col(f"{box}.y_min"))
+    joined = a.join(b, [*keys, "_cell"]).withColumns({"_left": edge(F.greatest, "x_min"), "_top": edge(F.greatest, "y_min")})
+    kept = joined.where(F.col("_cell") == _slot(F.col("_top"), grid) * grid + _slot(F.col("_left"), grid))
+    kept = kept.withColumns({"_w": edge(F.least, "x_max") - F.col("_left"), "_h": edge(F.least, "y_max") - F.col("_top")})
+    kept = kept.where("_w > 0 AND _h > 0").withColumn("_both", F.col("_w") * F.col("_h"))
+    kept = kept.withColumn("iou", F.col("_both") / (area("c_box") + area("r_box") - F.col("_both")))
+    return kept.drop("_cell", "_side", "_left", "_top", "_w", "_h", "_both")
 
 
 def _assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -222,29 +234,38 @@ def match_boxes(
         groups = connected_components(linked.select("a", "b")).select(F.col("node").alias("a"), "component")
         calm = pairs.join(crowded, list(by), "left_anti").withColumn("component", F.lit(""))
         edges = linked.join(groups, "a").select(*columns).union(calm.select(*columns))
-    fields = [edges.schema[b] for b in by]
-    schema = T.StructType([*fields, T.StructField("c_no", T.LongType()), T.StructField("r_no", T.LongType()), T.StructField("iou", T.DoubleType()),
-                           T.StructField("same_class", T.BooleanType()), T.StructField("delta", T.DoubleType())])
-    spots = ("x_min", "y_min", "x_max", "y_max")
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c_ids, r_ids = np.sort(pdf["c_no"].unique()), np.sort(pdf["r_no"].unique())
-        overlap = np.zeros((len(c_ids), len(r_ids)))
-        overlap[np.searchsorted(c_ids, pdf["c_no"]), np.searchsorted(r_ids, pdf["r_no"])] = pdf["iou"]
-        lookup = {(e.c_no, e.r_no): e for e in pdf.itertuples()}
-        out = []
-        for i, j in _assign(1.0 - overlap):
-            edge = lookup.get((c_ids[i], r_ids[j]))
-            if edge is None or 1.0 - edge.iou > max_cost:
-                continue
-            a, b = ([box[s] for s in spots] for box in (edge.c_box, edge.r_box))
-            delta = sum(
-                abs((a[k] + a[k + 2]) / 2 - (b[k] + b[k + 2]) / 2) + abs((a[k + 2] - a[k]) - (b[k + 2] - b[k])) for k in (0, 1)
-            )
-            out.append([*key[:-1], int(c_ids[i]), int(r_ids[j]), float(edge.iou), bool(edge.c_class == edge.r_class), float(delta)])
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    return edges.groupBy(*by, "component").applyInPandas(solve, schema)
+    delta = centre_size_delta(F.col("c_box"), F.col("r_box"))
+    edge = F.struct("c_no", "r_no", "iou", (F.col("c_class") == F.col("r_class")).alias("same_class"), delta.alias("delta"))
+    grouped = edges.groupBy(*by, "component").agg(F.collect_list(edge).alias("edges")).drop("component")
+    schema = T.StructType([
+        *[edges.schema[b] for b in by], T.StructField("c_no", T.LongType()), T.StructField("r_no", T.LongType()),
+        T.StructField("iou", T.DoubleType()), T.StructField("same_class", T.BooleanType()), T.StructField("delta", T.DoubleType()),
+    ])
+    names = [f.name for f in schema.fields]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, group in pdf[[*by, "edges"]].itertuples(index=False):
+                out += [[*key, *row] for row in _accepted(group, max_cost)]
+            yield pd.DataFrame(out, columns=names)
+
+    return grouped.mapInPandas(solve, schema)
+
+
+def _accepted(edges: Sequence[dict], max_cost: float) -> list[list]:
+    """Accepted pairs of one overlap group."""
+    if len(edges) == 1:
+        chosen = edges
+    else:
+        c_ids, r_ids = sorted({e["c_no"] for e in edges}), sorted({e["r_no"] for e in edges})
+        rows, cols = {v: i for i, v in enumerate(c_ids)}, {v: i for i, v in enumerate(r_ids)}
+        cost, lookup = np.ones((len(c_ids), len(r_ids))), {}
+        for e in edges:
+            at = rows[e["c_no"]], cols[e["r_no"]]
+            cost[at], lookup[at] = 1.0 - e["iou"], e
+        chosen = [lookup[at] for at in _assign(cost) if at in lookup]
+    return [[e["c_no"], e["r_no"], e["iou"], e["same_class"], e["delta"]] for e in chosen if 1.0 - e["iou"] <= max_cost]
 
 
 def match_metrics(
