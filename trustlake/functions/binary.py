@@ -34,8 +34,17 @@ def uint(content: Column, pos: int, size: int, big_endian: bool = True) -> Colum
     return F.conv(text, 16, 10).cast("long")
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated one time, however often the body looks at it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dhash(content: Column, side: int = 8) -> Column:
     """64-bit difference hash of a strided byte grid as a long; fewer than 64 bytes hash to zero."""
+    return once(content, lambda c: _dhash(c, side))
+
+
+def _dhash(content: Column, side: int) -> Column:
     cells = (side + 1) * side
     size = F.length(content)
     step = F.greatest(F.lit(1), F.floor(size / cells).cast("int"))

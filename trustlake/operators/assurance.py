@@ -157,33 +157,22 @@ def verdicts(
 ) -> DataFrame:
     """One verdict per session named by a finding, a coverage row or the optional ``sessions`` table.
 
-    Two aggregation levels, (session, check) then session, over one union: each input is scanned once and a
-    session owning a third of the findings is reduced on the map side. ``unsupported_checks`` is an array over
-    the check catalogue; finding ids stay in the long table of :func:`contributing_findings`.
+    One aggregation over one union: each input is scanned once, and a session owning a third of the findings is
+    reduced on the map side. The two sets kept per session hold check identifiers, so the check catalogue bounds
+    them; finding ids have no bound and stay in the long table of :func:`contributing_findings`.
     """
     scored = score_findings(dedup_findings(findings, order), policy)
     left = lambda d: F.product(F.when(F.col("dimension") == d, F.lit(1.0) - F.col("risk")))
-    per_check = _marks(scored, coverage, sessions).groupBy("session_id", "asset_id", "analysis_id").agg(
-        F.sum("finding").alias("findings"), *[left(d).alias(d) for d in DIMENSIONS], F.max("risk").alias("max_risk"),
-        F.bool_or("veto").alias("veto"), F.bool_or("review_asked").alias("review_asked"),
+    no = F.lit(False)
+    per_session = _marks(scored, coverage, sessions).groupBy("session_id").agg(
+        F.min("asset_id").alias("asset_id"), F.sum("finding").alias("findings"),
+        *[fixed(clamp(F.lit(1.0) - F.coalesce(left(d), F.lit(1.0))), 4).alias(d) for d in DIMENSIONS],
+        F.max("risk").alias("max_risk"), F.coalesce(F.bool_or("veto"), no).alias("veto"),
+        F.coalesce(F.bool_or("review_asked"), no).alias("review_asked"),
         F.count_if(F.col("veto")).alias("veto_findings"), F.count_if(F.col("contributes")).alias("contributing"),
-        F.bool_or("open").alias("open"), F.bool_or("covered").alias("covered"),
-    )
-    # Coverage rows carry no asset, so a check of a session may still be split over two rows here.
-    per_check = per_check.groupBy("session_id", "analysis_id").agg(
-        F.min("asset_id").alias("asset_id"), *[F.product(d).alias(d) for d in DIMENSIONS], F.max("max_risk").alias("max_risk"),
-        *[F.bool_or(c).alias(c) for c in ("veto", "review_asked", "open", "covered")],
-        *[F.sum(c).alias(c) for c in ("findings", "veto_findings", "contributing")],
-    )
-    is_open = F.col("open") & ~F.col("covered") & (F.col("analysis_id") != "")
-    per_session = per_check.groupBy("session_id").agg(
-        F.min("asset_id").alias("asset_id"), F.sum("findings").alias("findings"),
-        *[fixed(clamp(F.lit(1.0) - F.coalesce(F.product(d), F.lit(1.0))), 4).alias(d) for d in DIMENSIONS],
-        F.max("max_risk").alias("max_risk"), F.coalesce(F.bool_or("veto"), F.lit(False)).alias("veto"),
-        F.coalesce(F.bool_or("review_asked"), F.lit(False)).alias("review_asked"),
-        F.sum("veto_findings").alias("veto_findings"), F.sum("contributing").alias("contributing"),
-        F.sort_array(F.collect_list(F.when(is_open, F.col("analysis_id")))).alias("unsupported_checks"),
-    )
+        F.collect_set(F.when(F.col("open") & (F.col("analysis_id") != ""), F.col("analysis_id"))).alias("_open"),
+        F.collect_set(F.when(F.col("covered"), F.col("analysis_id"))).alias("_covered"),
+    ).withColumn("unsupported_checks", F.sort_array(F.array_except("_open", "_covered")))
     return per_session.withColumn("composite_risk", composite_risk(policy)).select(
         "session_id", "asset_id", "composite_risk",
         disposition(

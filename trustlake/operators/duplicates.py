@@ -90,8 +90,9 @@ def hamming_join(
     """Near pairs of digests: contents (not copies) whose hashes are close, ``digest_a < digest_b``.
 
     One row per pair of distinct contents. Files of equal content are exact duplicates and are looked up by digest.
+    The narrow hash table is written to the checkpoint folder first, so that file bytes are read once.
     """
-    contents = hashes.select(*by, digest, F.col(hash_col).alias("_h")).distinct()
+    contents = cut_lineage(hashes.select(*by, digest, F.col(hash_col).alias("_h")).distinct())
     pairs = hamming_pairs(contents, by, "_h", max_distance)
     left = contents.select(*by, F.col(digest).alias("_da"), F.col("_h").alias("a"))
     right = contents.select(*by, F.col(digest).alias("_db"), F.col("_h").alias("b"))
@@ -152,11 +153,13 @@ def near_duplicate_clusters(
     """Images of clusters that hold at least two different contents, with the cluster's smallest hash.
 
     The graph is over distinct hashes: all images of a hash share its component, so its size never depends on
-    how many copies exist.
+    how many copies exist. ``images`` should be narrow (ids, digest, hash): it is materialised once so that
+    file bytes are not read again by each step.
     """
     def node(h: str) -> Column:
         return F.struct(*by, h) if by else F.col(h)
 
+    images = cut_lineage(images)
     hashes = images.select(*by, F.col(hash_col).alias("h"), digest)
     sizes = hashes.distinct().groupBy(*by, "h").agg(F.count(F.lit(1)).alias("contents"))
     pairs = hamming_pairs(images, by, hash_col, max_distance)
