@@ -164,5 +164,5 @@ def verify_stream(
     """Full verification of a record stream; the clock is the processing time unless ``now`` is given."""
     rows = enrich(stream, keys, F.current_timestamp() if now is None else now, **options).drop("inference_config", "output")
     named = ~F.col("schema_bad") & (F.coalesce(F.col("signing_key_id"), F.lit("")) != "")
-    rows = rows.withColumn("_named", named)
-    return judge(flag_nonce(flag_stream(rows, check_links=check_links), ttl_ms, stores="_named")).drop("_named")
+    rows = rows.withColumn("uses_nonce", named)
+    return judge(flag_nonce(flag_stream(rows, check_links=check_links), ttl_ms, stores="uses_nonce")).drop("uses_nonce")
