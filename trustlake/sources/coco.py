@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,10 +46,36 @@ def _manifests(spark: SparkSession, root: str, nested: bool, dataset_id: str) ->
         spark.read.schema(MANIFEST).option("multiLine", "true").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json").json(root).withColumn("_file", F.col("_metadata.file_path"))
     )
+    raw = raw.unionByName(_underscored(spark, root, nested))
     dataset, inner = split_dataset(relative(F.col("_file"), root), nested, dataset_id)
     return raw.withColumn("dataset_id", dataset).withColumn("manifest", inner)
 
 
+def _underscored(spark: SparkSession, root: str, nested: bool) -> DataFrame:
+    """Manifests named ``_annotations.coco.json``, which Spark's own readers skip as hidden files.
+
+    The driver lists their names (one per split folder); tasks read and parse them.
+    """
+    jvm = spark.sparkContext._jvm
+    pattern = root.rstrip("/") + ("/*" if nested else "") + "/{" + ",".join(SPLIT_NAMES) + "}/_annotations.coco.json"
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = spark.createDataFrame([(f.getPath().toUri().toString(),) for f in found], "_file string")
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for name in pdf["_file"]:
+                system, inner = fs.FileSystem.from_uri(name)
+                with system.open_input_stream(inner) as stream:
+                    yield pd.DataFrame({"_file": [name], "_text": [stream.read().decode()]})
+
+    text = names.repartition(max(1, len(found))).mapInPandas(load, "_file string, _text string")
+    parsed = text.select("_file", F.from_json("_text", MANIFEST).alias("m"))
+    return parsed.select("m.*", "_file")
+
+
 def discover_manifests(manifests: DataFrame) -> DataFrame:
     """Manifests in use per dataset, with split and folder: split folders first, then annotations/, then the root.
 

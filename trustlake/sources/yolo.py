@@ -14,7 +14,7 @@ from trustlake.sources.files import file_listing, relative, split_dataset
 def read_label_lines(spark: SparkSession, root: str, nested: bool = False, dataset_id: str = "dataset") -> DataFrame:
     """``dataset_id, label_path, line_no, line``. A label file describes one image, so it is read whole to number its lines."""
     raw = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(root)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
         .withColumn("_file", F.col("_metadata.file_path"))
     )
     dataset, inner = split_dataset(relative(F.col("_file"), root), nested, dataset_id)

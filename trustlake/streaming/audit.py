@@ -28,8 +28,9 @@ def _text(event: dict) -> str:
 
 def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Chain one log's new events after its tip; hashing is serial within a log by its nature."""
-    rows = pdf.sort_values("ord", kind="stable").where(pdf.notna(), None).to_dict("records")
-    previous, number = rows[0]["tip_hash"] or GENESIS, int(rows[0]["tip_sequence"] if rows[0]["tip_sequence"] is not None else -1)
+    rows = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in pdf.sort_values("ord", kind="stable").to_dict("records")]
+    tip = rows[0]["tip_sequence"]
+    previous, number = rows[0]["tip_hash"] or GENESIS, -1 if tip is None else int(tip)
     for row in rows:
         number += 1
         row["sequence_number"], row["previous_event_hash"], row["schema_version"] = number, previous, "1.0"
