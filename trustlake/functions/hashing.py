@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,11 +94,13 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return _per_distinct(text, lambda t: _compact(json.loads(t)))
 
 
-def _body(parts: dict[str, Column], free: dict[str, Column]) -> Column:
-    """One JSON object in key order: typed parts natively, free-form parts as given JSON text.
+def _add_body(df: DataFrame, name: str, parts: dict[str, Column], free: dict[str, Column]) -> DataFrame:
+    """Add one JSON object in key order: typed parts natively, free-form parts as given JSON text.
 
-    Only a row holding anything but printable ASCII goes through Python once more, for its escapes.
+    Staged as columns so that the text is built once. Only a row holding anything but printable ASCII goes
+    through Python once more, for its escapes.
     """
+    staged = df.withColumns({f"_free_{n}": c for n, c in free.items()})
     pieces, run = [], {}
 
     def flush() -> None:
@@ -107,30 +109,30 @@ def _body(parts: dict[str, Column], free: dict[str, Column]) -> Column:
             pieces.append(F.substring(text, F.lit(2), F.length(text) - 2))
             run.clear()
 
-    for name in sorted([*parts, *free]):
-        if name in parts:
-            run[name] = parts[name]
+    for part in sorted([*parts, *free]):
+        if part in parts:
+            run[part] = parts[part]
         else:
             flush()
-            pieces.append(F.concat(F.lit(f'"{name}":'), free[name]))
+            pieces.append(F.concat(F.lit(f'"{part}":'), F.col(f"_free_{part}")))
     flush()
-    text = F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
-    odd = text.rlike("[^ -~]|\\\\u")
-    return F.coalesce(canonical_json(F.when(odd, text)), text)
+    staged = staged.withColumn("_text", F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}")))
+    odd = F.when(F.col("_text").rlike("[^ -~]|\\\\u"), F.col("_text"))
+    return staged.withColumn(name, F.coalesce(canonical_json(odd), F.col("_text"))).drop("_text", *[f"_free_{n}" for n in free])
 
 
-def canonical_payload(timestamp: str = "timestamp") -> Column:
-    """The exact text a record's binding covers."""
+def add_payload(df: DataFrame, name: str = "payload", timestamp: str = "timestamp") -> DataFrame:
+    """Add the exact text a record's binding covers."""
     free = {n: F.coalesce(quantize_json(F.col(n)), F.lit("{}")) for n in ("inference_config", "output")}
     parts = {n: F.col(n) for n in BOUND_FIELDS if n not in free}
     parts["sequence_number"] = F.col("sequence_number").cast("long")
     parts["timestamp"] = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return _body(parts, free)
+    return _add_body(df, name, parts, free)
 
 
-def event_payload(timestamp_text: str = "timestamp_text") -> Column:
-    """Canonical text of an audit event; ``timestamp_text`` is the stored ISO form."""
+def add_event_payload(df: DataFrame, name: str = "payload", timestamp_text: str = "timestamp_text") -> DataFrame:
+    """Add the canonical text of an audit event; ``timestamp_text`` is the stored ISO form."""
     free = {"details": F.coalesce(canonical_json(F.col("details")), F.lit("{}"))}
     parts = {n: F.col(n) for n in EVENT_FIELDS if n not in free}
     parts["timestamp"] = F.col(timestamp_text)
-    return _body(parts, free)
+    return _add_body(df, name, parts, free)

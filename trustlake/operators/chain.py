@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.constants import GENESIS
-from trustlake.functions.hashing import event_payload
+from trustlake.functions.hashing import add_event_payload
 from trustlake.operators.scan import WIDTH, with_previous, with_rank
 
 
 def row_hashes(log: DataFrame, timestamp_text: str = "timestamp_text") -> DataFrame:
     """Add ``computed_hash`` of each event's canonical text."""
-    return log.withColumn("computed_hash", F.sha2(event_payload(timestamp_text), 256))
+    return add_event_payload(log, "_payload", timestamp_text).withColumn("computed_hash", F.sha2("_payload", 256)).drop("_payload")
 
 
 def chain_checks(log: DataFrame, keys: Sequence[str] = ("log_id",), order: str = "pos", genesis: str = GENESIS, width: int = WIDTH) -> DataFrame:

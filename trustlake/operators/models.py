@@ -15,6 +15,7 @@ from trustlake.functions.geometry import centre_size_delta, grid_cell
 from trustlake.functions.numeric import clamp, fixed
 from trustlake.functions.risk import distance_band
 from trustlake.operators.scan import exact_median
+from trustlake.session import cut_lineage
 
 MIN_CONFIDENCE = 0.25
 
@@ -345,8 +346,8 @@ def mad_outlier(scores: DataFrame, by: Sequence[str], name: str = "name", value:
     """
     keys = list(by)
     v = F.col(value)
-    rows = scores.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    median = exact_median(rows, keys, value, "median")
+    rows = cut_lineage(scores.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).select(*keys, name, value))
+    median = cut_lineage(exact_median(rows, keys, value, "median"))
     away = rows.join(median.select(*keys, "median"), keys).withColumn("_away", F.abs(v - F.col("median")))
     mad = exact_median(away, keys, "_away", "mad").select(*keys, "mad")
     low = rows.groupBy(*keys).agg(F.min(value).alias("_min"), F.min_by(name, F.struct(value, name)).alias("suspect"))

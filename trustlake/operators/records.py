@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.functions.hashing import canonical_payload, hmac_pads, hmac_sha256
+from trustlake.functions.hashing import add_payload, hmac_pads, hmac_sha256
 from trustlake.functions.text import timestamp_skew
 from trustlake.operators.scan import WIDTH, with_previous, with_running
 from trustlake.session import cut_lineage, sized_broadcast
@@ -58,7 +58,7 @@ def bind(records: DataFrame, verify_signature: SignatureCheck | None = None) ->
     """
     active = F.col("key_error").isNull()
     has_sig, has_mac = F.col("signature").isNotNull(), F.col("binding_hmac").isNotNull()
-    rows = records.withColumn("_payload", F.encode(canonical_payload(), "UTF-8"))
+    rows = add_payload(records, "_payload").withColumn("_payload", F.encode("_payload", "UTF-8"))
     can_mac = active & has_mac & (F.col("_key_type") == "HMAC_SECRET") & F.col("_secret").isNotNull()
     mac_ok = F.when(can_mac, F.lower("binding_hmac") == hmac_sha256(F.col("_pads"), F.col("_payload")))
     sig_ok = F.lit(None).cast("boolean")
@@ -274,5 +274,5 @@ def sign_records(records: DataFrame, keys: DataFrame) -> DataFrame:
     """Fill ``binding_hmac`` over the canonical payload with the record's key; pads are built once per key."""
     side = sized_broadcast(keys.select(F.col("key_id").alias("_kid"), hmac_pads(F.col("secret")).alias("_pads")))
     rows = records.join(side, F.col("signing_key_id") == F.col("_kid"), "left")
-    payload = F.encode(canonical_payload(), "UTF-8")
-    return rows.withColumn("binding_hmac", hmac_sha256(F.col("_pads"), payload)).drop("_kid", "_pads")
+    rows = add_payload(rows, "_payload")
+    return rows.withColumn("binding_hmac", hmac_sha256(F.col("_pads"), F.encode("_payload", "UTF-8"))).drop("_kid", "_pads", "_payload")

@@ -95,20 +95,20 @@ def equi_depth_buckets(
     """
     count = side * side
     cuts = [i / count for i in range(1, count)]
-    none = F.array().cast("array<double>")
-    bounds = support.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_values"), F.percentile_approx(F.col(value).cast("double"), cuts, 20_000).alias("_all")
-    )
-    bounds = bounds.select(
-        *[F.col(b).alias(f"_g_{b}") for b in by],
-        F.when(F.col("_values") > rows_per_bucket, F.col("_all")).otherwise(none).alias("_bounds"),
+    keys = [F.col(b).alias(f"_g_{b}") for b in by]
+    large = support.groupBy(*by).agg(F.count(F.lit(1)).alias("_values")).where(F.col("_values") > rows_per_bucket).select(*keys)
+    match = lambda side_: reduce(lambda a, b: a & b, [support[b].eqNullSafe(side_[f"_g_{b}"]) for b in by], F.lit(True))
+    # Only large groups pay for the sketch.
+    bounds = support.join(large, match(large), "left_semi").groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), cuts, 20_000).alias("_bounds")
     ).withColumn("_steps", F.filter("_bounds", lambda x, i: i % side == side - 1))
-    test = reduce(lambda a, b: a & b, [support[b].eqNullSafe(bounds[f"_g_{b}"]) for b in by], F.lit(True))
     below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col(value)))
     return (
-        support.join(bounds, test)
-        .withColumn("_coarse", below("_steps"))
-        .withColumn(_BUCKET, (F.col("_coarse") * side + below(F.slice("_bounds", F.col("_coarse") * side + 1, side))).cast("long"))
+        support.join(bounds, match(bounds), "left")
+        .withColumn("_coarse", F.when(F.col("_bounds").isNotNull(), below("_steps")).otherwise(0))
+        .withColumn(_BUCKET, F.when(
+            F.col("_bounds").isNotNull(), F.col("_coarse") * side + below(F.slice("_bounds", F.col("_coarse") * side + 1, side))
+        ).otherwise(0).cast("long"))
         .drop("_bounds", "_steps", "_coarse", *[f"_g_{b}" for b in by])
     )
 

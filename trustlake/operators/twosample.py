@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trustlake.functions.numeric import clamp, finite, fixed, kolmogorov_p
+from trustlake.session import cut_lineage
 from trustlake.operators.scan import _BUCKET, WIDTH, equi_depth_buckets, join_buckets, with_rank
 
 
@@ -42,9 +43,10 @@ def ecdf(samples: DataFrame, by: Sequence[str], side: int = 32, rows_per_bucket:
     """Both empirical distribution functions at every support point, with the next point.
 
     Output: ``by..., v, next_v, n_ref, n_eval, f_ref, f_eval``. Cumulative counts are carried over equi-depth
-    buckets, so one huge group does not have to be sorted by a single task.
+    buckets, so one huge group does not have to be sorted by a single task. The pre-aggregated support is read
+    several times and is materialised once.
     """
-    rows = equi_depth_buckets(support(samples, by), by, "v", side, rows_per_bucket)
+    rows = equi_depth_buckets(cut_lineage(support(samples, by)), by, "v", side, rows_per_bucket)
     inside = W.partitionBy(*by, _BUCKET).orderBy("v")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     totals = rows.groupBy(*by, _BUCKET).agg(
