@@ -78,3 +78,16 @@ UNSAFE_SIGNATURES = (
     b"subprocess", b"shutil", b"cpty\n", b"csocket\n", b"curllib", b"crequests",
     b"chttp.client", b"cctypes", b"cwinreg",
 )
+
+# Wording of the verdict narrative.
+NARRATIVE = {
+    "headline": "DISPOSITION: %s | Composite Risk Score: %.4f",
+    "veto": "CRITICAL VETO TRIGGERED: %d finding(s) forced immediate quarantine: [%s].",
+    "veto_item": "%s (%s, conf: %.2f)",
+    "profile": "Dimensional Risk Profile: %s.",
+    "contributing": "Contributing Findings (%d): [%s].",
+    "threat_item": "%s (count=%d)",
+    "none": "Contributing Findings: None (zero threat signals detected).",
+    "incomplete": "Verification Coverage INCOMPLETE: %d check(s) unperformed/skipped: %s. Asset cannot receive ACCEPT disposition.",
+    "complete": "Verification Coverage: COMPLETE. All requested checks executed and evaluated.",
+}

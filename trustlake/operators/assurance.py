@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trustlake.constants import (
-    DIMENSION_WEIGHTS, DIMENSIONS, QUARANTINE_THRESHOLD, REVIEW_THRESHOLD, SEVERITY_WEIGHTS, VETO_CONFIDENCE,
+    DIMENSION_WEIGHTS, DIMENSIONS, NARRATIVE, QUARANTINE_THRESHOLD, REVIEW_THRESHOLD, SEVERITY_WEIGHTS, VETO_CONFIDENCE,
 )
 from trustlake.functions.numeric import clamp, fixed
 from trustlake.functions.risk import (
@@ -197,7 +197,7 @@ def narrative(verdict_rows: DataFrame, scored: DataFrame, max_listed: int = 1000
     description with its count instead, which says the same in bounded space.
     """
     c = F.col
-    label = F.format_string("%s (%s, conf: %.2f)", c("threat_id"), c("severity"), c("confidence"))
+    label = F.format_string(NARRATIVE["veto_item"], c("threat_id"), c("severity"), c("confidence"))
     vetoes = scored.where("veto").select("session_id", "finding_id", label.alias("label"))
     sizes = verdict_rows.select("session_id", "veto_findings")
     few = vetoes.join(sizes.where(c("veto_findings") <= max_listed), "session_id", "left_semi")
@@ -207,7 +207,7 @@ def narrative(verdict_rows: DataFrame, scored: DataFrame, max_listed: int = 1000
         _listed(counted, F.concat_ws(" x ", "label", "count"), "label")
     ).withColumnRenamed("listed", "veto_text")
     threats = scored.where("contributes").groupBy("session_id", "threat_id").count()
-    threat_text = _listed(threats, F.format_string("%s (count=%d)", c("threat_id"), c("count")), "threat_id")
+    threat_text = _listed(threats, F.format_string(NARRATIVE["threat_item"], c("threat_id"), c("count")), "threat_id")
     threat_text = threat_text.withColumnRenamed("listed", "threat_text")
     profile = F.concat_ws(", ", *[F.format_string(f"{d}=%.4f", c(d)) for d in DIMENSIONS])
     open_text = F.concat(
@@ -215,27 +215,26 @@ def narrative(verdict_rows: DataFrame, scored: DataFrame, max_listed: int = 1000
         F.lit("]"),
     )
     parts = [
-        F.format_string("DISPOSITION: %s | Composite Risk Score: %.4f", c("disposition"), c("composite_risk")),
+        F.format_string(NARRATIVE["headline"], c("disposition"), c("composite_risk")),
         F.when(
             c("veto_findings") > 0,
             F.format_string(
-                "CRITICAL VETO TRIGGERED: %d finding(s) forced immediate quarantine: [%s].",
+                NARRATIVE["veto"],
                 c("veto_findings"), c("veto_text"),
             ),
         ),
-        F.format_string("Dimensional Risk Profile: %s.", profile),
+        F.format_string(NARRATIVE["profile"], profile),
         F.when(
             c("contributing") > 0,
-            F.format_string("Contributing Findings (%d): [%s].", c("contributing"), c("threat_text")),
-        ).otherwise("Contributing Findings: None (zero threat signals detected)."),
+            F.format_string(NARRATIVE["contributing"], c("contributing"), c("threat_text")),
+        ).otherwise(F.lit(NARRATIVE["none"])),
         F.when(
             F.size("unsupported_checks") > 0,
             F.format_string(
-                "Verification Coverage INCOMPLETE: %d check(s) unperformed/skipped: %s. "
-                "Asset cannot receive ACCEPT disposition.",
+                NARRATIVE["incomplete"],
                 F.size("unsupported_checks"), open_text,
             ),
-        ).otherwise("Verification Coverage: COMPLETE. All requested checks executed and evaluated."),
+        ).otherwise(F.lit(NARRATIVE["complete"])),
     ]
     joined = verdict_rows.join(veto_text, "session_id", "left").join(threat_text, "session_id", "left")
     return joined.select("session_id", F.concat_ws(" ", *parts).alias("summary"))

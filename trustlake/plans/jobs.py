@@ -48,6 +48,7 @@ def _ratio_confidence(base: float, slope: float, top: float) -> Column:
     return F.least(lit(top), lit(base) + F.col("ratio") * slope)
 
 
+# Titles, severities and confidence limits of the findings below.
 def _exact(t: Tables) -> DataFrame:
     rows = D.duplicate_summary(t["signals"], [KEY]).where("clusters > 0")
     return finding_rows(rows, KEY, "DT-4", DATA, lit("HIGH"), lit(1.0), lit("QUARANTINE"), lit("Exact Duplicate Images Detected"),
