@@ -100,13 +100,13 @@ SELECT t.conv_id, t.turn, kept.n_turns, kept.copies,
        '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10) AS segment
 FROM t JOIN kept USING (conv_id)"""
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"[w for w in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> '']"
 
 ORACLES["op7_grouped_prefix_join"] = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-              '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, [w for w in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\x20\x09-\x0D]+') if w <> ''] AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-              ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM d),
+              ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END) AS sh FROM d),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 4 <= b.n * 5 AND b.n * 4 <= a.n * 5
       GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
@@ -117,13 +117,13 @@ JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) c USING (doc
 
 ORACLES["op8_line_frequency"] = rf"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
-ls AS (SELECT doc_id, unnest(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS x FROM d),
+ls AS (SELECT doc_id, unnest([x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')]) AS x FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM ls GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rw AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(8)) AS k FROM rep) GROUP BY doc_id),
 keyed AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS key,
-                 len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), w -> w <> '')) AS words FROM ls),
+                 len([w for w in regexp_split_to_array(x, '[\x20\x09-\x0D]+') if w <> '']) AS words FROM ls),
 lim AS (SELECT host, greatest(20.0, count(DISTINCT t) * 0.01) AS most FROM d GROUP BY host),
 freq AS (SELECT host, key FROM keyed JOIN d USING (doc_id) JOIN lim USING (host) GROUP BY host, key, most HAVING count(DISTINCT t) > most),
 gone AS (SELECT doc_id, sum(words) AS removed FROM keyed JOIN d USING (doc_id) JOIN freq USING (host, key) GROUP BY doc_id),
