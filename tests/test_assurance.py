@@ -44,11 +44,10 @@ def test_duplicates_and_order_do_not_matter(tables):
     assert sorted(A.verdicts(twice, coverage).collect()) == sorted(A.verdicts(findings, coverage).collect())
 
 
-def test_narrative_lists_or_counts_vetoes(spark, tables):
-    many = spark.createDataFrame([_f("hot", i, "IT-1", "CRITICAL", 1.0, "QUARANTINE") for i in range(5)], COLUMNS)
+def test_narrative_counts_equal_vetoes(spark, tables):
+    many = spark.createDataFrame([_f("hot", i, "IT-1", "CRITICAL", 1.0, "QUARANTINE") for i in range(1500)] + [
+        _f("hot", 1500, "MT-2", "CRITICAL", 0.9, "QUARANTINE")], COLUMNS)
     rows, _, text = assess(many, tables[1])
-    assert rows.where("session_id = 'hot'").first()["veto_findings"] == 5
+    assert rows.where("session_id = 'hot'").first()["veto_findings"] == 1501
     line = {r["session_id"]: r["summary"] for r in text.collect()}
-    assert line["hot"].count("IT-1 (CRITICAL, conf: 1.00)") == 5 and "COMPLETE" in line["clean"] and "INCOMPLETE" in line["open"]
-    short = {r["session_id"]: r["summary"] for r in A.narrative(rows, A.score_findings(many), max_listed=2).collect()}
-    assert "IT-1 (CRITICAL, conf: 1.00) x 5" in short["hot"]
+    assert "[IT-1 (CRITICAL, conf: 1.00) x 1500, MT-2 (CRITICAL, conf: 0.90)]" in line["hot"] and "COMPLETE" in line["clean"] and "INCOMPLETE" in line["open"]

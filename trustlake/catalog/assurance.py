@@ -58,8 +58,8 @@ def assurance_verdicts(spark, sf):
 
 
 @query("assurance_narrative", VERDICT_SQL + """,
-vetoes AS (SELECT session_id, string_agg(format('{} ({}, conf: {:.2f})', threat_id, severity, confidence), ', '
-             ORDER BY finding_id) AS t FROM scored WHERE veto GROUP BY session_id),
+labels AS (SELECT session_id, format('{} ({}, conf: {:.2f})', threat_id, severity, confidence) AS label, count(*) AS n FROM scored WHERE veto GROUP BY ALL),
+vetoes AS (SELECT session_id, string_agg(label || CASE WHEN n > 1 THEN ' x ' || n::VARCHAR ELSE '' END, ', ' ORDER BY label) AS t FROM labels GROUP BY session_id),
 threats AS (SELECT session_id, string_agg(format('{} (count={})', threat_id, n), ', ' ORDER BY threat_id) AS t
             FROM (SELECT session_id, threat_id, count(*) AS n FROM scored
                   WHERE risk > 0 OR recommended_disposition <> 'ACCEPT' GROUP BY ALL) GROUP BY session_id)

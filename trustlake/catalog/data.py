@@ -226,7 +226,7 @@ hist AS (SELECT doc_id, b // 4 AS dim, sum(p) AS value FROM freq GROUP BY ALL),
 mean AS (SELECT doc_id, sum(p * b) AS m FROM freq GROUP BY doc_id),
 mom AS (SELECT doc_id, any_value(m) AS m, sum(p * pow(b - m, 2)) AS v2, sum(p * pow(b - m, 3)) AS v3, sum(p * pow(b - m, 4)) AS v4 FROM freq JOIN mean USING (doc_id) GROUP BY doc_id),
 sd AS (SELECT doc_id, m, v3, v4, CASE WHEN v2 > 0 THEN sqrt(v2) ELSE 1e-6 END AS s FROM mom),
-heads AS (SELECT doc_id, list_transform(hb[1:1000], lambda x: ('0x' || x)::INTEGER) AS bs FROM docs),
+heads AS (SELECT doc_id, list_transform(hb, lambda x: ('0x' || x)::INTEGER) AS bs FROM docs),
 steps AS (SELECT doc_id, list_transform(range(1, len(bs)), lambda i: abs(bs[i + 1] - bs[i])) AS st FROM heads),
 grad AS (SELECT doc_id, coalesce(list_avg(st), 0) / 255 AS g1, coalesce(list_max(st), 0) / 255 AS g2 FROM steps),
 parts AS (SELECT doc_id, dim, value FROM hist UNION ALL SELECT doc_id, 64, m / 255 FROM sd UNION ALL SELECT doc_id, 65, s / 255 FROM sd
@@ -240,9 +240,9 @@ def byte_features(spark, sf):
 
 
 @query("quality_scalars", f"""WITH p AS (SELECT page_id, strlen(html) AS n, regexp_extract_all(hex(encode(html)), '..') AS hb FROM pages),
-sampled AS (SELECT page_id, n, list_transform(range(least(4096, n)), lambda i: ('0x' || hb[i * greatest(1, n // 4096) + 1])::INTEGER) AS bs FROM p WHERE n > 0),
+numbers AS (SELECT page_id, n, list_transform(hb, lambda x: ('0x' || x)::INTEGER) AS bs FROM p WHERE n > 0),
 stats AS (SELECT page_id, n, list_avg(bs) AS m, list_stddev_pop(bs) AS s,
-  list_avg(list_transform(range(1, len(bs)), lambda i: abs(bs[i + 1] - bs[i]))) AS g FROM sampled)
+  list_avg(list_transform(range(1, len(bs)), lambda i: abs(bs[i + 1] - bs[i]))) AS g FROM numbers)
 SELECT page_id, {fx('m / 255')} AS luminance, {fx('s / 255')} AS contrast, {fx('g / 255')} AS sharpness,
   {fx('(page_id % 7 + 1) / (page_id % 3 + 1)', 4)} AS aspect_ratio, {fx('n / 1024', 4)} AS size_kb FROM stats""")
 def quality_scalars(spark, sf):
@@ -259,15 +259,14 @@ imgs AS (SELECT l_suppkey AS contributor, count(DISTINCT l_partkey) AS images FR
 
 @query("contributor_risk", CONTRIB + f""",
 t AS (SELECT contributor, count(*) AS issues, sum(CASE severity WHEN 'INFORMATIONAL' THEN 0.05 WHEN 'LOW' THEN 0.15 WHEN 'MEDIUM' THEN 0.4
-  WHEN 'HIGH' THEN 0.75 WHEN 'CRITICAL' THEN 1.0 ELSE 0.2 END::DOUBLE) AS w FROM findings WHERE confidence > 0.95 GROUP BY contributor),
-r AS (SELECT contributor, issues, images, least(1.0, w / greatest(1.0, images * 0.1)) AS risk FROM t JOIN imgs USING (contributor))
+  WHEN 'HIGH' THEN 0.75 WHEN 'CRITICAL' THEN 1.0 ELSE 0.2 END::DOUBLE) AS w FROM findings GROUP BY contributor),
+r AS (SELECT contributor, issues, images, least(1.0, w / greatest(1.0, images * 0.6)) AS risk FROM t JOIN imgs USING (contributor))
 SELECT contributor, issues, images, {fx('risk')} AS risk, CASE WHEN {fx('risk')} > 0.6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   CASE WHEN {fx('risk')} < 0.7 THEN 'REVIEW' ELSE 'QUARANTINE' END AS recommended_disposition FROM r""")
 def contributor_risk(spark, sf):
     t = Tables(spark, sf)
     images = t("lineitem").groupBy(F.col("l_suppkey").alias("contributor")).agg(F.count_distinct("l_partkey").alias("images"))
-    prior = A.dedup_findings(findings(t)).where(F.col("confidence") > 0.95)
-    rows = R.contributor_risk(prior, images, ["contributor"])
+    rows = R.contributor_risk(A.dedup_findings(findings(t)), images, ["contributor"], per_image=0.6)
     return rows.withColumn("risk", fixed(F.col("risk"), 6))
 
 

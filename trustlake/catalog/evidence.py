@@ -177,15 +177,15 @@ def json_extract(spark, sf):
 
 PROVENANCE = """prov AS (SELECT o_orderkey::VARCHAR AS session_id, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS record_id, sha256((l_partkey % 40)::VARCHAR) AS model_weight_digest,
   ['VERIFIED', 'VERIFIED', 'VERIFIED', 'VERIFIED_WITH_WARNING', 'TAMPERED_OUTPUT', 'REPLAYED_RECORD', 'SUBSTITUTED_MODEL', 'UNVERIFIED_KEY'][l_suppkey % 8 + 1] AS status, l_shipdate AS created_at
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 2 AND l_partkey % 4 = 0),
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 newest AS (SELECT * FROM prov QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, record_id DESC) = 1)"""
-LINEAGE_FINDINGS = "lf AS (SELECT session_id, threat_id, trim(category) AS category, severity FROM findings WHERE severity <> 'INFORMATIONAL' AND ord % 6 = 0)"
+LINEAGE_FINDINGS = "lf AS (SELECT session_id, threat_id, trim(category) AS category, severity FROM findings)"
 
 
 def provenance(t: Tables):
     c = F.col
     names = F.array(*[F.lit(n) for n in ("VERIFIED", "VERIFIED", "VERIFIED", "VERIFIED_WITH_WARNING", "TAMPERED_OUTPUT", "REPLAYED_RECORD", "SUBSTITUTED_MODEL", "UNVERIFIED_KEY")])
-    lines = t("lineitem").where((c("l_linenumber") == 2) & (c("l_partkey") % 4 == 0))
+    lines = t("lineitem")
     status = F.element_at(names, (c("l_suppkey") % 8 + 1).cast("int"))
     return lines.join(t("orders"), c("l_orderkey") == c("o_orderkey"), "left_semi").select(
         c("l_orderkey").cast("string").alias("session_id"), (c("l_partkey") * 1000000 + c("l_suppkey") * 10 + c("l_linenumber")).alias("record_id"),
@@ -199,7 +199,7 @@ def lineage_rows(t: Tables):
     k = c("o_orderkey")
     session = k.cast("string").alias("session_id")
     sessions = t("orders").select(session, F.when(k % 3 == 0, F.upper(sha256((k % 40).cast("string")))).alias("model_digest"))
-    found = A.dedup_findings(findings(t)).where((c("severity") != "INFORMATIONAL") & (c("ord") % 6 == 0)).withColumn("category", F.trim("category"))
+    found = A.dedup_findings(findings(t)).withColumn("category", F.trim("category"))
     analyses = coverage(t).select(
         "session_id", F.trim("analysis_id").alias("analysis_id"), F.when(c("state") == "executed", "executed").otherwise("skipped").alias("state")
     )
@@ -269,11 +269,11 @@ def model_binding(spark, sf):
     return L.model_binding(sessions, L.latest_provenance(provenance(t))).select("session_id", "model_mismatch")
 
 
-@query("merge_findings", f"WITH {FINDINGS_SQL} SELECT finding_id, severity FROM findings WHERE ord % 2 = 0 UNION ALL SELECT finding_id, 'LOW' FROM findings WHERE ord % 3 = 0 AND ord % 2 <> 0")
+@query("merge_findings", f"WITH {FINDINGS_SQL} SELECT finding_id, severity FROM findings WHERE ord % 2 = 0 UNION ALL SELECT finding_id, 'LOW' FROM findings WHERE ord % 2 <> 0")
 def merge_findings(spark, sf):
     rows = A.dedup_findings(findings(Tables(spark, sf))).select("finding_id", "ord", "severity")
     stored = rows.where(F.col("ord") % 2 == 0)
-    return L.merge_findings(stored, rows.where(F.col("ord") % 3 == 0).withColumn("severity", F.lit("LOW"))).select("finding_id", "severity")
+    return L.merge_findings(stored, rows.withColumn("severity", F.lit("LOW"))).select("finding_id", "severity")
 
 
 @query("merge_section", f"""WITH {FINDINGS_SQL}, old AS (SELECT finding_id, session_id, threat_id, trim(category) AS category FROM findings), fresh AS (

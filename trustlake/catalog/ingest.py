@@ -81,11 +81,12 @@ def box_from_centre(spark, sf):
     return Tables(spark, sf)("lineitem").select(*keys, box.alias("b")).select(*keys, *_corner_columns(c("b")))
 
 
-@query("polygon_envelope", f"""WITH v AS (SELECT vec_id, list_transform(embedding[1:4 + vec_id % 9], lambda x: x::DOUBLE + 0.3) AS p FROM embeddings),
+@query("polygon_envelope", f"""WITH v AS (SELECT vec_id, list_transform(CASE WHEN vec_id % 5 = 0 THEN list_append(embedding, 0.5::FLOAT) ELSE embedding END, lambda x: x::DOUBLE + 0.3) AS p FROM embeddings),
 xy AS (SELECT vec_id, len(p) AS n, list_filter(p, lambda x, i: i % 2 = 1) AS xs, list_filter(p, lambda x, i: i % 2 = 0) AS ys FROM v)
 SELECT vec_id, {', '.join(f"CASE WHEN n >= 6 AND n % 2 = 0 THEN {fx(_CLAMP.format(f'list_{m}({v}s)'), 9)} END AS {v}_{m}" for v in 'xy' for m in ('min', 'max'))} FROM xy""")
 def polygon_envelope(spark, sf):
-    coords = F.transform(F.slice(F.col("embedding").cast("array<double>"), F.lit(1), (4 + F.col("vec_id") % 9).cast("int")), lambda x: x + 0.3)
+    whole = F.col("embedding").cast("array<double>")
+    coords = F.transform(F.when(F.col("vec_id") % 5 == 0, F.array_append(whole, F.lit(0.5))).otherwise(whole), lambda x: x + 0.3)
     rows = Tables(spark, sf)("embeddings").select("vec_id", coords.alias("p"))
     return rows.select("vec_id", G.polygon_envelope(F.col("p")).alias("b")).select("vec_id", *_corner_columns(F.col("b")))
 

@@ -82,15 +82,15 @@ def top_variance_dims(spark, sf):
     return rows.select("dim", fixed(F.col("variance"), 9).alias("variance"))
 
 
-@query("mean_wasserstein", f"""WITH {VECTOR_SAMPLES}, {ecdf_sql()}, {TOP_DIMS}
-SELECT {fx('avg(w1)')} AS mean_w1 FROM scored JOIN top_dims USING (grp)""")
+@query("mean_wasserstein", f"""WITH {VECTOR_SAMPLES}, {ecdf_sql()}
+SELECT {fx('avg(w1)')} AS mean_w1 FROM scored""")
 def mean_wasserstein(spark, sf):
     return TS.mean_wasserstein(vector_samples(Tables(spark, sf)), ["report"]).drop("report")
 
 
 @query("ks_rejection", f"""WITH {VECTOR_SAMPLES}, {ecdf_sql()}
 SELECT {fx('count(*) FILTER (p_value < 0.05) / count(*)', 4)} AS ks_rejection_ratio, {fx('median(p_value)', 4)} AS median_p
-FROM scored WHERE grp < 16""")
+FROM scored""")
 def ks_rejection(spark, sf):
     return TS.ks_rejection(vector_samples(Tables(spark, sf)), ["report"]).drop("report")
 
@@ -105,18 +105,16 @@ def systematic_sample(spark, sf):
     return TS.systematic_sample(rows, ["o_orderstatus"], "o_orderkey")
 
 
-MMD_SQL = f"""ranked AS (SELECT side, vec, row_number() OVER (PARTITION BY side ORDER BY vec_id) - 1 AS r,
-  count(*) OVER (PARTITION BY side) AS n FROM vectors),
-strided AS (SELECT *, CASE WHEN n > 500 THEN n // 500 ELSE 1 END AS stride FROM ranked),
-sub AS (SELECT side, vec, r // stride AS pos FROM strided WHERE r % stride = 0 AND r // stride < 500),
-gam AS (SELECT 1.0 / (2.0 * greatest(1e-6, median(dd))) AS g FROM (
-  SELECT pow(list_distance(x.vec, y.vec), 2) AS dd FROM sub x, sub y
-  WHERE x.side = 'ref' AND y.side = 'eval' AND x.pos < 40 AND y.pos < 40) WHERE dd > 1e-8),
-parts AS (SELECT
-  avg(exp(-g * pow(list_distance(x.vec, y.vec), 2))) FILTER (x.side = 'ref' AND y.side = 'ref' AND x.pos < y.pos) AS xx,
-  avg(exp(-g * pow(list_distance(x.vec, y.vec), 2))) FILTER (x.side = 'eval' AND y.side = 'eval' AND x.pos < y.pos) AS yy,
-  avg(exp(-g * pow(list_distance(x.vec, y.vec), 2))) FILTER (x.side = 'ref' AND y.side = 'eval') AS xy
-  FROM sub x, sub y, gam),
+MMD_SQL = f"""ranked AS (SELECT side, vec, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY side) AS n, lag(vec) OVER w AS before
+  FROM vectors WINDOW w AS (PARTITION BY side ORDER BY vec_id)),
+most AS (SELECT max(n) AS most FROM ranked),
+xs AS (SELECT vec AS x, unnest(range(r, most, n)) AS i FROM ranked, most WHERE side = 'ref'),
+ys AS (SELECT vec AS y, unnest(range((r - 1 + n) % n, most, n)) AS i FROM ranked, most WHERE side = 'eval'),
+pairs AS (SELECT side AS kind, pow(list_distance(vec, before), 2) AS dd FROM ranked WHERE before IS NOT NULL
+  UNION ALL SELECT 'cross', pow(list_distance(x, y), 2) FROM xs JOIN ys USING (i)),
+gam AS (SELECT 1.0 / (2.0 * greatest(1e-6, median(dd))) AS g FROM pairs WHERE kind = 'cross' AND dd > 1e-8),
+parts AS (SELECT avg(exp(-g * dd)) FILTER (kind = 'ref') AS xx, avg(exp(-g * dd)) FILTER (kind = 'eval') AS yy,
+  avg(exp(-g * dd)) FILTER (kind = 'cross') AS xy FROM pairs, gam),
 mmd AS (SELECT {fx('sqrt(greatest(0.0, xx + yy - 2 * xy))')} AS mmd FROM parts)"""
 
 
@@ -176,10 +174,10 @@ def class_diff(spark, sf):
     return TS.class_diff(*_class_sets(Tables(spark, sf)))
 
 
-COVARIATE_SQL = f"""{VECTOR_SAMPLES}, {ecdf_sql()}, {TOP_DIMS}, {MMD_SQL},
-cov AS (SELECT mmd, (SELECT {fx('avg(w1)')} FROM scored JOIN top_dims USING (grp)) AS mean_w1,
-  (SELECT {fx('count(*) FILTER (p_value < 0.05) / count(*)', 4)} FROM scored WHERE grp < 16) AS ks_rejection_ratio,
-  (SELECT {fx('median(p_value)', 4)} FROM scored WHERE grp < 16) AS p_value FROM mmd),
+COVARIATE_SQL = f"""{VECTOR_SAMPLES}, {ecdf_sql()}, {MMD_SQL},
+cov AS (SELECT mmd, (SELECT {fx('avg(w1)')} FROM scored) AS mean_w1,
+  (SELECT {fx('count(*) FILTER (p_value < 0.05) / count(*)', 4)} FROM scored) AS ks_rejection_ratio,
+  (SELECT {fx('median(p_value)', 4)} FROM scored) AS p_value FROM mmd),
 covariate AS (SELECT *, {fx('0.6 * mmd + 0.4 * mean_w1')} AS metric FROM cov)"""
 COVARIATE_ROW = """SELECT 'covariate_shift' AS dimension, metric > 0.15 OR (mean_w1 > 0.2 AND ks_rejection_ratio > 0.5) AS detected,
   metric, p_value FROM covariate"""

@@ -37,4 +37,6 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Scaled to length one; a zero vector stays as it is."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v))).otherwise(v)
+    # The norm is bound once as the element of a one-element array, else it would be computed for every element.
+    scaled = F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+    return F.get(scaled, 0)

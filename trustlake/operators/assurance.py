@@ -190,22 +190,17 @@ def _listed(rows: DataFrame, text: Column, order: str) -> DataFrame:
     )
 
 
-def narrative(verdict_rows: DataFrame, scored: DataFrame, max_listed: int = 1000) -> DataFrame:
+def narrative(verdict_rows: DataFrame, scored: DataFrame) -> DataFrame:
     """Deterministic explanation per session.
 
-    Veto findings are listed one by one up to ``max_listed``. A session with more of them gets each distinct
-    description with its count instead, which says the same in bounded space.
+    Veto findings are told by distinct description, with the count of those that occur more than once: check, severity and
+    confidence in two digits bound the text however many findings a session has. :func:`contributing_findings` has them all.
     """
     c = F.col
     label = F.format_string(NARRATIVE["veto_item"], c("threat_id"), c("severity"), c("confidence"))
-    vetoes = scored.where("veto").select("session_id", "finding_id", label.alias("label"))
-    sizes = verdict_rows.select("session_id", "veto_findings")
-    few = vetoes.join(sizes.where(c("veto_findings") <= max_listed), "session_id", "left_semi")
-    many = vetoes.join(sizes.where(c("veto_findings") > max_listed), "session_id", "left_semi")
-    counted = many.groupBy("session_id", "label").count()
-    veto_text = _listed(few, c("label"), "finding_id").unionByName(
-        _listed(counted, F.concat_ws(" x ", "label", "count"), "label")
-    ).withColumnRenamed("listed", "veto_text")
+    vetoes = scored.where("veto").groupBy("session_id", label.alias("label")).count()
+    times = F.when(c("count") > 1, c("count").cast("string"))
+    veto_text = _listed(vetoes, F.concat_ws(" x ", "label", times), "label").withColumnRenamed("listed", "veto_text")
     threats = scored.where("contributes").groupBy("session_id", "threat_id").count()
     threat_text = _listed(threats, F.format_string(NARRATIVE["threat_item"], c("threat_id"), c("count")), "threat_id")
     threat_text = threat_text.withColumnRenamed("listed", "threat_text")

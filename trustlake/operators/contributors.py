@@ -17,16 +17,16 @@ def contributor_breakdown(findings: DataFrame, by: Sequence[str] = ("contributor
 
 
 def contributor_risk(
-    findings: DataFrame, images: DataFrame, by: Sequence[str] = ("contributor_id", "batch_id")
+    findings: DataFrame, images: DataFrame, by: Sequence[str] = ("contributor_id", "batch_id"), per_image: float = 0.1
 ) -> DataFrame:
-    """Summed severity weights over a tenth of the images, capped at one. Rows without a contributor are left out:
+    """Summed severity weights over ``per_image`` of the images, capped at one. Rows without a contributor are left out:
     provenance is never guessed. ``images`` has one row per contributor with a ``images`` count."""
     weight = case_of(F.col("severity"), CONTRIBUTOR_WEIGHTS, CONTRIBUTOR_DEFAULT_WEIGHT)
     totals = findings.where(F.col(by[0]).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("issues"), F.sum(weight).alias("_weight")
     )
     size = F.coalesce(F.col("images"), F.lit(0))
-    risk = F.least(F.lit(1.0), F.col("_weight") / F.greatest(F.lit(1.0), size * 0.1))
+    risk = F.least(F.lit(1.0), F.col("_weight") / F.greatest(F.lit(1.0), size * per_image))
     return totals.join(images, list(by), "left").withColumn("risk", risk).select(
         *by, "issues", size.alias("images"), "risk",
         F.when(F.col("risk") > 0.6, "HIGH").otherwise("MEDIUM").alias("severity"),

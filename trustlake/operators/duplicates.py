@@ -103,7 +103,7 @@ def hamming_join(
     )
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node of the component) from edges ``a, b``.
 
     Alternates large-star and small-star steps: every round hooks neighbours to the smallest node they know, so
@@ -113,15 +113,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current = cut_lineage(both)
     state = _fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         large = _large_star(current)
         current = cut_lineage(_small_star(large))
         new_state = _fingerprint(current)
         if new_state == state:
             break
         state = new_state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
 

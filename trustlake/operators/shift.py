@@ -28,22 +28,28 @@ def _merge(by: Sequence[str], *parts: DataFrame) -> DataFrame:
 
 def covariate_shift(
     features: DataFrame, by: Sequence[str], order: str, vector: str = "vec",
-    threshold: float = 0.15, w1_threshold: float = 0.20, max_dims: int = 16,
-    ks_dims: int = 16, alpha: float = 0.05, min_n: int = 15, gamma: float | None = None,
+    threshold: float = 0.15, w1_threshold: float = 0.20, max_dims: int | None = None,
+    ks_dims: int | None = None, alpha: float = 0.05, min_n: int = 15, gamma: float | None = None, sample: int | None = None,
 ) -> DataFrame:
-    """DS-1 from ``by..., side, order, vector``: kernel MMD, mean Wasserstein-1 and KS rejections."""
+    """DS-1 from ``by..., side, order, vector``: kernel MMD, mean Wasserstein-1 and KS rejections.
+
+    All rows and dimensions count. ``max_dims`` limits the Wasserstein mean to the dimensions of the largest reference
+    variance, ``ks_dims`` the tests to the first ones, ``sample`` the kernel to a systematic sample.
+    """
     long = TS.explode_vectors(features, [*by, "side"], vector)
-    chosen = TS.top_variance_dims(long, by, max_dims).select(*by, "dim", F.lit(True).alias("_top"))
-    # One ECDF pass serves both statistics: it covers the first dims and the high-variance dims.
-    needed = long.join(chosen, [*by, "dim"], "left").where((F.col("dim") < ks_dims) | F.col("_top"))
-    scored = TS.per_dimension(needed.drop("_top"), by).join(chosen, [*by, "dim"], "left")
-    first = F.col("dim") < ks_dims
+    scored = TS.per_dimension(long, by)  # one ECDF pass serves both statistics
+    if max_dims is None:
+        scored = scored.withColumn("_top", F.lit(True))
+    else:
+        chosen = TS.top_variance_dims(long, by, max_dims).select(*by, "dim", F.lit(True).alias("_top"))
+        scored = scored.join(chosen, [*by, "dim"], "left")
+    first = F.lit(True) if ks_dims is None else F.col("dim") < ks_dims
     stats = scored.groupBy(*by).agg(
         fixed(F.avg(F.when(F.col("_top"), F.col("w1"))), 6).alias("mean_w1"),
         fixed(F.count_if(first & (F.col("p_value") < alpha)) / F.count_if(first), 4).alias("ks_rejection_ratio"),
         fixed(F.median(F.when(first, F.col("p_value"))), 4).alias("p_value"),
     )
-    joined = _merge(by, TS.mmd_rbf(features, by, order, vector, gamma), stats)
+    joined = _merge(by, TS.mmd_rbf(features, by, order, vector, gamma, sample), stats)
     metric = fixed(F.lit(0.6) * F.col("mmd") + F.lit(0.4) * F.col("mean_w1"), 6)
     detected = (F.col("metric") > threshold) | (
         (F.col("mean_w1") > w1_threshold) & (F.col("ks_rejection_ratio") > 0.5)

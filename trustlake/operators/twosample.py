@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from trustlake.functions.numeric import clamp, finite, fixed, kolmogorov_p
 from trustlake.session import cut_lineage
-from trustlake.operators.scan import _BUCKET, WIDTH, equi_depth_buckets, join_buckets, with_rank
+from trustlake.functions.vectors import squared_distance
+from trustlake.operators.scan import _BUCKET, WIDTH, equi_depth_buckets, exact_median, join_buckets, with_previous, with_rank
 
 
 def explode_vectors(features: DataFrame, keep: Sequence[str], vector: str = "vec") -> DataFrame:
@@ -115,16 +116,17 @@ def per_dimension(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     return compare_samples(samples, [*by, "dim"])
 
 
-def mean_wasserstein(samples: DataFrame, by: Sequence[str], max_dims: int = 16) -> DataFrame:
-    """Mean Wasserstein-1 over the dimensions with the largest reference variance."""
-    chosen = top_variance_dims(samples, by, max_dims).drop("variance")
-    kept = samples.join(chosen, [*by, "dim"], "left_semi")
-    return per_dimension(kept, by).groupBy(*by).agg(fixed(F.avg("w1"), 6).alias("mean_w1"))
+def mean_wasserstein(samples: DataFrame, by: Sequence[str], max_dims: int | None = None) -> DataFrame:
+    """Mean Wasserstein-1 over all dimensions, or over the ``max_dims`` of the largest reference variance."""
+    if max_dims is not None:
+        chosen = top_variance_dims(samples, by, max_dims).drop("variance")
+        samples = samples.join(chosen, [*by, "dim"], "left_semi")
+    return per_dimension(samples, by).groupBy(*by).agg(fixed(F.avg("w1"), 6).alias("mean_w1"))
 
 
-def ks_rejection(samples: DataFrame, by: Sequence[str], dims: int = 16, alpha: float = 0.05) -> DataFrame:
-    """Share of the first ``dims`` dimensions whose KS test rejects, with the median p-value."""
-    tested = per_dimension(samples.where(F.col("dim") < dims), by)
+def ks_rejection(samples: DataFrame, by: Sequence[str], dims: int | None = None, alpha: float = 0.05) -> DataFrame:
+    """Share of the dimensions whose KS test rejects, with the median p-value; ``dims`` looks at the first ones only."""
+    tested = per_dimension(samples if dims is None else samples.where(F.col("dim") < dims), by)
     return tested.groupBy(*by).agg(
         fixed(F.count_if(F.col("p_value") < alpha) / F.count(F.lit(1)), 4).alias("ks_rejection_ratio"),
         fixed(F.median("p_value"), 4).alias("median_p"),
@@ -164,41 +166,84 @@ def _mmd(x: np.ndarray, y: np.ndarray, gamma: float | None) -> float:
     return float(np.sqrt(max(0.0, within(x) + within(y) - 2.0 * cross)))
 
 
+def _sampled_mmd(rows: DataFrame, by: Sequence[str], sample: int, gamma: float | None) -> DataFrame:
+    """All pairs of a systematic sample of ``sample`` rows a side."""
+    taken = systematic_sample(rows, [*by, "side"], "_ord", sample)
+    fields = [rows.schema[b] for b in by] + [T.StructField("_mmd", T.DoubleType())]
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = {}
+        for name, part in pdf.sort_values("sample_pos").groupby("side"):
+            sides[name] = np.stack(part["_vec"].to_numpy())
+        value = _mmd(sides["ref"], sides["eval"], gamma) if len(sides) == 2 else 0.0
+        return pd.DataFrame([[*key, value]], columns=[f.name for f in fields])
+
+    return taken.groupBy(*by).applyInPandas(kernel, T.StructType(fields))
+
+
+def _linear_mmd(ranked: DataFrame, sizes: DataFrame, by: Sequence[str], gamma: float | None) -> DataFrame:
+    """Every row with its neighbour in order, and every row of the larger side with one of the other side.
+
+    Reference row ``i mod n_ref`` meets evaluation row ``(i + 1) mod n_eval``: the step keeps rows of one origin apart. The
+    number of pairs is linear in the rows, no row is left out, and the bandwidth is the median of all cross distances.
+    """
+    near = with_previous(ranked, [*by, "side"], "_pos", ["_vec"]).where("prev__vec IS NOT NULL").select(
+        *by, F.col("side").alias("kind"), squared_distance(F.col("_vec"), F.col("prev__vec")).alias("dd")
+    )
+    most = F.greatest("n_ref", "n_eval")
+    placed = ranked.join(sizes, list(by)).where("n_ref > 0 AND n_eval > 0")
+
+    def dealt(side: str, start: Column, name: str) -> DataFrame:
+        at = F.explode(F.sequence(start, most - 1, F.col(f"n_{side}"))).alias("_i")
+        return placed.where(F.col("side") == side).select(*by, at, F.col("_vec").alias(name))
+
+    left = dealt("ref", F.col("_pos"), "_x")
+    right = dealt("eval", (F.col("_pos") - 1 + F.col("n_eval")) % F.col("n_eval"), "_y")
+    cross = left.join(right, [*by, "_i"]).select(*by, F.lit("cross").alias("kind"), squared_distance(F.col("_x"), F.col("_y")).alias("dd"))
+    pairs = cut_lineage(near.union(cross))
+    if gamma is None:
+        middle = exact_median(pairs.where("kind = 'cross' AND dd > 1e-8"), by, "dd", "_median")
+        pairs = pairs.join(middle.select(*by, "_median"), list(by), "left")
+        width = F.coalesce(1.0 / (2.0 * F.greatest(F.lit(1e-6), F.col("_median"))), F.lit(0.5))
+    else:
+        width = F.lit(float(gamma))
+    mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.exp(-width * F.col("dd"))))
+    one = F.lit(1.0)
+    square = F.coalesce(mean("ref"), one) + F.coalesce(mean("eval"), one) - 2.0 * mean("cross")
+    return pairs.groupBy(*by).agg(F.coalesce(F.sqrt(F.greatest(F.lit(0.0), square)), F.lit(0.0)).alias("_mmd"))
+
+
 def mmd_rbf(
     features: DataFrame, by: Sequence[str], order: str, vector: str = "vec",
-    gamma: float | None = None, max_samples: int = 500,
+    gamma: float | None = None, sample: int | None = None,
 ) -> DataFrame:
-    """Unbiased RBF MMD per group over the systematic sample the definition asks for.
+    """RBF MMD per group, over all rows in linear time; ``sample`` takes all pairs of a systematic sample instead.
 
-    The kernel step sees at most ``2 * max_samples`` rows per group. Populations that are equal row by row
-    give zero; that is decided over all rows from order-sensitive digests.
+    Populations that are equal row by row give zero; that is decided over all rows from order-sensitive digests. Vectors
+    that are not finite, or of different lengths within a group, are an error.
     """
     keys = [*by, "side"]
-    rows = features.select(*by, "side", F.col(order).alias("_ord"), F.col(vector).cast("array<double>").alias("_vec"))
-    ranked = with_rank(rows, keys, "_ord", "_pos")
+    vec = F.transform(F.col(vector).cast("array<double>"), lambda x: finite(x, "vector"))
+    rows = features.select(*by, "side", F.col(order).alias("_ord"), vec.alias("_vec"))
+    ranked = cut_lineage(with_rank(rows, keys, "_ord", "_pos"))
     mark = lambda seed: F.xxhash64(F.lit(seed), F.col("_pos"), F.col("_vec")).cast("decimal(38,0)")
+    length = F.size("_vec")
     digests = ranked.groupBy(*by).agg(
         *[
             F.sum(F.when(F.col("side") == "ref", mark(s)).otherwise(-mark(s))).alias(f"_x{s}")
             for s in (1, 2)
         ],
         F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "eval").alias("n_eval"),
+        F.when(F.min(length) < F.max(length), F.raise_error(F.lit("vectors of different lengths"))).cast("int").alias("_ragged"),
     )
-    sample = systematic_sample(rows, keys, "_ord", max_samples)
-    fields = [rows.schema[b] for b in by] + [T.StructField("_mmd", T.DoubleType())]
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = {}
-        for name, part in pdf.sort_values("sample_pos").groupby("side"):
-            sides[name] = np.stack(part["_vec"].to_numpy())
-        value = _mmd(sides["ref"], sides["eval"], gamma) if len(sides) == 2 else 0.0
-        return pd.DataFrame([[*key, value]], columns=[f.name for f in fields])
-
-    scored = sample.groupBy(*by).applyInPandas(kernel, T.StructType(fields))
+    if sample is None:
+        scored = _linear_mmd(ranked, digests.select(*by, "n_ref", "n_eval"), by, gamma)
+    else:
+        scored = _sampled_mmd(ranked.select(*keys, "_ord", "_vec"), by, sample, gamma)
     same = (F.col("n_ref") == F.col("n_eval")) & (F.col("_x1") == 0) & (F.col("_x2") == 0)
-    return digests.join(scored, list(by)).select(
-        *by, "n_ref", "n_eval", F.when(same, 0.0).otherwise(fixed(F.col("_mmd"), 6)).alias("mmd")
-    )
+    value = F.when(same, 0.0).otherwise(fixed(F.coalesce("_mmd", F.lit(0.0)), 6))
+    joined = digests.where("_ragged IS NULL").join(scored, list(by), "left")
+    return joined.select(*by, "n_ref", "n_eval", value.alias("mmd"))
 
 
 def align_class_counts(samples: DataFrame, by: Sequence[str], label: str = "class_name") -> DataFrame:
