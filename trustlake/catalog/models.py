@@ -262,7 +262,7 @@ SELECT {key}x AS digest FROM l0"""
 
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-_ROW = " || chr(31) || ".join(f"{c}::VARCHAR" for c in ORDER_COLUMNS)
+_ROW = " || ',' || ".join(f"length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR" for c in ORDER_COLUMNS)
 
 
 @query("table_digest", merkle_sql(_ROW, "orders"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustlake.functions.text import utc_text
+
 # Fields of a record that its signature binds, in the order of the canonical text.
 BOUND_FIELDS = (
     "inference_config", "input_image_hash", "model_id", "model_weight_digest", "nonce", "output",
@@ -126,7 +128,7 @@ def add_payload(df: DataFrame, name: str = "payload", timestamp: str = "timestam
     free = {n: F.coalesce(quantize_json(F.col(n)), F.lit("{}")) for n in ("inference_config", "output")}
     parts = {n: F.col(n) for n in BOUND_FIELDS if n not in free}
     parts["sequence_number"] = F.col("sequence_number").cast("long")
-    parts["timestamp"] = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    parts["timestamp"] = utc_text(F.col(timestamp))
     return _add_body(df, name, parts, free)
 
 

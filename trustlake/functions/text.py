@@ -64,9 +64,18 @@ def tokens(line: Column) -> Column:
     return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
 
+def utc_text(ts: Column, suffix: str = "Z") -> Column:
+    """ISO text with microseconds, in UTC whatever the session time zone; a timestamp without zone is taken as UTC."""
+    seconds = (F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    instant = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    plain = F.when(F.typeof(ts) == "timestamp_ntz", ts.cast("string")).otherwise(instant.cast("string"))
+    fraction = F.rpad(F.substring(plain, 21, 6), 6, "0")
+    return F.concat(F.translate(F.substring(plain, 1, 19), " ", "T"), F.lit("."), fraction, F.lit(suffix))
+
+
 def canonical_timestamp(ts: Column) -> Column:
-    """UTC text with microseconds; the session time zone is UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """UTC text with microseconds."""
+    return utc_text(ts)
 
 
 def seconds_between(a: Column, b: Column) -> Column:

@@ -11,9 +11,10 @@ LEVELS = (6, 3, 0)
 
 
 def row_digest(columns: Sequence[str | Column]) -> Column:
-    """SHA-256 of the columns' text joined by a unit separator; null is distinct from empty."""
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """SHA-256 of the columns' text, each behind its length; a null is ``-``. Different rows never have one text."""
+    texts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.sha2(F.concat_ws(",", *parts), 256)
 
 
 def merkle(digests: DataFrame, by: Sequence[str] = (), column: str = "digest", levels: Sequence[int] = LEVELS) -> DataFrame:

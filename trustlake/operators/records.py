@@ -41,6 +41,7 @@ def join_keys(records: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
         F.col("key_id").alias("_kid"), state.alias("_state"), F.col("key_type").alias("_key_type"), F.col("secret").alias("_secret"),
         hmac_pads(F.col("secret")).alias("_pads"),
     )
+    known = one_per_key(known, "_kid", ["_state", "_key_type", "_secret", "_pads"], "key table")
     joined = records.join(sized_broadcast(known), F.col("signing_key_id") == F.col("_kid"), "left")
     missing = F.coalesce(F.col("signing_key_id"), F.lit("")) == ""
     error = (
@@ -77,8 +78,17 @@ def bind(records: DataFrame, verify_signature: SignatureCheck | None = None) ->
     )
 
 
+def one_per_key(side: DataFrame, key: str, values: list[str], what: str) -> DataFrame:
+    """Equal rows of a lookup table become one; a key with different rows is an error, as it would multiply records."""
+    row = F.struct(*values)
+    twice = F.raise_error(F.concat(F.lit(f"{what} holds different rows for "), F.col(key).cast("string")))
+    one = side.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row).alias("_low"), F.max(row).alias("_high"))
+    return one.select(key, F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col("_low")).otherwise(twice).alias("_row")).select(key, "_row.*")
+
+
 def _mismatch(records: DataFrame, registry: DataFrame, key: str, expected: str, own: str, flag: str) -> DataFrame:
-    side = sized_broadcast(registry.select(F.col(key).alias("_rk"), F.col(expected).alias("_expected")))
+    side = registry.select(F.col(key).alias("_rk"), F.col(expected).alias("_expected"))
+    side = sized_broadcast(one_per_key(side, "_rk", ["_expected"], "registry"))
     joined = records.join(side, F.col(key) == F.col("_rk"), "left")
     differs = F.coalesce(F.lower(own) != F.lower("_expected"), F.lit(False))
     return joined.withColumn(flag, differs).drop("_rk", "_expected")

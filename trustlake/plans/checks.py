@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Tables = Mapping[str, DataFrame]
@@ -51,7 +51,13 @@ def evidence_rows(findings: DataFrame) -> DataFrame:
     )
 
 
-def run_checks(checks: Iterable[Check], tables: Tables, requested: Iterable[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+def no_findings(spark: SparkSession) -> DataFrame:
+    """The findings layout without a row, for a request that no check answers."""
+    kinds = {"confidence": "double", "ord": "bigint", "metrics": "map<string,double>"}
+    return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in FINDING_COLUMNS))
+
+
+def run_checks(checks: Iterable[Check], tables: Tables, requested: Iterable[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Union of the findings of every requested, applicable check, and the state of each check."""
     wanted = set(requested or ())
     parts, states = [], {}
@@ -63,4 +69,4 @@ def run_checks(checks: Iterable[Check], tables: Tables, requested: Iterable[str]
         else:
             parts.append(check.run(tables).select(*FINDING_COLUMNS))
             states[check.threat_id] = "executed"
-    return (reduce(DataFrame.unionByName, parts) if parts else None), states
+    return (reduce(DataFrame.unionByName, parts) if parts else no_findings(next(iter(tables.values())).sparkSession)), states

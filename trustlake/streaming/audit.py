@@ -7,12 +7,13 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from trustlake.constants import GENESIS
 from trustlake.functions.hashing import EVENT_FIELDS
+from trustlake.functions.text import utc_text
 
 LOG_SCHEMA = (
     "log_id string, event_id string, sequence_number long, timestamp_text string, event_type string, actor string, asset_id string, "
@@ -41,7 +42,9 @@ def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def _log(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(LOG_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:  # any other fault must not start a second chain
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG_SCHEMA)
 
 
@@ -58,7 +61,7 @@ def append_batch(events: DataFrame, path: str, batch_id: int) -> None:
     tips = log.join(touched, "log_id", "left_semi").groupBy("log_id").agg(
         F.max_by("event_hash", "sequence_number").alias("tip_hash"), F.max("sequence_number").alias("tip_sequence")
     )
-    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    stamp = utc_text(F.col("timestamp"), "+00:00")
     rows = events.select(
         "log_id", "ord", "event_id", stamp.alias("timestamp_text"), "event_type", "actor", "asset_id", "session_id", "details"
     ).join(tips, "log_id", "left").withColumn("batch_id", F.lit(batch_id).cast("long"))
