@@ -111,12 +111,12 @@ def hilbert_shards(
     total = (scale["bytes"] if law == "bytes" else scale["n"]) or 1
 
     @F.pandas_udf("long")
-    def along(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(curve_index(np.stack([s.to_numpy() for s in batch], axis=1), bits))
+            yield pd.Series(curve_index(batch.to_numpy(), bits))
 
     grid = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).select(
-        *cells, along(*cells).alias("curve_index"), F.ceil(F.col("_n") * cuts / max(1, scale["n"])).alias("_parts"),
+        *cells, along(F.struct(*cells)).alias("curve_index"), F.ceil(F.col("_n") * cuts / max(1, scale["n"])).alias("_parts"),
     )
     # At most 2 ** (bits * dims) cells of a few numbers each: the size of this broadcast does not depend on the rows.
     placed = rows.join(F.broadcast(grid), cells).withColumn("_w", weight).withColumn(
