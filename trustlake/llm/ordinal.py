@@ -88,7 +88,7 @@ def _counted(sample: DataFrame, where: str, only: frozenset[str] | None = None)
 
 def fit_severity(
     sample: DataFrame, grades: int = 3, severe_hits: int | None = 16, max_features: int = MAX_FEATURES, least: int = 4,
-    lift: float = 4.0, penalty: float = 1e-4,
+    lift: float = 12.0, penalty: float = 3e-6,
 ) -> Severity:
     """Fit on bounded rows of ``text, grade`` (0 .. grades - 1), see :func:`training_rows`; null texts or grades teach nothing.
 
@@ -136,7 +136,7 @@ def fit_severity(
     # Many texts have the same few features: equal rows become one row with a weight.
     grouped = stage(binary.groupBy("label", "at", "value").agg(F.count(F.lit(1)).cast("double").alias("weight")), "binary")
     model = LogisticRegression(
-        regParam=penalty, maxIter=60, fitIntercept=False, standardization=False, weightCol="weight",
+        regParam=penalty, maxIter=100, fitIntercept=False, standardization=False, weightCol="weight",
     ).fit(grouped.select("label", "weight", vector("at", "value").alias("features")).coalesce(8))
     fitted = model.coefficients.toArray()
     thresholds = np.maximum.accumulate(-fitted[len(names):])
