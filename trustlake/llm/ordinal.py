@@ -88,7 +88,7 @@ def _counted(sample: DataFrame, where: str, only: frozenset[str] | None = None)
 
 def fit_severity(
     sample: DataFrame, grades: int = 3, severe_hits: int | None = 16, max_features: int = MAX_FEATURES, least: int = 4,
-    lift: float = 12.0, penalty: float = 3e-6,
+    lift: float = 6.0, penalty: float = 3e-6,
 ) -> Severity:
     """Fit on bounded rows of ``text, grade`` (0 .. grades - 1), see :func:`training_rows`; null texts or grades teach nothing.
 
