@@ -186,9 +186,20 @@ near AS (SELECT least(a.file_hash, b.file_hash) AS digest_a, greatest(a.file_has
   FROM contents a JOIN contents b ON a.file_hash < b.file_hash WHERE bit_count(xor(a.dhash, b.dhash)) <= 4)"""
 
 
-@query("hamming_join", f"WITH {NEAR} SELECT digest_a, digest_b, distance::INTEGER AS distance FROM near")
+SIGNED = "(CASE WHEN dhash > 9223372036854775807 THEN dhash::HUGEINT - 18446744073709551616 ELSE dhash::HUGEINT END)::BIGINT"
+
+
+@query("hamming_join", f"""WITH {DHASH}, h AS (SELECT DISTINCT (dhash >> 40)::BIGINT AS s FROM hashes)
+SELECT a.s AS a, b.s AS b, bit_count(xor(a.s, b.s))::INTEGER AS distance FROM h a JOIN h b ON a.s < b.s
+WHERE bit_count(xor(a.s, b.s)) <= 4""")
 def hamming_join(spark, sf):
-    return D.hamming_join(hashed(Tables(spark, sf)))
+    # The upper 24 bits of each hash: invented texts have no close hashes of 64 bits.
+    return D.hamming_join(hashed(Tables(spark, sf)).withColumn("dhash", F.shiftrightunsigned("dhash", 40)))
+
+
+@query("hash_members", f"WITH {DHASH} SELECT DISTINCT {SIGNED} AS h, file_hash FROM hashes")
+def hash_members(spark, sf):
+    return D.hash_members(hashed(Tables(spark, sf)))
 
 
 @query("near_duplicate_clusters", f"""WITH RECURSIVE {NEAR},

@@ -83,24 +83,19 @@ def hamming_pairs(
     return found.distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
 
 
-def hamming_join(
-    hashes: DataFrame, by: Sequence[str] = (), id_col: str = "image_id", hash_col: str = "dhash",
-    digest: str = "file_hash", max_distance: int = 4,
-) -> DataFrame:
-    """Near pairs of digests: contents (not copies) whose hashes are close, ``digest_a < digest_b``.
+def hamming_join(hashes: DataFrame, by: Sequence[str] = (), hash_col: str = "dhash", max_distance: int = 4) -> DataFrame:
+    """Near pairs of distinct hashes ``a < b`` with their distance; :func:`hash_members` says which contents have a hash.
 
-    One row per pair of distinct contents. Files of equal content are exact duplicates and are looked up by digest.
-    The narrow hash table is written to the checkpoint folder first, so that file bytes are read once.
+    Contents of one hash are never paired with each other: m of them would be m * m / 2 rows.
     """
-    contents = cut_lineage(hashes.select(*by, digest, F.col(hash_col).alias("_h")).distinct())
-    pairs = hamming_pairs(contents, by, "_h", max_distance)
-    left = contents.select(*by, F.col(digest).alias("_da"), F.col("_h").alias("a"))
-    right = contents.select(*by, F.col(digest).alias("_db"), F.col("_h").alias("b"))
-    apart = pairs.join(left, [*by, "a"]).join(right, [*by, "b"]).select(*by, "_da", "_db", "distance")
-    equal = left.join(right.withColumnRenamed("b", "a"), [*by, "a"]).where("_da < _db").select(*by, "_da", "_db", F.lit(0).alias("distance"))
-    return apart.union(equal).select(
-        *by, F.least("_da", "_db").alias("digest_a"), F.greatest("_da", "_db").alias("digest_b"), "distance"
-    )
+    return hamming_pairs(hashes, by, hash_col, max_distance)
+
+
+def hash_members(
+    hashes: DataFrame, by: Sequence[str] = (), hash_col: str = "dhash", digest: str = "file_hash"
+) -> DataFrame:
+    """``by..., hash, digest`` once per content: the other half of :func:`hamming_join`."""
+    return hashes.select(*by, F.col(hash_col).cast("long").alias("h"), digest).where("h IS NOT NULL").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
