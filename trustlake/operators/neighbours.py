@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustlake.session import cut_lineage
+
 _MEMBER = "array<struct<n_ord:bigint,n_id:string,n_label:string>>"
 
 
@@ -107,10 +109,22 @@ def _blocks(rows: DataFrame, keys: list[str], name: str, fields: list[str], size
     chunk = F.pmod(F.xxhash64("_uid"), F.col("_chunks"))
     return (
         rows.join(counts, keys).groupBy(*keys, chunk.alias(f"_{name}"))
-        .agg(F.collect_list(F.struct(*fields)).alias(name))
+        .agg(F.collect_list(F.struct(*fields)).alias(name), F.first("_chunks").alias(f"_{name}_chunks"))
     )
 
 
+def _block_pairs(asked: DataFrame, data: DataFrame, keys: list[str]) -> DataFrame:
+    """Every asked block with every data block of its cell; a join key is one such pair, whatever the cell's size."""
+    def counts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max(f"_{name}_chunks").alias(f"_{name}_all"))
+
+    def dealt(rows: DataFrame, other: DataFrame, own: str, others: str) -> DataFrame:
+        numbers = F.sequence(F.lit(0).cast("long"), F.col(f"_{others}_all") - 1)
+        return rows.join(counts(other, others), keys).select(*keys, f"_{own}", F.explode(numbers).alias(f"_{others}"), own)
+
+    return dealt(asked, data, "asked", "data").join(dealt(data, asked, "data", "asked"), [*keys, "_asked", "_data"]).select("asked", "data")
+
+
 def nearest_points(
     points: DataFrame, keys: list[str], k: int, pivots: int, block: int, digits: int = 9
 ) -> DataFrame:
@@ -138,7 +152,7 @@ def nearest_points(
     cell_keys = [*keys, "_cell"]
     data = _blocks(placed, cell_keys, "data", ["_vec", "_members"], block)
     asked = _blocks(queries, cell_keys, "asked", ["_uid", "_vec"], block)
-    pairs = asked.join(data, cell_keys).select("asked", "data")
+    pairs = _block_pairs(asked, data, cell_keys)
     scale = 10.0**digits
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +197,7 @@ def nearest(
         *keys, F.col(id_col).cast("string").alias("_id"), F.col(order).cast("long").alias("_ord"),
         F.col(label).cast("string").alias("_label"), F.col(vector).cast("array<double>").alias("_vec"),
     )
-    points = _points(rows, keys, k)
+    points = cut_lineage(_points(rows, keys, k))  # read by the pivots, the cells and both sides of the join
     if pivots is None:
         count = 0 if keys else points.count()
         pivots = 1 if count < 50_000 else int(min(2048, count**0.5))
