@@ -5,15 +5,18 @@ order of the elements. The order here puts frequent shingles last, so prefixes h
 
 1. Counting: shingles of all texts are counted in hashed cells (a table of fixed size, summed over all rows).
 2. Texts of one set collapse, and texts of one prefix and size collapse into a group.
-3. Groups meet in the shingles of their prefixes. First every bucket is a star: its smallest group against each other
-   one, filtered by size and position, and every group's first text against its other texts. Verified links are
-   contracted to components.
-4. Buckets that still hold several components are expanded to their texts and compared block against block inside tasks;
-   only links that join components leave a task. So no list of all pairs of a bucket ever exists, and none is skipped.
+3. Groups meet in the shingles of their prefixes. In a bucket of few texts they are listed as pairs, which are counted and
+   filtered: similar sets share so many shingles of their prefixes, the first of them so early. A bucket of many texts is a
+   star, its smallest group against each other one. Of all candidates, a spanning part is expanded and verified first, and
+   every group's first text against its other texts; verified links are contracted to components.
+4. Candidates between different components are verified then. Buckets of many texts that still hold several components
+   are expanded to their texts and compared block against block inside tasks; only links that join components leave a task.
+   So no list of all pairs of a large bucket ever exists, and no pair is skipped.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,13 @@ from trustlake.operators.duplicates import connected_components
 from trustlake.session import sized_broadcast
 
 #: Cells of the frequency table; four bytes each in every task, whatever the size of the input.
-CELLS = 1 << 20
-CHUNK = 1 << 10
+CELLS = 1 << 23
+SHIFT = np.uint64(64 - 23)
+CHUNK = 1 << 13
+#: Texts in a bucket up to which its groups are listed as pairs: at most half as many pairs as that for a posting.
+LISTED = 64
+#: Rows above four times the mean from which a cell counts as full.
+FULL = 10_000
 #: Texts of one side of a block pair.
 BLOCK = 512
 GOLD, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -99,25 +107,26 @@ def cell_counts(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
         powers, held = Powers(), np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             sets = [shingles(t, powers, words) for t in batch["text"]]
-            cells = (np.concatenate(sets) >> np.uint64(44)).astype(np.int64) if sets else np.zeros(0, np.int64)
-            held += np.bincount(cells, minlength=CELLS).astype(np.uint32)
+            cells, times = np.unique(np.concatenate(sets) >> SHIFT, return_counts=True)
+            held[cells.astype(np.int64)] += times.astype(np.uint32)
         pieces = held.reshape(-1, CHUNK)
         used = np.flatnonzero(pieces.any(axis=1))
-        yield pd.DataFrame({"chunk": used.astype(np.int32), "counts": [pieces[i].tobytes() for i in used]})
+        yield pd.DataFrame({"chunk": used.astype(np.int32), "counts": [zlib.compress(pieces[i].tobytes(), 1) for i in used]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch["chunk"], batch["counts"]):
-                held[chunk] = held.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint32).astype(np.int64)
-        yield pd.DataFrame({"chunk": np.array(list(held), dtype=np.int32), "counts": [v.tobytes() for v in held.values()]})
+                held[chunk] = held.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), dtype=np.uint32).astype(np.int64)
+        sums = [np.minimum(v, (1 << 32) - 1).astype(np.uint32).tobytes() for v in held.values()]
+        yield pd.DataFrame({"chunk": np.array(list(held), dtype=np.int32), "counts": sums})
 
     kind = "chunk int, counts binary"
-    table = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.int64)
+    table = np.zeros((CELLS // CHUNK, CHUNK), dtype=np.uint32)
     parts = docs.select(F.col(text_col).alias("text")).mapInPandas(count, kind)
-    for row in parts.repartition("chunk").mapInPandas(add, kind).toLocalIterator():  # CELLS numbers, whatever the input
-        table[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return np.minimum(table.reshape(-1), (1 << 32) - 1).astype(np.uint32)
+    for row in parts.repartition("chunk").mapInPandas(add, kind).collect():  # CELLS numbers, whatever the input
+        table[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+    return table.reshape(-1)
 
 
 def prefixes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -127,8 +136,8 @@ def prefixes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
     shingles lie in ordinary cells, the others in cells so full that many documents must hold them.
     """
     table = cell_counts(docs, words, text_col)
-    ranks = docs.sparkSession.sparkContext.broadcast(table)  # 4 MB
-    full = 10_000 + 4 * int(table.mean())
+    ranks = docs.sparkSession.sparkContext.broadcast(table)  # 32 MB
+    full = FULL + 4 * int(table.mean())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers, told = Powers(), set()
@@ -139,7 +148,7 @@ def prefixes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
                 if not len(found):
                     out.append((0, 0, 0, 0, None, 0))
                     continue
-                rank = ranks.value[(found >> np.uint64(44)).astype(np.int64)]
+                rank = ranks.value[(found >> SHIFT).astype(np.int64)]
                 order = np.lexsort((found, rank))[: prefix_length(len(found), percent)]
                 first = found[order]
                 with np.errstate(over="ignore"):
@@ -194,10 +203,28 @@ def shared_postings(rows: DataFrame) -> DataFrame:
     return found.unionByName(each.where("at >= calm").groupBy("token", "g").agg(F.max("n").alias("n"), F.max("at").alias("at")))
 
 
-def _may_link(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> Column:
-    """Size and position filter of two sets that share the shingle at ``ia`` and ``ib`` of their orders."""
-    most = F.least(ia, ib) + 1 + F.least(na - 1 - ia, nb - 1 - ib)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
+def _prefix(n: Column, percent: int) -> Column:
+    return n - F.ceil(F.lit(percent) * n / 100) + 1
+
+
+def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Group pairs ``ga < gb`` of small buckets (``token, g, n, at``) that may reach the similarity.
+
+    If two sets share c shingles of their prefixes, they share no more than c and what lies behind the longer rest; and no
+    more than what lies behind the first shared one. Pairs whose prefixes also share a shingle of a large bucket are counted
+    short here, but they are compared there.
+    """
+    left = postings.select("token", F.col("g").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = postings.select("token", F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ga") < F.col("gb"))
+    pairs = left.join(right, "token").where(close).groupBy("ga", "gb").agg(
+        F.count(F.lit(1)).alias("c"), F.min("ia").alias("ia"), F.min("ib").alias("ib"), F.max("na").alias("na"), F.max("nb").alias("nb"),
+    )
+    na, nb = F.col("na"), F.col("nb")
+    rest = F.col("c") + F.greatest(na - _prefix(na, percent), nb - _prefix(nb, percent))
+    behind = F.least(na - F.col("ia"), nb - F.col("ib"))
+    needed = F.lit(percent) * (na + nb)
+    return pairs.where(((100 + percent) * rest >= needed) & ((100 + percent) * behind >= needed)).select("ga", "gb")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +281,7 @@ def block_links(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[
 
 
 def _open_links(postings: DataFrame, texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` found in buckets that hold more than one component. ``texts``: ``g, rep, n, comp``."""
+    """Links ``a, b`` found in large buckets, and in groups, that hold several components. ``texts``: ``g, rep, n, comp``."""
     groups = texts.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     buckets = postings.join(groups, "g").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     in_tokens = postings.select("token", "g").join(buckets.where("low <> high").select("token"), "token").select(F.lit(0).alias("kind"), "token", "g")
@@ -293,8 +320,13 @@ def similar_documents(
     name = ["n", "s1", "s2"]
     texts = stage(rows.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.min("g").alias("g")), "texts")
     postings = stage(shared_postings(rows), "postings")
-    heads = texts.groupBy("g").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("held"), F.max("n").alias("n"))
-    active = heads.where("held > 1").select("g").union(postings.select("g").distinct()).distinct()
+    heads = texts.groupBy("g").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("held"))
+    sized = postings.join(heads.select("g", "held"), "g")
+    full = sized.groupBy("token").agg(F.sum("held").alias("_texts")).where(F.col("_texts") > LISTED).select("token")
+    full = stage(full, "full")
+    crowded = stage(postings.join(full, "token", "left_semi"), "crowded")
+    listed = stage(listed_pairs(postings.join(full, "token", "left_anti"), percent), "listed")
+    active = heads.where("held > 1").select("g").union(crowded.select("g")).union(listed.select("ga")).union(listed.select("gb")).distinct()
     wanted = stage(texts.join(active, "g", "left_semi"), "wanted").where(F.col("rep") != NO_ID)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,10 +345,10 @@ def similar_documents(
     sets = sources.mapInPandas(whole, "rep long, n long, s1 long, hashes array<bigint>")
     sets = stage(sets.join(wanted.select("rep", "n", "s1"), ["rep", "n", "s1"], "left_semi").dropDuplicates(["rep", "n", "s1"]), "sets")
 
-    centre = postings.groupBy("token").agg(F.min(F.struct("g", "n", "at")).alias("c"))
-    stars = postings.join(centre, "token").where("g <> c.g").where(
-        _may_link(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent)
-    ).select(F.col("c.g").alias("ga"), F.col("g").alias("gb")).distinct()
+    centre = crowded.groupBy("token").agg(F.min("g").alias("ga"))
+    stars = crowded.join(centre, "token").where("g <> ga").select("ga", F.col("g").alias("gb")).union(
+        listed.groupBy("gb").agg(F.min("ga").alias("ga")).select("ga", "gb")
+    ).distinct()
     first = wanted.groupBy("g").agg(F.min("rep").alias("head"))
     across = stars.join(first.select(F.col("g").alias("ga"), F.col("head").alias("a")), "ga").join(
         first.select(F.col("g").alias("gb"), F.col("head").alias("b")), "gb"
@@ -324,8 +356,11 @@ def similar_documents(
     inside = wanted.join(first, "g").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
     links = stage(verified(across.union(inside).where("a <> b").distinct(), sets, percent), "stars")
     rough = stage(connected_components(links), "rough")
-    placed = wanted.join(rough, F.col("rep") == F.col("node"), "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    more = stage(_open_links(postings, stage(placed, "placed"), sets, percent), "links")
+    placed = stage(wanted.join(rough, F.col("rep") == F.col("node"), "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("comp")), "placed")
+    left = placed.select(F.col("g").alias("ga"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    right = placed.select(F.col("g").alias("gb"), F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    between = listed.join(left, "ga").join(right, "gb").where("ca <> cb").select("a", "b")
+    more = stage(verified(between, sets, percent).union(_open_links(crowded, placed, sets, percent)), "links")
     final = stage(connected_components(links.union(more)), "components")
     settled = texts.join(final, F.col("rep") == F.col("node"), "left").select(
         *name, F.when(F.col("rep") != NO_ID, F.coalesce("component", "rep")).alias("component_id")
