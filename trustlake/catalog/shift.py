@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trustlake.catalog.base import Tables, fx, query
+from trustlake.functions.binary import quality_scalars
 from trustlake.functions.numeric import fixed
 from trustlake.functions.risk import calibrated_confidence
 from trustlake.operators import shift as S
@@ -255,3 +256,62 @@ def confidence_calibration(spark, sf):
     enough = (F.col("total_ref") >= 15) & (F.col("total_eval") >= 15)
     score = calibrated_confidence(F.col("tv"), enough, 0.65, 0.55, 0.40, 0.25)
     return tv.select("source", enough.alias("sufficient"), fixed(score, 6).alias("confidence"))
+
+
+QUALITY_SAMPLES = f"""raw AS (SELECT page_id, strlen(html) AS n, list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda x: ('0x' || x)::INTEGER) AS bs FROM pages),
+figures AS (SELECT page_id, coalesce(list_avg(bs), 0) / 255 AS luminance, coalesce(list_stddev_pop(bs), 0) / 255 AS contrast,
+  coalesce(list_avg(list_transform(range(1, n), lambda i: abs(bs[i + 1] - bs[i]))), 0) / 255 AS sharpness FROM raw),
+long AS (UNPIVOT figures ON luminance, contrast, sharpness INTO NAME metric_name VALUE v),
+samples AS (SELECT page_id % 5 AS grp, metric_name, CASE WHEN page_id // 5 % 2 = 0 THEN 'ref' ELSE 'eval' END AS side, {fx('v')} AS v FROM long)"""
+
+
+@query("environmental_shift", f"""WITH {QUALITY_SAMPLES}, {ecdf_sql('grp, metric_name')},
+rolled AS (SELECT grp, {fx('avg(w1)')} AS metric, min(p_value) AS p_value, count(*) FILTER (p_value < 0.01) AS significant, max(n_ref) AS n_ref,
+  max(n_eval) AS n_eval FROM scored GROUP BY grp)
+SELECT grp, 'environmental_drift' AS dimension, metric > 0.01 OR (significant >= 2 AND metric > 0.0075) AS detected, metric, p_value, 'MEDIUM' AS severity,
+  {fx('CASE WHEN n_ref >= 15 AND n_eval >= 15 THEN least(0.95, greatest(0.6, 0.5 + metric * 0.45)) ELSE least(0.4, 0.2 + metric * 0.3) END')} AS confidence,
+  n_ref, n_eval, significant FROM rolled""")
+def environmental_shift(spark, sf):
+    page = F.col("page_id")
+    figures = quality_scalars(F.encode("html", "UTF-8"), F.lit(1), F.lit(1))
+    rows = Tables(spark, sf)("pages").select(
+        (page % 5).alias("grp"), F.when(F.floor(page / 5) % 2 == 0, "ref").otherwise("eval").alias("side"), figures.alias("q")
+    ).select("grp", "side", "q.*")
+    return S.environmental_shift(rows, ["grp"], threshold=0.01).withColumn("confidence", fixed(F.col("confidence"), 6))
+
+
+REPORT_DIMENSIONS = ("covariate_shift", "semantic_shift", "environmental_drift", "adversarial_manipulation")
+
+
+def _bounded(x: str, low: float, high: float) -> str:
+    return fx(f"least({high}, greatest({low}, {x}))", 4)
+
+
+@query("shift_report", f"""WITH base AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, {list(REPORT_DIMENSIONS)}[c_custkey % 4 + 1] AS dimension,
+  min((c_acctbal + 1000) / 11000) AS m FROM customer GROUP BY ALL),
+dims AS (SELECT nation, segment, dimension, {fx('m')} AS metric FROM base),
+sizes AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*) FILTER (c_custkey // 4 % 2 = 0) AS n_ref, count(*) FILTER (c_custkey // 4 % 2 = 1) AS n_eval
+  FROM customer GROUP BY ALL),
+rolled AS (SELECT nation, segment, {fx("sum(metric * CASE dimension WHEN 'covariate_shift' THEN 0.4 WHEN 'semantic_shift' THEN 0.3 WHEN 'environmental_drift' THEN 0.2 ELSE 0.1 END::DOUBLE)")} AS overall,
+  bool_or(metric > 0.3) AS shift_detected, coalesce(max(metric) FILTER (dimension = 'covariate_shift'), 0) AS cov,
+  coalesce(max(metric) FILTER (dimension = 'environmental_drift'), 0) AS env, coalesce(max(metric) FILTER (dimension = 'adversarial_manipulation'), 0) AS manip
+  FROM dims GROUP BY ALL),
+kinds AS (SELECT *, n_ref >= 4 AND n_eval >= 4 AS enough, CASE WHEN NOT (n_ref >= 4 AND n_eval >= 4) THEN 1 WHEN manip > 0.3 THEN 2 WHEN env > 0.3 THEN 3
+  WHEN cov <= 0.3 AND overall < 0.1 THEN 4 WHEN cov > 0.3 THEN 5 ELSE 6 END AS kind FROM rolled JOIN sizes USING (nation, segment))
+SELECT nation, segment, n_ref, n_eval, overall AS overall_distance, shift_detected,
+  ['INSUFFICIENT_SAMPLES', 'SUSPICIOUS_MANIPULATION', 'NATURAL_ENVIRONMENTAL_DRIFT', 'NO_SIGNIFICANT_SHIFT', 'COVARIATE_DOMAIN_SHIFT', 'INDETERMINATE_SHIFT'][kind] AS characterization,
+  CASE kind WHEN 1 THEN {_bounded('overall * 0.5', 0.05, 0.35)} WHEN 2 THEN {fx('greatest(0.05, 0.35 - manip * 0.30)', 4)} WHEN 3 THEN {_bounded('0.5 + env * 0.45', 0.65, 0.95)}
+    WHEN 4 THEN 0.05 WHEN 5 THEN {_bounded('cov * 0.7', 0.2, 0.8)} ELSE {_bounded('overall', 0.1, 0.5)} END::DOUBLE AS natural_drift_likelihood,
+  CASE kind WHEN 1 THEN {_bounded('manip * 0.5', 0.05, 0.35)} WHEN 2 THEN {_bounded('0.5 + manip * 0.5', 0.65, 0.95)} WHEN 3 THEN {_bounded('manip * 0.30', 0.05, 0.25)}
+    WHEN 4 THEN 0.05 WHEN 5 THEN {_bounded('manip * 0.5', 0.05, 0.4)} ELSE {_bounded('manip', 0.1, 0.5)} END::DOUBLE AS suspicious_manipulation_likelihood,
+  enough AS evidence_sufficient FROM kinds""")
+def shift_report(spark, sf):
+    keys = [F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")]
+    kind = F.element_at(F.array(*[F.lit(d) for d in REPORT_DIMENSIONS]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = Tables(spark, sf)("customer").select(
+        *keys, kind.alias("dimension"), F.floor(F.col("c_custkey") / 4).alias("half"), ((F.col("c_acctbal") + 1000) / 11000).alias("m")
+    )
+    by = ["nation", "segment"]
+    dims = rows.groupBy(*by, "dimension").agg(fixed(F.min("m"), 6).alias("metric")).withColumn("detected", F.col("metric") > 0.3)
+    sizes = rows.groupBy(*by).agg(F.count_if(F.col("half") % 2 == 0).alias("n_ref"), F.count_if(F.col("half") % 2 == 1).alias("n_eval"))
+    return S.shift_report(dims, sizes, by, min_n=4)
