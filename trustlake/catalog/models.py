@@ -135,8 +135,10 @@ _DELTA = " + ".join(
     for k in "xy"
 )
 IOU_PAIRS = BOXES + f""",
-pairs AS (SELECT a.probe_id, a.det_no AS c_no, b.det_no AS r_no, {IOU_SQL} AS iou, {_DELTA} AS delta
-  FROM det a JOIN det b ON a.probe_id = b.probe_id WHERE a.model_id = 'cand' AND b.model_id = 'ref' AND {_IW} > 0 AND {_IH} > 0)"""
+ours AS MATERIALIZED (SELECT probe_id, det_no, box FROM det WHERE model_id = 'cand'),
+theirs AS MATERIALIZED (SELECT probe_id, det_no, box FROM det WHERE model_id = 'ref'),
+met AS MATERIALIZED (SELECT o.probe_id, o.det_no AS c_no, t.det_no AS r_no, {{'box': o.box}} AS a, {{'box': t.box}} AS b FROM ours o JOIN theirs t ON o.probe_id = t.probe_id),
+pairs AS (SELECT probe_id, c_no, r_no, {IOU_SQL} AS iou, {_DELTA} AS delta FROM met WHERE {_IW} > 0 AND {_IH} > 0)"""
 
 
 def detections(t: Tables):
