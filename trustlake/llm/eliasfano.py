@@ -9,9 +9,11 @@ of each value packed, and the high parts as unary gaps in a bit vector of ``n +
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -123,7 +125,8 @@ class Words:
     leave it as it is but for its case; every other word takes the whole way.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 400_000):
+    def __init__(self, path: str, dtype: str, most: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -165,6 +168,12 @@ class Words:
         return [b"".join([known[w] for w in words]) + end for words in split]
 
 
+@lru_cache(maxsize=1)
+def words_of_worker(path: str, dtype: str) -> Words:
+    """One tokenizer and cache per Python worker, whatever number of tasks it runs."""
+    return Words(path, dtype)
+
+
 def write_token_blocks(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, wide: bool = False, block_ids: int = BLOCK_IDS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -181,7 +190,7 @@ def write_token_blocks(
     dtype = "<u4" if wide else "<u2"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Words(tokenizer_path, dtype)
+        encoder = words_of_worker(tokenizer_path, dtype)
         width, keys, parts, held = np.dtype(dtype).itemsize, [], [], 0
         number = TaskContext.get().partitionId() << 32  # ranges are numbered in order, and so are blocks
         names = [c.split()[0] for c in BLOCKS.split(", ")]
