@@ -136,6 +136,7 @@ def test_artifact_scan(spark, tmp_path):
     files = {
         "ok.pt": b"weights" * 10, "evil.pt": b"..cposix\nsystem..", "odd.txt": b"x", "zip_ok.pt": archive(data__0=b"abc"),
         "zip_evil.pt": archive(archive__data_pkl=b"x", a_pkl=b"x").replace(b"zz", b"zz"), "bomb.pt": archive(big=b"\0" * (11 * 1024**2)), "broken.pt": b"PK\x03\x04rubbish",
+        "deep.pt": b"w" * (17 * 1024**2) + b"cposix\nsystem", "edge.pth": archive(**{"m.pkl": b"k" * (1024**2 - 5) + b"cbuiltins\neval"}),
         "script.pth": archive(**{"run.sh": b"x"}), "climb.pth": archive(**{"..__x": b"x"}), "pickle.pth": archive(**{"m.pkl": b"cbuiltins\neval"}),
     }
     for name, body in files.items():
@@ -143,7 +144,7 @@ def test_artifact_scan(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r["problems"] for r in scan_artifacts(spark, str(tmp_path / "m")).collect()}
     assert {n for n, p in got.items() if not p} == {"ok.pt", "zip_ok.pt", "zip_evil.pt"}
     first = {n: p[0].split(":")[0] for n, p in got.items() if p}
-    assert first == {"evil.pt": "unsafe_signature", "odd.txt": "unsupported_extension", "bomb.pt": "compression_ratio", "broken.pt": "malformed_archive",
+    assert first == {"evil.pt": "unsafe_signature", "deep.pt": "unsafe_signature", "edge.pth": "unsafe_signature", "odd.txt": "unsupported_extension", "bomb.pt": "compression_ratio", "broken.pt": "malformed_archive",
                      "script.pth": "executable_script", "climb.pth": "path_traversal", "pickle.pth": "unsafe_signature"}
     empty = spark.createDataFrame([("e.onnx", bytearray(), 0)], "path string, content binary, size_bytes long")
     assert scan_contents(empty).first()["problems"] == ["empty_file"]

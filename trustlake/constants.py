@@ -64,7 +64,6 @@ YAML_NAMES = ("data.yaml", "data.yml", "dataset.yaml", "dataset.yml")
 # Accepted model file extensions and limits of the artifact scan.
 MODEL_FORMATS = {"onnx": "onnx", "pt": "pytorch", "pth": "pytorch", "torchscript": "torchscript", "bin": "binary"}
 MAX_MODEL_BYTES = 2 * 1024**3
-MAX_SCAN_BYTES = 16 * 1024**2
 MAX_ARCHIVE_RATIO = 100.0
 RATIO_MIN_BYTES = 10 * 1024**2
 MAX_ARCHIVE_BYTES = 10 * 1024**3

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.constants import (
-    MAX_ARCHIVE_BYTES, MAX_ARCHIVE_RATIO, MAX_MODEL_BYTES, MAX_SCAN_BYTES, MODEL_FORMATS, RATIO_MIN_BYTES, SCRIPT_SUFFIXES, UNSAFE_SIGNATURES,
+    MAX_ARCHIVE_BYTES, MAX_ARCHIVE_RATIO, MAX_MODEL_BYTES, MODEL_FORMATS, RATIO_MIN_BYTES, SCRIPT_SUFFIXES, UNSAFE_SIGNATURES,
 )
 from trustlake.functions.risk import case_of
 from trustlake.functions.text import extension
@@ -21,7 +21,22 @@ def _name(signature: bytes) -> str:
     return signature.decode("ascii").strip()
 
 
-def _member_problems(content: bytes, max_ratio: float, max_total: int, scan_bytes: int) -> tuple[list[str], list[str]]:
+#: Bytes of an archive member in memory at a time.
+PIECE = 1 << 20
+
+
+def _signatures(member: io.BufferedIOBase) -> list[bytes]:
+    """Signatures anywhere in a member, read in pieces that overlap by the longest of them."""
+    keep = max(map(len, UNSAFE_SIGNATURES)) - 1
+    found, tail = set(), b""
+    while piece := member.read(PIECE):
+        tail += piece
+        found |= {s for s in UNSAFE_SIGNATURES if s in tail}
+        tail = tail[-keep:]
+    return [s for s in UNSAFE_SIGNATURES if s in found]
+
+
+def _member_problems(content: bytes, max_ratio: float, max_total: int) -> tuple[list[str], list[str]]:
     """Problems and warnings of one archive, from its directory and its pickled members."""
     problems, warnings, total = [], [], 0
     try:
@@ -38,11 +53,11 @@ def _member_problems(content: bytes, max_ratio: float, max_total: int, scan_byte
                 if low.endswith((".pkl", "/data")) or "pickle" in low:
                     try:
                         with archive.open(info) as member:
-                            head = member.read(scan_bytes)
+                            unsafe = _signatures(member)
                     except Exception as error:  # noqa: BLE001
                         warnings.append(f"unreadable_member: {name}: {error}")
                         continue
-                    problems += [f"unsafe_signature: {name}: {_name(s)}" for s in UNSAFE_SIGNATURES if s in head]
+                    problems += [f"unsafe_signature: {name}: {_name(s)}" for s in unsafe]
             if total > max_total:
                 problems.append("archive_too_large")
     except zipfile.BadZipFile:
@@ -51,23 +66,22 @@ def _member_problems(content: bytes, max_ratio: float, max_total: int, scan_byte
 
 
 def scan_artifacts(
-    spark: SparkSession, path: str, max_bytes: int = MAX_MODEL_BYTES, scan_bytes: int = MAX_SCAN_BYTES,
+    spark: SparkSession, path: str, max_bytes: int = MAX_MODEL_BYTES,
     max_ratio: float = MAX_ARCHIVE_RATIO, max_archive_bytes: int = MAX_ARCHIVE_BYTES,
 ) -> DataFrame:
     """One row per file: format, digest, problems, warnings and ``is_safe``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return scan_contents(files.select("path", "content", F.col("length").alias("size_bytes")), max_bytes, scan_bytes, max_ratio, max_archive_bytes)
+    return scan_contents(files.select("path", "content", F.col("length").alias("size_bytes")), max_bytes, max_ratio, max_archive_bytes)
 
 
 def scan_contents(
-    files: DataFrame, max_bytes: int = MAX_MODEL_BYTES, scan_bytes: int = MAX_SCAN_BYTES,
+    files: DataFrame, max_bytes: int = MAX_MODEL_BYTES,
     max_ratio: float = MAX_ARCHIVE_RATIO, max_archive_bytes: int = MAX_ARCHIVE_BYTES,
 ) -> DataFrame:
-    """Scan rows ``path, content, size_bytes``. Plain streams are searched natively; only archives reach Python."""
+    """Scan rows ``path, content, size_bytes``, whole. Plain streams are searched natively; only archives reach Python."""
     kind = extension(F.col("path"))
     is_zip = F.substring("content", 1, 4) == F.lit(b"PK\x03\x04")
-    head = F.substring("content", 1, scan_bytes)
-    raw = [F.when(~is_zip & F.contains(head, F.lit(s)), F.lit(f"unsafe_signature: {_name(s)}")) for s in UNSAFE_SIGNATURES]
+    raw = [F.when(~is_zip & F.contains("content", F.lit(s)), F.lit(f"unsafe_signature: {_name(s)}")) for s in UNSAFE_SIGNATURES]
     basic = [
         F.when(F.col("size_bytes") == 0, "empty_file"), F.when(F.col("size_bytes") > max_bytes, "file_too_large"),
         F.when(~kind.isin(*MODEL_FORMATS), "unsupported_extension"),
@@ -75,7 +89,7 @@ def scan_contents(
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [_member_problems(c, max_ratio, max_archive_bytes, scan_bytes) for c in pdf["content"]]
+            found = [_member_problems(c, max_ratio, max_archive_bytes) for c in pdf["content"]]
             yield pd.DataFrame({"path": pdf["path"], "_inner": [f[0] for f in found], "warnings": [f[1] for f in found]})
 
     archives = files.where(is_zip).select("path", "content").mapInPandas(members, "path string, _inner array<string>, warnings array<string>")
