@@ -80,7 +80,7 @@ def _counted(sample: DataFrame, where: str, only: frozenset[str] | None = None)
         for batch in batches:
             for text in batch["text"]:
                 found = features_of(text).keys()
-                seen.update(found if only is None else found & only)
+                seen.update(found if only is None else only.intersection(found))
         yield pd.DataFrame({"feature": list(seen), "n": list(seen.values())}).astype({"feature": object, "n": "int64"})
 
     return sample.where(where).mapInPandas(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
