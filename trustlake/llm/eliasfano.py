@@ -132,33 +132,40 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.model, self.dtype, self.most = self.tokenizer.model, dtype, most
+        # Two generations: when the newer one is full it becomes the older, which words in use move out of again.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self._raw(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _letters(self, word: str) -> bytes:
-        found = self.known.get(word)
+        found = self.known.get(word) or self.old.get(word)
         if found is None:
-            found = self.known[word] = self._raw([t.id for t in self.model.tokenize(word)])
+            found = self._raw([t.id for t in self.model.tokenize(word)])
+        self.known[word] = found
         return found
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
-        new = words - self.known.keys()
-        marks = {m: self._raw(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
-        others = []
-        for word in new:
+        if len(self.known) > self.most:
+            self.old, self.known = self.known, {}
+        known, old, marks, others = self.known, self.old, self.marks, []
+        for word in words:
+            if word in known:
+                continue
+            if (raw := old.get(word)) is not None:
+                known[word] = raw
+                continue
             core = word[:-1] if word[-1] in marks else word
             if core.isascii() and core.isalpha():
-                self.known[word] = self._letters(core.lower()) + (marks[word[-1]] if core is not word else b"")
+                known[word] = self._letters(core.lower()) + (marks[word[-1]] if core is not word else b"")
             else:
                 others.append(word)
         for start in range(0, len(others), 2000):
             some = others[start:start + 2000]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = self._raw(got.ids)
+                known[word] = self._raw(got.ids)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         end = self._raw([end_id])
