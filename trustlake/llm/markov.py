@@ -23,6 +23,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: What the models look at: runs of key characters of this length or more.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # and the start of a string
 _CODE = np.full(128, SIZE - 1)
@@ -84,9 +85,14 @@ def transition_counts(samples: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((2, SIZE * SIZE), dtype=np.int64)
         for batch in batches:
-            for string, secret in zip(batch["string"], batch["secret"]):
-                if string is not None and secret is not None and string.isascii() and string:
-                    held[int(secret)] += np.bincount(_pairs(string), minlength=SIZE * SIZE)
+            kinds = batch["secret"].astype("boolean").fillna(False).to_numpy(dtype=bool)
+            known = batch["secret"].notna().to_numpy()
+            for secret in (False, True):
+                strings = [t for t in batch["string"][known & (kinds == secret)] if t is not None and t.isascii()]
+                # A character outside the alphabet has the code of a start, as the break between strings has.
+                codes = _codes("\0" + "\0".join(strings))
+                pairs = (codes[:-1] * SIZE + codes[1:])[codes[1:] < SIZE - 1]
+                held[int(secret)] += np.bincount(pairs, minlength=SIZE * SIZE)
         kind, pair = np.nonzero(held)
         yield pd.DataFrame({"secret": kind.astype(bool), "pair": pair.astype(np.int32), "n": held[kind, pair]})
 
@@ -117,7 +123,7 @@ def labelled_strings(docs: DataFrame, max_docs: int = 20_000, seed: int = 3, tex
     """``string, secret`` from about ``max_docs`` documents (a bound of the training only; scanning reads every row).
 
     Values that a base pattern marks are the secrets; runs of six key characters or more outside of such spans are the
-    ordinary identifiers, as long as they do not mix letters and digits as keys do.
+    ordinary identifiers, each once a document, as long as they do not mix letters and digits as keys do.
     """
     small_batches(docs.sparkSession)
     part = min(1.0, max_docs / max(1, docs.count()))
@@ -133,12 +139,13 @@ def labelled_strings(docs: DataFrame, max_docs: int = 20_000, seed: int = 3, tex
                 values = [v for v in values if "." not in v] + [text[s:e] for s, e, k in base if k != "assign"]
                 strings += values
                 secret += [True] * len(values)
+                plain = set()
                 for m in IDENTIFIER.finditer(text):
-                    if any(s < m.end() and m.start() < e for s, e, _ in base):
-                        continue
-                    if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
-                        strings.append(m[0])
-                        secret.append(False)
+                    if not any(s < m.end() and m.start() < e for s, e, _ in base):
+                        plain.add(m[0])
+                plain = [p for p in plain if not (DIGIT.search(p) and LETTER.search(p))]
+                strings += plain
+                secret += [False] * len(plain)
             yield pd.DataFrame({"string": pd.Series(strings, dtype=object), "secret": pd.Series(secret, dtype=bool)})
 
     return rows.select("text").mapInPandas(label, "string string, secret boolean")
