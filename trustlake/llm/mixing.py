@@ -10,7 +10,7 @@ from trustlake.llm.common import WORD, seeded, stage
 
 SEED = 20_011
 #: Rows whose order is decided in one task; a larger source is cut into more such pieces.
-PIECE = 20_000
+PIECE = 2_000
 
 
 def numbered_sources(rows: DataFrame) -> DataFrame:
