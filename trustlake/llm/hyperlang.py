@@ -123,7 +123,8 @@ def fit_prototypes(labelled: DataFrame, max_rows: int = MAX_ROWS, dims: int = DI
             for lang in set(batch["lang"][has]):
                 mine = (batch["lang"] == lang).to_numpy() & has
                 held[lang] = held.get(lang, 0) + fixed[mine].sum(axis=0)
-        yield pd.DataFrame({"lang": list(held), "sums": [v.tolist() for v in held.values()]})
+        if held:
+            yield pd.DataFrame({"lang": list(held), "sums": [v.tolist() for v in held.values()]})
 
     parts = sample.mapInPandas(bundle, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("dim", "part"))
     summed = parts.groupBy("lang", "dim").agg(F.sum("part").alias("total"))
