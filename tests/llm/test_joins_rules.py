@@ -155,6 +155,18 @@ def test_inconsistent_values_are_no_copy(spark):
     assert leak(spark, [same, mixed], [(1, item)]) == {0: (True, True), 1: (False, False)}
 
 
+def test_items_of_one_template_are_each_compared(spark, monkeypatch):
+    a = "the grocer buys 3 apples and 3 pears and then sells all of them at the old market"
+    b = a.replace("3 pears", "4 pears")
+    for share in (templates.SHARE, 1):
+        monkeypatch.setattr(templates, "SHARE", share)
+        assert leak(spark, [b, a], [(1, a), (2, b)]) == {0: (True, False), 1: (True, False)}
+    df = spark.createDataFrame([(0, b)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    assert templates.find_leaks(df, bench).first()["n_items"] == 1
+    assert templates.drop_leaks(df, bench).count() == 0
+
+
 def test_templates_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (None, "too short"), (3, "")], "item_id long, text string")
     assert templates.find_leaks(odd, bench).where("leaked").count() == 0

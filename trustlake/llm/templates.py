@@ -18,8 +18,10 @@ WIDTH = 13
 SHORTEST = 8
 #: Tokens of a window that must be words.
 LITERALS = 6
-#: Windows of a benchmark that may be broadcast (24 bytes each); beyond it both sides are shuffled by the hash.
+#: Windows of a benchmark that may be broadcast (12 bytes each); beyond it both sides are shuffled by the hash.
 BROADCAST_WINDOWS = 2_000_000
+#: Windows of items that one hash brings to one key of a join; more are dealt out.
+SHARE = 1000
 UNITS = (
     "mm|cm|dm|m|km|in|ft|yd|mi|miles|metres|meters|mg|g|kg|t|lb|oz|grams|ml|l|litres|liters|s|sec|seconds|min|minutes|h|hours|days|weeks|"
     "months|years|K|V|W|kW|A|J|kJ|Hz|kHz|MHz|Pa|bar|km/h|mph|percent|euros|dollars|cents|pounds"
@@ -67,15 +69,27 @@ def _with_slots(df: DataFrame, text_col: str) -> DataFrame:
     return tokens.withColumn("slots", F.arrays_zip(at.alias("at"), F.col("_values").alias("value"))).drop("_tokens", "_values")
 
 
+def _near(slots: str, at: str, width: int) -> Column:
+    """Values of the slots inside the window at ``at``, in their order."""
+    inside = F.filter(slots, lambda s: (s["at"] >= F.col(at)) & (s["at"] < F.col(at) + width))
+    return F.transform(inside, lambda s: s["value"])
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``hash, item_id, item_at``, one row per template, and the window width: that of the shortest usable item, 13 at most."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), template_tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") >= SHORTEST)
+    """``hash, item_id, item_at, item_values, salt`` of every item that has the window, and the window width: that of the
+    shortest usable item, 13 at most. Items that share a template all stay; ``salt`` deals out those of one hash."""
+    items = _with_slots(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "text").select(
+        "item_id", "slots", template_tokens(F.col("text")).alias("tokens")
+    ).where(F.size("tokens") >= SHORTEST)
     shortest = items.agg(F.min(F.size("tokens"))).first()[0]
     width = min(WIDTH, shortest or WIDTH)
-    each = items.select("item_id", "tokens", F.explode(_windows(F.col("tokens"), width)).alias("w"))
+    each = items.select("item_id", "slots", "tokens", F.explode(_windows(F.col("tokens"), width)).alias("w"))
     words = F.size(F.filter(F.slice("tokens", F.col("w.at"), width), lambda w: ~_is_slot(w)))
-    rows = each.where(words >= min(LITERALS, width)).groupBy(F.col("w.hash").alias("hash")).agg(F.min(F.struct("item_id", "w.at")).alias("first"))
-    return stage(rows.select("hash", F.col("first.item_id").alias("item_id"), F.col("first.at").alias("item_at")), "templates"), width
+    rows = each.where(words >= min(LITERALS, width)).select("item_id", "slots", "w.hash", F.col("w.at").alias("item_at"))
+    rows = rows.select("hash", "item_id", "item_at", _near("slots", "item_at", width).alias("item_values")).distinct()
+    sized = rows.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("item_id", "item_at", "item_values"), F.col("salts")).cast("int").alias("salt")
+    return stage(rows.join(sized, "hash").select("hash", "item_id", "item_at", "item_values", "salts", salt), "templates"), width
 
 
 def template_matches(
@@ -83,41 +97,37 @@ def template_matches(
 ) -> DataFrame:
     """``text_key, item_id, windows, verbatim`` for texts that hold consistent template windows of an item.
 
-    Texts are known by a 64-bit hash, so copies of a text are one case. The windows of the benchmark are broadcast when
-    counting shows that they are few, else both sides are shuffled; matching texts are looked at again for their values.
+    Texts are known by a 64-bit hash, so copies of a text are one case. The distinct hashes of the benchmark are broadcast
+    when counting shows that they are few, else both sides are shuffled; matching texts are looked at again for their
+    values, and a window is held against the values of every item that has its hash.
     """
-    windows, width = benchmark_windows(benchmark, item_col, item_text_col)
+    owners, width = benchmark_windows(benchmark, item_col, item_text_col)
+    windows = owners.select("hash", "salts").distinct()
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     key = F.xxhash64(F.col(text_col)).alias("text_key")
     tokens = docs.where(F.col(text_col).isNotNull()).select(key, template_tokens(F.col(text_col)).alias("tokens"))
     each = tokens.select("text_key", F.explode(_windows(F.col("tokens"), width)).alias("w")).select("text_key", "w.at", "w.hash")
-    hits = stage(each.join(F.broadcast(windows) if few else windows, "hash").select("text_key", "at", "item_id", "item_at").distinct(), "hits")
-
-    def near(slots: str, at: str) -> Column:
-        return F.filter(slots, lambda s: (s["at"] >= F.col(at)) & (s["at"] < F.col(at) + width))
-
+    hits = stage(each.join(F.broadcast(windows) if few else windows, "hash").select("text_key", "at", "hash", "salts").distinct(), "hits")
     wanted = hits.select("text_key").distinct()
     small = wanted.limit(200_001).count() <= 200_000
     texts = docs.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text")).join(F.broadcast(wanted) if small else wanted, "text_key", "left_semi")
-    slotted = _with_slots(texts.groupBy("text_key").agg(F.min("text").alias("text")), "text").select("text_key", F.col("slots").alias("slots"))
-    items = _with_slots(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), "text").select(
-        "item_id", F.col("slots").alias("item_slots")
-    )
-    lined = hits.join(slotted, "text_key").join(items, "item_id").select(
-        "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at",
-        F.arrays_zip(near("item_slots", "item_at").alias("i"), near("slots", "at").alias("d")).alias("pairs"),
+    slotted = _with_slots(texts.groupBy("text_key").agg(F.min("text").alias("text")), "text").select("text_key", "slots")
+    valued = hits.join(slotted, "text_key").select("text_key", "at", "hash", "salts", _near("slots", "at", width).alias("values"))
+    salted = valued.select("text_key", "at", "hash", "values", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    lined = salted.join(owners.drop("salts"), ["hash", "salt"]).select(
+        "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", F.arrays_zip("item_values", "values").alias("pairs"),
     )
     alignment = ["text_key", "item_id", "shift"]
     pairs = lined.select(*alignment, F.explode("pairs").alias("p")).select(
-        *alignment, F.col("p.i.value").alias("iv"), F.col("p.d.value").alias("dv")
+        *alignment, F.col("p.item_values").alias("iv"), F.col("p.values").alias("dv")
     ).groupBy(*alignment, "iv").agg(F.min("dv").alias("low"), F.max("dv").alias("high"))
     answers = pairs.groupBy(*alignment).agg(
         F.bool_and(F.col("low").eqNullSafe(F.col("high"))).alias("consistent"),
         F.bool_and(F.col("low").eqNullSafe(F.col("iv")) & F.col("high").eqNullSafe(F.col("iv"))).alias("verbatim"),
     )
-    counted = lined.groupBy(*alignment).agg(F.count_distinct("at").alias("windows")).join(answers, alignment, "left")
+    counted = lined.groupBy(*alignment).agg(F.count_distinct("at").alias("windows"))
     yes = F.lit(True)
-    return counted.where(F.coalesce("consistent", yes)).groupBy("text_key", "item_id").agg(
+    return counted.join(answers, alignment, "left").where(F.coalesce("consistent", yes)).groupBy("text_key", "item_id").agg(
         F.sum("windows").alias("windows"), F.bool_or(F.coalesce("verbatim", yes)).alias("verbatim")
     )
 
@@ -130,7 +140,7 @@ def find_leaks(
 
     ``reparameterised`` says that no matching item occurs with its own values. A null or empty text, or one shorter than a
     window, does not leak; a null id stays in the result; repeated rows are judged alike; items without text or with under
-    eight tokens match nothing, and an empty benchmark finds nothing. Where items share a window, one of them stands for it.
+    eight tokens match nothing, and an empty benchmark finds nothing. Items that share a template are each compared.
     """
     found = template_matches(docs, benchmark, text_col, item_col, item_text_col).groupBy(F.col("text_key").alias("_leak")).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("windows").alias("n_windows"), (~F.bool_or("verbatim")).alias("reparameterised"),
