@@ -167,6 +167,18 @@ def test_items_of_one_template_are_each_compared(spark, monkeypatch):
     assert templates.drop_leaks(df, bench).count() == 0
 
 
+def test_edited_copies_are_found(spark):
+    item = (
+        "The keeper Anna counts 40 lamps along the quiet road to the harbour and writes them into a long book before the night "
+        "falls over the town and all of the boats come home with fish for the market where Anna sells what is left of it to them"
+    )
+    name, opener = item.replace("where Anna", "where Berta"), f"{item}. The end".replace("The end", "This end")
+    short = "if Anna pays all of it then we and Anna share what is left over there"
+    texts = [name, opener, short.replace("and Anna", "and Berta"), name.replace("40", "50")]
+    assert leak(spark, texts, [(1, item), (2, f"{item}. The end")]) == {0: (True, False), 1: (True, False), 2: (False, False), 3: (True, False)}
+    assert leak(spark, [name], [(1, item.replace("40", "60"))]) == {0: (True, False)}
+
+
 def test_templates_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (None, "too short"), (3, "")], "item_id long, text string")
     assert templates.find_leaks(odd, bench).where("leaked").count() == 0

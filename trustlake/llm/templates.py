@@ -1,13 +1,14 @@
 """Benchmark decontamination by template windows: copied questions are found even with other numbers, names or units.
 
 Numbers, units behind numbers and capitalised words become typed placeholders, case and punctuation go, and windows of
-the remaining tokens are hashed and joined. A match counts when the values behind the placeholders map consistently:
-within one alignment of a text with an item, an item's value is always answered by the same value of the text.
+the remaining tokens are hashed and joined. A window counts when its values are the item's own, and a run of adjoining
+windows when its values map consistently: an item's value is always answered by the same value of the text. Whether a text
+holds an item with the item's own values is told from the whole alignment of the two.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlake.llm.common import stage
@@ -95,7 +96,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
 def template_matches(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """``text_key, item_id, windows, verbatim`` for texts that hold consistent template windows of an item.
+    """``text_key, item_id, windows, verbatim`` for texts that hold a verbatim window or a consistent run of windows of an item.
 
     Texts are known by a 64-bit hash, so copies of a text are one case. The distinct hashes of the benchmark are broadcast
     when counting shows that they are few, else both sides are shuffled; matching texts are looked at again for their
@@ -115,20 +116,29 @@ def template_matches(
     valued = hits.join(slotted, "text_key").select("text_key", "at", "hash", "salts", _near("slots", "at", width).alias("values"))
     salted = valued.select("text_key", "at", "hash", "values", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     lined = salted.join(owners.drop("salts"), ["hash", "salt"]).select(
-        "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", F.arrays_zip("item_values", "values").alias("pairs"),
+        "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_values", "values",
+        (F.col("item_values") == F.col("values")).alias("same"),
     )
     alignment = ["text_key", "item_id", "shift"]
-    pairs = lined.select(*alignment, F.explode("pairs").alias("p")).select(
-        *alignment, F.col("p.item_values").alias("iv"), F.col("p.values").alias("dv")
-    ).groupBy(*alignment, "iv").agg(F.min("dv").alias("low"), F.max("dv").alias("high"))
-    answers = pairs.groupBy(*alignment).agg(
-        F.bool_and(F.col("low").eqNullSafe(F.col("high"))).alias("consistent"),
-        F.bool_and(F.col("low").eqNullSafe(F.col("iv")) & F.col("high").eqNullSafe(F.col("iv"))).alias("verbatim"),
+    rank = F.dense_rank().over(Window.partitionBy(*alignment).orderBy("at"))  # no more rows than the item has windows
+    runs = lined.withColumn("run", F.col("at") - rank)
+    counted = runs.groupBy(*alignment, "run").agg(
+        F.count_distinct("at").alias("windows"), F.count_distinct(F.when(F.col("same"), F.col("at"))).alias("same"),
     )
-    counted = lined.groupBy(*alignment).agg(F.count_distinct("at").alias("windows"))
+    pairs = runs.select(*alignment, "run", F.explode(F.arrays_zip("item_values", "values")).alias("p")).select(
+        *alignment, "run", F.col("p.item_values").alias("iv"), F.col("p.values").alias("dv")
+    ).groupBy(*alignment, "run", "iv").agg(F.min("dv").alias("low"), F.max("dv").alias("high"))
+    single = F.bool_and(F.col("low").eqNullSafe(F.col("high")))
+    within = pairs.groupBy(*alignment, "run").agg(single.alias("holds"))
+    across = pairs.groupBy(*alignment, "iv").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy(*alignment).agg(single.alias("consistent"))
     yes = F.lit(True)
-    return counted.join(answers, alignment, "left").where(F.coalesce("consistent", yes)).groupBy("text_key", "item_id").agg(
-        F.sum("windows").alias("windows"), F.bool_or(F.coalesce("verbatim", yes)).alias("verbatim")
+    judged = counted.join(within, [*alignment, "run"], "left").withColumn("found", F.when(F.coalesce("holds", yes), F.col("windows")).otherwise(F.col("same")))
+    aligned = judged.groupBy(*alignment).agg(
+        F.sum("found").alias("windows"), (F.sum("same") > 0).alias("some"), (F.sum("same") == F.sum("windows")).alias("all"),
+    ).where("windows > 0")
+    slip = ~F.coalesce("consistent", yes)  # an edited copy: windows with the item's own values beside others
+    return aligned.join(across, alignment, "left").groupBy("text_key", "item_id").agg(
+        F.sum("windows").alias("windows"), F.bool_or(F.col("all") | (F.col("some") & slip)).alias("verbatim")
     )
 
 
@@ -138,7 +148,8 @@ def find_leaks(
 ) -> DataFrame:
     """``doc_id, leaked, n_items, n_windows, reparameterised`` for every row of ``docs``.
 
-    ``reparameterised`` says that no matching item occurs with its own values. A null or empty text, or one shorter than a
+    ``reparameterised`` says that no matching item occurs with its own values; where values map inconsistently over a whole
+    alignment, one window with the item's own values is enough to call it an edited copy. A null or empty text, or one shorter than a
     window, does not leak; a null id stays in the result; repeated rows are judged alike; items without text or with under
     eight tokens match nothing, and an empty benchmark finds nothing. Items that share a template are each compared.
     """
