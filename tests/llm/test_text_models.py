@@ -114,6 +114,19 @@ def test_bundle_is_the_sum_of_bound_trigrams():
     assert has.tolist() == [True, False, False] and not vectors[1:].any()
 
 
+def test_a_text_scores_alike_alone_and_beside_other_scripts():
+    cyrillic, arabic = "быстрая лиса прыгает через ленивую собаку", "الثعلب البني السريع يقفز فوق الكلب"
+    large = ["".join(chr(c) for c in range(start, start + 3000)) for start in (0x4E00, 0x5E00, 0xAC00)]
+    alone = [hyperlang.Space(3, 64).bundle([t])[0][0] for t in (cyrillic, arabic, large[0])]
+    beside = hyperlang.Space(3, 64).bundle([cyrillic, arabic, *large])[0]
+    assert np.array_equal(np.stack(alone), beside[:3])
+    space, want, text = hyperlang.Space(3, 64), np.zeros(64), f" {large[0]} "
+    for i in range(len(text) - 2):
+        a, b, c = (space.letter(ord(x)) for x in text[i:i + 3])
+        want += np.roll(a, 2) * np.roll(b, 1) * c
+    assert np.allclose(beside[2], want / np.linalg.norm(want), atol=1e-5)
+
+
 def test_language_of_odd_rows(spark, odd, empty):
     model = hyperlang.fit_prototypes(odd.select("text", "lang"))
     rows = {r["doc_id"]: r for r in hyperlang.identify_language(odd, model).where("doc_id IS NOT NULL").collect()}

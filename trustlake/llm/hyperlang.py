@@ -17,8 +17,8 @@ DIMS = 1024
 #: Labelled documents the prototypes are bundled from at most.
 MAX_ROWS = 20_000
 GAP = 32  # every run of other characters counts as one space
-#: Letters of a batch that get trigrams of their own; with very many different ones (large scripts), codes are hashed.
-MOST_LETTERS = 160
+#: Distinct trigrams that are bound at once, and counted in one dense table.
+SLICE = 4096
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SCALE = float(1 << 20)
 
@@ -34,17 +34,18 @@ class Space:
         found = self.letters.get(code)
         if found is None:
             draw = np.random.default_rng([self.seed, code]).integers(0, 2, self.dims)
-            found = self.letters[code] = (2 * draw - 1).astype(np.float32)
+            found = self.letters[code] = (2 * draw - 1).astype(np.int8)
         return found
 
     def trigrams(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bound vectors: first letter permuted twice, second once, third as it is, multiplied element by element."""
         size = len(codes)
-        plain = np.stack([self.letter(int(c)) for c in codes])
-        once, twice = np.roll(plain, 1, axis=1), np.roll(plain, 2, axis=1)
         a, rest = np.divmod(at, size * size)
         b, c = np.divmod(rest, size)
-        return twice[a] * once[b] * plain[c]
+        held = np.unique(np.concatenate([a, b, c]))  # only the letters of this slice, however large the script
+        plain = np.stack([self.letter(int(x)) for x in codes[held]]).astype(np.float32)
+        once, twice = np.roll(plain, 1, axis=1), np.roll(plain, 2, axis=1)
+        return twice[np.searchsorted(held, a)] * once[np.searchsorted(held, b)] * plain[np.searchsorted(held, c)]
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of each text and whether it has a letter: the sum of its trigram vectors, each as often as it occurs."""
@@ -62,9 +63,6 @@ class Space:
                 codes = np.flatnonzero(seen)
             else:
                 codes = np.unique(whole)
-            if len(codes) > MOST_LETTERS:  # share vectors among rare letters; frequent scripts stay far from this
-                whole = np.where(whole < 1024, whole, 1024 + whole % 97)
-                codes = np.unique(whole)
             size = len(codes)
             place = np.searchsorted(codes, whole)
             ids = (place[:-2] * size + place[1:-1]) * size + place[2:]
@@ -79,11 +77,13 @@ class Space:
                 column = rank[ids]
             else:
                 used, column = np.unique(ids, return_inverse=True)
-            counts = np.zeros((len(rows), len(used)), dtype=np.float32)
-            flat = np.bincount(doc * len(used) + column, minlength=counts.size)
-            counts += flat.reshape(counts.shape)
-            for low in range(0, len(used), 4096):
-                out[rows] += counts[:, low:low + 4096] @ self.trigrams(codes, used[low:low + 4096])
+            order = np.argsort(column, kind="stable") if len(used) > SLICE else slice(None)
+            column, doc = column[order], doc[order]
+            for low in range(0, len(used), SLICE):
+                width = min(SLICE, len(used) - low)
+                part = slice(*np.searchsorted(column, (low, low + width))) if len(used) > SLICE else slice(None)
+                counts = np.bincount(doc[part] * width + column[part] - low, minlength=len(rows) * width).reshape(len(rows), width)
+                out[rows] += counts.astype(np.float32) @ self.trigrams(codes, used[low:low + width])
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1), has
 
