@@ -179,6 +179,15 @@ def test_edited_copies_are_found(spark):
     assert leak(spark, [name], [(1, item.replace("40", "60"))]) == {0: (True, False)}
 
 
+def test_copies_in_another_case_are_found(spark):
+    item = "What is the shortest way from Berlin to the old harbour when a ship of 90 metres blocks the Kiel canal and Straße 4"
+    two = item.replace("Berlin", "New York").replace("Kiel", "Panama City")
+    texts = [item.lower(), item.upper(), item.title(), f"Tell me, {item[0].lower()}{item[1:]}?", two, item.lower().replace("90 metres", "75 feet"), "x"]
+    got = leak(spark, texts, [(1, item)])
+    assert [got[i][0] for i in range(7)] == [True] * 6 + [False]
+    assert [got[i][1] for i in (0, 1, 4)] == [False, False, True]
+
+
 def test_templates_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (None, "too short"), (3, "")], "item_id long, text string")
     assert templates.find_leaks(odd, bench).where("leaked").count() == 0

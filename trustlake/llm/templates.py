@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows: copied questions are found even with other numbers, names or units.
 
-Numbers, units behind numbers and capitalised words become typed placeholders, case and punctuation go, and windows of
-the remaining tokens are hashed and joined. A window counts when its values are the item's own, and a run of adjoining
+Numbers, units behind numbers and capitalised words (adjoining ones as one) become typed placeholders, case and
+punctuation go; a second view folds the case of the whole text and keeps its names as words. Windows of either view,
+over the remaining tokens, are hashed and joined. A window counts when its values are the item's own, and a run of adjoining
 windows when its values map consistently: an item's value is always answered by the same value of the text. Whether a text
 holds an item with the item's own values is told from the whole alignment of the two.
 """
@@ -28,9 +29,13 @@ UNITS = (
     "months|years|K|V|W|kW|A|J|kJ|Hz|kHz|MHz|Pa|bar|km/h|mph|percent|euros|dollars|cents|pounds"
 )
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-_NAME = r"(?<!\p{L})\p{Lu}\p{Ll}+(?!\p{L})"
-_UNIT_AFTER = rf"(?<=[0-9]|[0-9] )(?:{UNITS})(?![\p{{L}}\p{{N}}])"
-_SLOT = rf"{_NUMBER}|{_UNIT_AFTER}|{_NAME}"
+_ONE_NAME = r"\p{Lu}\p{Ll}++(?!\p{L})"
+#: Adjoining names are one: New York answers Berlin.
+_NAME = rf"(?<!\p{{L}}){_ONE_NAME}(?:[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}]++{_ONE_NAME})*+"
+_UNIT_AFTER = rf"(?<=[0-9]|[0-9] )(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
+#: A text is seen in two ways: with names as placeholders, and with all words in one case and names as words.
+NAMED, FOLDED = "named", "folded"
+_SLOTS = {NAMED: rf"{_NUMBER}|{_UNIT_AFTER}|{_NAME}", FOLDED: rf"{_NUMBER}|{_UNIT_AFTER}"}
 
 
 def _plain(text: Column) -> Column:
@@ -38,59 +43,83 @@ def _plain(text: Column) -> Column:
     return F.when(text.rlike(f"[{NUMBER}{UNIT}{NAME}]"), F.translate(text, NUMBER + UNIT + NAME, "   ")).otherwise(text)
 
 
-def template_tokens(text: Column) -> Column:
-    """Tokens of a text with typed placeholders; null and blank texts have none."""
+def _fold(text: Column) -> Column:
+    return F.lower(F.upper(text))  # the detour makes one of letters that have no capital of their own
+
+
+def _numbered(text: Column) -> Column:
     t = F.regexp_replace(_plain(text), _UNIT_AFTER, f" {UNIT} ")
-    t = F.regexp_replace(t, _NUMBER, f" {NUMBER} ")
-    t = F.regexp_replace(t, _NAME, NAME)
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}]+", " ")
+    return F.regexp_replace(t, _NUMBER, f" {NUMBER} ")
+
+
+def _split(text: Column) -> Column:
+    t = F.regexp_replace(_fold(text), rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}]+", " ")
     return F.filter(F.split(t, " "), lambda w: w != "")
 
 
-def slot_values(text: Column) -> Column:
-    """The values behind the placeholders, in the order of the placeholders."""
-    return F.regexp_extract_all(_plain(text), F.lit(_SLOT), F.lit(0))
+def template_tokens(text: Column, view: str = NAMED) -> Column:
+    """Tokens of a text with typed placeholders; null and blank texts have none."""
+    return _split(F.regexp_replace(_numbered(text), _NAME, NAME) if view == NAMED else _numbered(text))
+
+
+def slot_values(text: Column, view: str = NAMED) -> Column:
+    """The values behind the placeholders, in the order of the placeholders; case and what stands between names play no part."""
+    found = F.regexp_extract_all(_plain(text), F.lit(_SLOTS[view]), F.lit(0))
+    return F.transform(found, lambda v: F.when(v.rlike("^[0-9]"), v).otherwise(F.regexp_replace(_fold(v), r"[^\p{L}\p{N}/]+", " ")))
 
 
 def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, UNIT, NAME)
 
 
-def _windows(tokens: Column, width: int) -> Column:
-    """``struct(at, hash)`` of every window of a token array."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (width - 1))
-    hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, width)).alias("hash")))
-    return F.when(F.size(tokens) >= width, hashed).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+def _token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, view: str, width: int) -> Column:
+    """``struct(view, width, at, hash)`` of every window of an array of token hashes."""
+    starts = F.sequence(F.lit(1), F.size(hashes) - (width - 1))
+    hashed = F.transform(starts, lambda i: F.struct(
+        F.lit(view).alias("view"), F.lit(width).alias("width"), i.alias("at"), F.xxhash64(F.lit(width), F.slice(hashes, i, width)).alias("hash"),
+    ))
+    return F.when(F.size(hashes) >= width, hashed).otherwise(F.array().cast("array<struct<view:string,width:int,at:int,hash:bigint>>"))
 
 
-def _with_slots(df: DataFrame, text_col: str) -> DataFrame:
-    """Add ``slots``: position and value of each placeholder."""
-    tokens = df.withColumn("_tokens", template_tokens(F.col(text_col))).withColumn("_values", slot_values(F.col(text_col)))
-    at = F.filter(F.transform("_tokens", lambda w, i: F.when(_is_slot(w), i + 1)), lambda i: i.isNotNull())
-    return tokens.withColumn("slots", F.arrays_zip(at.alias("at"), F.col("_values").alias("value"))).drop("_tokens", "_values")
+def _slots(text: Column, view: str) -> Column:
+    """Position and value of each placeholder."""
+    at = F.filter(F.transform(template_tokens(text, view), lambda w, i: F.when(_is_slot(w), i + 1)), lambda i: i.isNotNull())
+    return F.arrays_zip(at.alias("at"), slot_values(text, view).alias("value"))
 
 
-def _near(slots: str, at: str, width: int) -> Column:
+def _near(slots: str, at: str, width: Column) -> Column:
     """Values of the slots inside the window at ``at``, in their order."""
     inside = F.filter(slots, lambda s: (s["at"] >= F.col(at)) & (s["at"] < F.col(at) + width))
     return F.transform(inside, lambda s: s["value"])
 
 
-def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``hash, item_id, item_at, item_values, salt`` of every item that has the window, and the window width: that of the
-    shortest usable item, 13 at most. Items that share a template all stay; ``salt`` deals out those of one hash."""
-    items = _with_slots(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")), "text").select(
-        "item_id", "slots", template_tokens(F.col("text")).alias("tokens")
-    ).where(F.size("tokens") >= SHORTEST)
-    shortest = items.agg(F.min(F.size("tokens"))).first()[0]
-    width = min(WIDTH, shortest or WIDTH)
-    each = items.select("item_id", "slots", "tokens", F.explode(_windows(F.col("tokens"), width)).alias("w"))
-    words = F.size(F.filter(F.slice("tokens", F.col("w.at"), width), lambda w: ~_is_slot(w)))
-    rows = each.where(words >= min(LITERALS, width)).select("item_id", "slots", "w.hash", F.col("w.at").alias("item_at"))
-    rows = rows.select("hash", "item_id", "item_at", _near("slots", "item_at", width).alias("item_values")).distinct()
-    sized = rows.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("salts"))
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``view, width, hash, item_id, item_at, item_values, salts, salt`` of every item that has the window.
+
+    The width is that of the shortest usable item, 13 at most. Items that share a template all stay; ``salt`` deals out
+    those of one hash.
+    """
+    named = benchmark.select(F.size(template_tokens(F.col(text_col))).alias("n")).where(F.col("n") >= SHORTEST)
+    width = min(WIDTH, named.agg(F.min("n")).first()[0] or WIDTH)
+
+    def rows(view: str) -> DataFrame:
+        text = F.col(text_col)
+        items = benchmark.select(F.col(item_col).alias("item_id"), _slots(text, view).alias("slots"), template_tokens(text, view).alias("tokens"))
+        windows = F.explode(_windows(_token_hashes(F.col("tokens")), view, width)).alias("w")
+        each = items.where(F.size("tokens") >= SHORTEST).select("item_id", "slots", "tokens", windows)
+        words = F.size(F.filter(F.slice("tokens", F.col("w.at"), width), lambda w: ~_is_slot(w)))
+        kept = each.where(words >= min(LITERALS, width)).select("item_id", "slots", "w.view", "w.width", "w.hash", F.col("w.at").alias("item_at"))
+        return kept.withColumn("item_values", _near("slots", "item_at", F.lit(width))).drop("slots")
+
+    found = rows(NAMED).unionByName(rows(FOLDED)).distinct()
+    key = ["view", "width", "hash"]
+    sized = found.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("salts"))
     salt = F.pmod(F.xxhash64("item_id", "item_at", "item_values"), F.col("salts")).cast("int").alias("salt")
-    return stage(rows.join(sized, "hash").select("hash", "item_id", "item_at", "item_values", "salts", salt), "templates"), width
+    return stage(found.join(sized, key).select(*key, "item_id", "item_at", "item_values", "salts", salt), "templates")
 
 
 def template_matches(
@@ -102,24 +131,31 @@ def template_matches(
     when counting shows that they are few, else both sides are shuffled; matching texts are looked at again for their
     values, and a window is held against the values of every item that has its hash.
     """
-    owners, width = benchmark_windows(benchmark, item_col, item_text_col)
-    windows = owners.select("hash", "salts").distinct()
+    owners = benchmark_windows(benchmark, item_col, item_text_col)
+    hash_key = ["view", "width", "hash"]
+    windows = owners.select(*hash_key, "salts").distinct()
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    kinds = sorted((r["view"], r["width"]) for r in owners.select("view", "width").distinct().collect())  # a few numbers
     key = F.xxhash64(F.col(text_col)).alias("text_key")
-    tokens = docs.where(F.col(text_col).isNotNull()).select(key, template_tokens(F.col(text_col)).alias("tokens"))
-    each = tokens.select("text_key", F.explode(_windows(F.col("tokens"), width)).alias("w")).select("text_key", "w.at", "w.hash")
-    hits = stage(each.join(F.broadcast(windows) if few else windows, "hash").select("text_key", "at", "hash", "salts").distinct(), "hits")
+    views = sorted({v for v, _ in kinds})
+    there = docs.where(F.col(text_col).isNotNull())
+    hashes = there.select(key, *[_token_hashes(template_tokens(F.col(text_col), v)).alias(v) for v in views])
+    cut = [_windows(F.col(v), v, n) for v, n in kinds] or [_windows(F.array().cast("array<bigint>"), NAMED, WIDTH)]
+    each = hashes.select("text_key", F.explode(F.concat(*cut)).alias("w")).select("text_key", "w.view", "w.width", "w.at", "w.hash")
+    hits = stage(each.join(F.broadcast(windows) if few else windows, hash_key).select("text_key", "at", *hash_key, "salts").distinct(), "hits")
     wanted = hits.select("text_key").distinct()
     small = wanted.limit(200_001).count() <= 200_000
-    texts = docs.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("text")).join(F.broadcast(wanted) if small else wanted, "text_key", "left_semi")
-    slotted = _with_slots(texts.groupBy("text_key").agg(F.min("text").alias("text")), "text").select("text_key", "slots")
-    valued = hits.join(slotted, "text_key").select("text_key", "at", "hash", "salts", _near("slots", "at", width).alias("values"))
-    salted = valued.select("text_key", "at", "hash", "values", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    lined = salted.join(owners.drop("salts"), ["hash", "salt"]).select(
-        "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_values", "values",
+    texts = there.select(key, F.col(text_col).alias("text")).join(F.broadcast(wanted) if small else wanted, "text_key", "left_semi")
+    slots = F.create_map(*[x for v in (NAMED, FOLDED) for x in (F.lit(v), _slots(F.col("text"), v))])
+    slotted = texts.groupBy("text_key").agg(F.min("text").alias("text")).select("text_key", slots.alias("by_view"))
+    valued = hits.join(slotted, "text_key").withColumn("slots", F.coalesce(F.col("by_view")[F.col("view")], F.array().cast("array<struct<at:int,value:string>>")))
+    valued = valued.select("text_key", "at", *hash_key, "salts", _near("slots", "at", F.col("width")).alias("values"))
+    salted = valued.select("text_key", "at", *hash_key, "values", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    lined = salted.join(owners.drop("salts"), [*hash_key, "salt"]).select(
+        "text_key", "item_id", "view", "width", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_values", "values",
         (F.col("item_values") == F.col("values")).alias("same"),
     )
-    alignment = ["text_key", "item_id", "shift"]
+    alignment = ["text_key", "item_id", "view", "width", "shift"]
     rank = F.dense_rank().over(Window.partitionBy(*alignment).orderBy("at"))  # no more rows than the item has windows
     runs = lined.withColumn("run", F.col("at") - rank)
     counted = runs.groupBy(*alignment, "run").agg(
@@ -137,9 +173,13 @@ def template_matches(
         F.sum("found").alias("windows"), (F.sum("same") > 0).alias("some"), (F.sum("same") == F.sum("windows")).alias("all"),
     ).where("windows > 0")
     slip = ~F.coalesce("consistent", yes)  # an edited copy: windows with the item's own values beside others
-    return aligned.join(across, alignment, "left").groupBy("text_key", "item_id").agg(
+    seen = aligned.join(across, alignment, "left").groupBy("text_key", "item_id", "view").agg(
         F.sum("windows").alias("windows"), F.bool_or(F.col("all") | (F.col("some") & slip)).alias("verbatim")
     )
+    # the named view sees changed names, so its word on them goes first; windows are those of the view that finds most
+    return seen.groupBy("text_key", "item_id").agg(
+        F.max("windows").alias("windows"), F.coalesce(F.bool_or(F.when(F.col("view") == NAMED, F.col("verbatim"))), F.bool_or("verbatim")).alias("verbatim")
+    )
 
 
 def find_leaks(
