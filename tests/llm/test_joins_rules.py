@@ -188,6 +188,16 @@ def test_copies_in_another_case_are_found(spark):
     assert [got[i][1] for i in (0, 1, 4)] == [False, False, True]
 
 
+def test_short_and_literal_poor_items_are_found(spark):
+    table = "Kg 12 13 14 15 16 17 18 19 20 21 22 23 24 25 km 26"
+    items = [(1, ITEM), (2, "What is the capital of France?"), (3, table), (4, "we went to the shop and bought bread")]
+    common = "another train waits while the cook reads and travels 5 km in 7 hours toward evening and then he sleeps"
+    part = " ".join(ITEM.split()[1:10]) + " nothing more of it follows in this text at all"
+    texts = ["so what is the CAPITAL of france, then", f"see {table}", table.replace("18", "99"), part, common, "today we went to the shop and bought bread", "What is the capital of Peru?"]
+    got = leak(spark, texts, items)
+    assert [got[i][0] for i in range(7)] == [True, True, False, False, False, True, False]
+
+
 def test_templates_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (None, "too short"), (3, "")], "item_id long, text string")
     assert templates.find_leaks(odd, bench).where("leaked").count() == 0

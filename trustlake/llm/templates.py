@@ -16,10 +16,8 @@ from trustlake.llm.common import stage
 
 NUMBER, UNIT, NAME = "", "", ""
 WIDTH = 13
-#: Items with fewer tokens than this are no evidence; shorter benchmarks narrow the window down to it.
-SHORTEST = 8
-#: Tokens of a window that must be words.
-LITERALS = 6
+#: A template needs so many tokens, and so many words among them; items with fewer are matched with their values.
+SHORTEST, LITERALS = 8, 6
 #: Windows of a benchmark that may be broadcast (12 bytes each); beyond it both sides are shuffled by the hash.
 BROADCAST_WINDOWS = 2_000_000
 #: Windows of items that one hash brings to one key of a join; more are dealt out.
@@ -34,7 +32,8 @@ _ONE_NAME = r"\p{Lu}\p{Ll}++(?!\p{L})"
 _NAME = rf"(?<!\p{{L}}){_ONE_NAME}(?:[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}]++{_ONE_NAME})*+"
 _UNIT_AFTER = rf"(?<=[0-9]|[0-9] )(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
 #: A text is seen in two ways: with names as placeholders, and with all words in one case and names as words.
-NAMED, FOLDED = "named", "folded"
+#: Items that are too short or too poor in words for that are seen exactly: in one case, with numbers and units as words.
+NAMED, FOLDED, EXACT = "named", "folded", "exact"
 _SLOTS = {NAMED: rf"{_NUMBER}|{_UNIT_AFTER}|{_NAME}", FOLDED: rf"{_NUMBER}|{_UNIT_AFTER}"}
 
 
@@ -59,6 +58,8 @@ def _split(text: Column) -> Column:
 
 def template_tokens(text: Column, view: str = NAMED) -> Column:
     """Tokens of a text with typed placeholders; null and blank texts have none."""
+    if view == EXACT:
+        return _split(_plain(text))
     return _split(F.regexp_replace(_numbered(text), _NAME, NAME) if view == NAMED else _numbered(text))
 
 
@@ -76,13 +77,11 @@ def _token_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
-def _windows(hashes: Column, view: str, width: int) -> Column:
-    """``struct(view, width, at, hash)`` of every window of an array of token hashes."""
+def _windows(hashes: Column, view: str, width: Column) -> Column:
+    """``struct(at, hash)`` of every window of an array of token hashes; windows of other views and widths hash differently."""
     starts = F.sequence(F.lit(1), F.size(hashes) - (width - 1))
-    hashed = F.transform(starts, lambda i: F.struct(
-        F.lit(view).alias("view"), F.lit(width).alias("width"), i.alias("at"), F.xxhash64(F.lit(width), F.slice(hashes, i, width)).alias("hash"),
-    ))
-    return F.when(F.size(hashes) >= width, hashed).otherwise(F.array().cast("array<struct<view:string,width:int,at:int,hash:bigint>>"))
+    hashed = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(view), width, F.slice(hashes, i, width)).alias("hash")))
+    return F.when((F.size(hashes) >= width) & (width > 0), hashed).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
 def _slots(text: Column, view: str) -> Column:
@@ -100,26 +99,29 @@ def _near(slots: str, at: str, width: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``view, width, hash, item_id, item_at, item_values, salts, salt`` of every item that has the window.
 
-    The width is that of the shortest usable item, 13 at most. Items that share a template all stay; ``salt`` deals out
-    those of one hash.
+    An item's windows have 13 tokens, or all its tokens where it has fewer. Items that share a template all stay; ``salt``
+    deals out those of one hash.
     """
-    named = benchmark.select(F.size(template_tokens(F.col(text_col))).alias("n")).where(F.col("n") >= SHORTEST)
-    width = min(WIDTH, named.agg(F.min("n")).first()[0] or WIDTH)
-
-    def rows(view: str) -> DataFrame:
-        text = F.col(text_col)
-        items = benchmark.select(F.col(item_col).alias("item_id"), _slots(text, view).alias("slots"), template_tokens(text, view).alias("tokens"))
-        windows = F.explode(_windows(_token_hashes(F.col("tokens")), view, width)).alias("w")
-        each = items.where(F.size("tokens") >= SHORTEST).select("item_id", "slots", "tokens", windows)
-        words = F.size(F.filter(F.slice("tokens", F.col("w.at"), width), lambda w: ~_is_slot(w)))
-        kept = each.where(words >= min(LITERALS, width)).select("item_id", "slots", "w.view", "w.width", "w.hash", F.col("w.at").alias("item_at"))
-        return kept.withColumn("item_values", _near("slots", "item_at", F.lit(width))).drop("slots")
-
-    found = rows(NAMED).unionByName(rows(FOLDED)).distinct()
-    key = ["view", "width", "hash"]
-    sized = found.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("salts"))
+    text = F.col(text_col)
+    items = benchmark.select(F.col(item_col).alias("item_id"), text.alias("text"))
+
+    def rows(view: str, of: DataFrame) -> DataFrame:
+        slots = F.array().cast("array<struct<at:int,value:string>>") if view == EXACT else _slots(F.col("text"), view)
+        seen = of.select("item_id", "text", slots.alias("slots"), template_tokens(F.col("text"), view).alias("tokens"))
+        seen = seen.withColumn("width", F.least(F.lit(WIDTH), F.size("tokens")))
+        each = seen.withColumn("w", F.explode(_windows(_token_hashes(F.col("tokens")), view, F.col("width"))))
+        words = F.size(F.filter(F.slice("tokens", F.col("w.at"), F.col("width")), lambda w: ~_is_slot(w)))
+        return each.select(
+            "item_id", "text", F.lit(view).alias("view"), "width", "w.hash", F.col("w.at").alias("item_at"),
+            _near("slots", "w.at", F.col("width")).alias("item_values"), ((F.col("width") >= SHORTEST) & (words >= LITERALS)).alias("rich"),
+        )
+
+    folded = rows(FOLDED, items)
+    poor = folded.where("NOT rich").select("item_id", "text").distinct()
+    found = rows(NAMED, items).where("rich").union(folded.where("rich")).union(rows(EXACT, poor)).drop("text", "rich").distinct()
+    sized = found.groupBy("hash").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("int").alias("salts"))
     salt = F.pmod(F.xxhash64("item_id", "item_at", "item_values"), F.col("salts")).cast("int").alias("salt")
-    return stage(found.join(sized, key).select(*key, "item_id", "item_at", "item_values", "salts", salt), "templates")
+    return stage(found.join(sized, "hash").select("hash", "view", "width", "item_id", "item_at", "item_values", "salts", salt), "templates")
 
 
 def template_matches(
@@ -132,26 +134,25 @@ def template_matches(
     values, and a window is held against the values of every item that has its hash.
     """
     owners = benchmark_windows(benchmark, item_col, item_text_col)
-    hash_key = ["view", "width", "hash"]
-    windows = owners.select(*hash_key, "salts").distinct()
+    windows = owners.select("hash", "salts").distinct()
     few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     kinds = sorted((r["view"], r["width"]) for r in owners.select("view", "width").distinct().collect())  # a few numbers
     key = F.xxhash64(F.col(text_col)).alias("text_key")
     views = sorted({v for v, _ in kinds})
     there = docs.where(F.col(text_col).isNotNull())
     hashes = there.select(key, *[_token_hashes(template_tokens(F.col(text_col), v)).alias(v) for v in views])
-    cut = [_windows(F.col(v), v, n) for v, n in kinds] or [_windows(F.array().cast("array<bigint>"), NAMED, WIDTH)]
-    each = hashes.select("text_key", F.explode(F.concat(*cut)).alias("w")).select("text_key", "w.view", "w.width", "w.at", "w.hash")
-    hits = stage(each.join(F.broadcast(windows) if few else windows, hash_key).select("text_key", "at", *hash_key, "salts").distinct(), "hits")
+    cut = [_windows(F.col(v), v, F.lit(n)) for v, n in kinds] or [F.array().cast("array<struct<at:int,hash:bigint>>")]
+    each = hashes.select("text_key", F.explode(F.concat(*cut)).alias("w")).select("text_key", "w.at", "w.hash")
+    hits = stage(each.join(F.broadcast(windows) if few else windows, "hash").select("text_key", "at", "hash", "salts").distinct(), "hits")
     wanted = hits.select("text_key").distinct()
     small = wanted.limit(200_001).count() <= 200_000
     texts = there.select(key, F.col(text_col).alias("text")).join(F.broadcast(wanted) if small else wanted, "text_key", "left_semi")
     slots = F.create_map(*[x for v in (NAMED, FOLDED) for x in (F.lit(v), _slots(F.col("text"), v))])
     slotted = texts.groupBy("text_key").agg(F.min("text").alias("text")).select("text_key", slots.alias("by_view"))
-    valued = hits.join(slotted, "text_key").withColumn("slots", F.coalesce(F.col("by_view")[F.col("view")], F.array().cast("array<struct<at:int,value:string>>")))
-    valued = valued.select("text_key", "at", *hash_key, "salts", _near("slots", "at", F.col("width")).alias("values"))
-    salted = valued.select("text_key", "at", *hash_key, "values", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    lined = salted.join(owners.drop("salts"), [*hash_key, "salt"]).select(
+    salted = hits.select("text_key", "at", "hash", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    owned = salted.join(owners.drop("salts"), ["hash", "salt"]).join(slotted, "text_key")
+    owned = owned.withColumn("slots", F.coalesce(F.col("by_view")[F.col("view")], F.array().cast("array<struct<at:int,value:string>>")))
+    lined = owned.withColumn("values", _near("slots", "at", F.col("width"))).select(
         "text_key", "item_id", "view", "width", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_values", "values",
         (F.col("item_values") == F.col("values")).alias("same"),
     )
@@ -189,9 +190,10 @@ def find_leaks(
     """``doc_id, leaked, n_items, n_windows, reparameterised`` for every row of ``docs``.
 
     ``reparameterised`` says that no matching item occurs with its own values; where values map inconsistently over a whole
-    alignment, one window with the item's own values is enough to call it an edited copy. A null or empty text, or one shorter than a
-    window, does not leak; a null id stays in the result; repeated rows are judged alike; items without text or with under
-    eight tokens match nothing, and an empty benchmark finds nothing. Items that share a template are each compared.
+    alignment, one window with the item's own values is enough to call it an edited copy. A null or empty text
+    does not leak; a null id stays in the result; repeated rows are judged alike; items without a
+    word match nothing, and an empty benchmark finds nothing. Items that share a template are each compared. An item of a few
+    words is found wherever these words stand in a row, so a benchmark should hold no item that is no evidence.
     """
     found = template_matches(docs, benchmark, text_col, item_col, item_text_col).groupBy(F.col("text_key").alias("_leak")).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("windows").alias("n_windows"), (~F.bool_or("verbatim")).alias("reparameterised"),
