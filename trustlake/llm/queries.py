@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and SQL where it can say the same."""
+"""The thirteen operators over their whole tables, with production parameters, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import eliasfano, hilbert, hyperlang, lines, markov, mixing, ordinal, prefixjoin, snapshots, templates
+from trustlake.llm import (
+    alignment, eliasfano, hilbert, hyperlang, lines, markov, mixing, ordinal, prefixjoin, repair, snapshots, suffixes, templates,
+)
 from trustlake.llm.common import table
 from trustlake.session import ensure_checkpoint_dir
 
@@ -88,6 +90,24 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op12_repair_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), a, b)
+
+
 ORACLES["op3_snapshot_collapse"] = r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 w AS (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n_turns,
