@@ -189,12 +189,20 @@ near AS (SELECT least(a.file_hash, b.file_hash) AS digest_a, greatest(a.file_has
 SIGNED = "(CASE WHEN dhash > 9223372036854775807 THEN dhash::HUGEINT - 18446744073709551616 ELSE dhash::HUGEINT END)::BIGINT"
 
 
-@query("hamming_join", f"""WITH {DHASH}, h AS (SELECT DISTINCT (dhash >> 40)::BIGINT AS s FROM hashes)
-SELECT a.s AS a, b.s AS b, bit_count(xor(a.s, b.s))::INTEGER AS distance FROM h a JOIN h b ON a.s < b.s
-WHERE bit_count(xor(a.s, b.s)) <= 4""")
+# Invented texts have no close hashes, so each hash also comes with one to six bits flipped, by a rule on doc_id.
+FLIPPED = """flipped AS (SELECT xor(dhash, list_sum([1::UBIGINT << ((doc_id * 7 + j * 11) % 64)::INTEGER for j in range(doc_id % 6 + 1)])::UBIGINT) AS dhash FROM hashes),
+both_hashes AS (SELECT dhash FROM hashes UNION SELECT dhash FROM flipped)"""
+
+
+@query("hamming_join", f"""WITH {DHASH}, {FLIPPED}, h AS (SELECT {SIGNED} AS s, dhash AS u FROM both_hashes)
+SELECT a.s AS a, b.s AS b, bit_count(xor(a.u, b.u))::INTEGER AS distance FROM h a JOIN h b ON a.s < b.s
+WHERE bit_count(xor(a.u, b.u)) <= 4""")
 def hamming_join(spark, sf):
-    # The upper 24 bits of each hash: invented texts have no close hashes of 64 bits.
-    return D.hamming_join(hashed(Tables(spark, sf)).withColumn("dhash", F.shiftrightunsigned("dhash", 40)))
+    rows = hashed(Tables(spark, sf)).select("doc_id", "dhash")
+    bit = lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("doc_id") * 7 + j * 11) % 64).cast("int"))
+    mask = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 6), F.lit(0).cast("long"), lambda m, j: m.bitwiseOR(bit(j)))
+    flipped = rows.select(F.col("dhash").bitwiseXOR(mask).alias("dhash"))
+    return D.hamming_join(rows.select("dhash").union(flipped))
 
 
 @query("hash_members", f"WITH {DHASH} SELECT DISTINCT {SIGNED} AS h, file_hash FROM hashes")

@@ -37,6 +37,14 @@ def _band_masks(max_distance: int, blocks: int) -> list[int]:
     return [sum(choice) for choice in combinations(parts, blocks - max_distance)]
 
 
+def band_blocks(hashes: int, max_distance: int, per_band: int = 16) -> int:
+    """Blocks whose bands are long enough that ``hashes`` spread hashes share a band value with about ``per_band`` others at most."""
+    blocks = max_distance + 2
+    while blocks < 4 * (max_distance + 1) and hashes > per_band * 2 ** (BITS * (blocks - max_distance) / blocks):
+        blocks += 1
+    return blocks
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
 
@@ -65,13 +73,13 @@ def hamming_pairs(
     """Distinct hash pairs ``a < b`` within ``max_distance``; exact recall, no cross join.
 
     Hashes are made distinct first, so copies never multiply. Bands are chosen blocks of bits: more blocks give
-    longer keys and fewer false candidates at the price of more keys per hash. A band value shared by more than
+    longer keys and fewer false candidates at the price of more keys per hash; their number follows from the count of hashes. A band value shared by more than
     ``hot`` hashes would still pair quadratically; its hashes are instead joined through the ball of values within
     half the distance, where a key meets at most the hashes of that ball, about two thousand for distance 4.
     """
-    blocks = blocks or max_distance + 2
+    distinct = cut_lineage(hashes.select(*by, F.col(hash_col).cast("long").alias("h")).where("h IS NOT NULL").distinct())
+    blocks = blocks or band_blocks(distinct.count(), max_distance)
     masks = [_signed(m) for m in _band_masks(max_distance, blocks)]
-    distinct = hashes.select(*by, F.col(hash_col).cast("long").alias("h")).where("h IS NOT NULL").distinct()
     bands = F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in masks])
     keyed = distinct.select(*by, "h", F.posexplode(bands).alias("_no", "_band"))
     keys = [*by, "_no", "_band"]
