@@ -49,7 +49,11 @@ def covariate_shift(
         fixed(F.count_if(first & (F.col("p_value") < alpha)) / F.count_if(first), 4).alias("ks_rejection_ratio"),
         fixed(F.median(F.when(first, F.col("p_value"))), 4).alias("p_value"),
     )
-    joined = _merge(by, TS.mmd_rbf(features, by, order, vector, gamma, sample), stats)
+    return covariate_rows(_merge(by, TS.mmd_rbf(features, by, order, vector, gamma, sample), stats), by, threshold, w1_threshold, min_n)
+
+
+def covariate_rows(joined: DataFrame, by: Sequence[str], threshold: float = 0.15, w1_threshold: float = 0.20, min_n: int = 15) -> DataFrame:
+    """DS-1 from its figures ``n_ref, n_eval, mmd, mean_w1, ks_rejection_ratio, p_value``."""
     metric = fixed(F.lit(0.6) * F.col("mmd") + F.lit(0.4) * F.col("mean_w1"), 6)
     detected = (F.col("metric") > threshold) | (
         (F.col("mean_w1") > w1_threshold) & (F.col("ks_rejection_ratio") > 0.5)
@@ -64,7 +68,11 @@ def covariate_shift(
 
 def semantic_shift(counts: DataFrame, by: Sequence[str], threshold: float = 0.25, min_n: int = 15) -> DataFrame:
     """DS-2 from aligned class counts. ``p_value`` is 1 - distance, not a probability."""
-    tv = TS.total_variation(counts, by).withColumnsRenamed({"total_ref": "n_ref", "total_eval": "n_eval"})
+    return semantic_rows(TS.total_variation(counts, by).withColumnsRenamed({"total_ref": "n_ref", "total_eval": "n_eval"}), by, threshold, min_n)
+
+
+def semantic_rows(tv: DataFrame, by: Sequence[str], threshold: float = 0.25, min_n: int = 15) -> DataFrame:
+    """DS-2 from its figures ``n_ref, n_eval, tv, missing_classes, new_classes``."""
     high = (F.col("tv") > 0.5) | (F.col("missing_classes") > 2)
     return tv.select(
         *by, F.lit("semantic_shift").alias("dimension"),
@@ -80,7 +88,11 @@ def environmental_shift(quality: DataFrame, by: Sequence[str], threshold: float
     """DS-3 from ``by..., side`` and one column per quality metric."""
     names = F.array(*[F.struct(F.lit(m).alias("metric_name"), F.col(m).cast("double").alias("v")) for m in QUALITY_METRICS])
     long = quality.select(*by, "side", F.inline(names))
-    scored = TS.compare_samples(long, [*by, "metric_name"])
+    return environmental_rows(TS.compare_samples(long, [*by, "metric_name"]), by, threshold, min_n)
+
+
+def environmental_rows(scored: DataFrame, by: Sequence[str], threshold: float = 0.20, min_n: int = 15) -> DataFrame:
+    """DS-3 from ``n_ref, n_eval, p_value, w1`` of each metric."""
     rows = scored.groupBy(*by).agg(
         fixed(F.avg("w1"), 6).alias("metric"), F.min("p_value").alias("p_value"),
         F.count_if(F.col("p_value") < 0.01).alias("significant"),
@@ -117,7 +129,7 @@ def targeted_classes(displaced: DataFrame, by: Sequence[str], label: str = "clas
     return displaced.join(limits, list(by)).where("displacement > _limit").select(*by, label, "displacement")
 
 
-def _multi_class(displaced: DataFrame, by: Sequence[str]) -> DataFrame:
+def multi_class_rows(displaced: DataFrame, by: Sequence[str]) -> DataFrame:
     stats = displaced.groupBy(*by).agg(
         F.count(F.lit(1)).alias("classes"), F.avg("displacement").alias("mean_shift"),
         F.max("displacement").alias("max_shift"),
@@ -127,6 +139,11 @@ def _multi_class(displaced: DataFrame, by: Sequence[str]) -> DataFrame:
     return stats.withColumn("concentration", ratio).withColumn("metric", score)
 
 
+def spread_score(n: Column, moved: Column, q90: Column, q50: Column) -> Column:
+    spread = q90 / F.greatest(F.lit(1e-6), q50)
+    return F.when(n > 1, (spread - 1.2) * 0.3 + moved * 0.5).otherwise(moved)
+
+
 def spread_shift(features: DataFrame, by: Sequence[str], vector: str = "vec") -> DataFrame:
     """Single-population form: centroid distance and q90/q50 spread of distances to the reference centroid."""
     long = TS.explode_vectors(features, [*by, "side"], vector)
@@ -151,8 +168,7 @@ def spread_shift(features: DataFrame, by: Sequence[str], vector: str = "vec") ->
         {"_low": F.floor((n - 1) / 2), "_high": F.floor(n / 2), "q90": F.floor(n * 0.9)},
     )
     q50 = (F.col("_low") + F.col("_high")) / 2
-    spread = F.col("q90") / F.greatest(F.lit(1e-6), q50)
-    score = F.when(n > 1, (spread - 1.2) * 0.3 + F.col("global_shift") * 0.5).otherwise(F.col("global_shift"))
+    score = spread_score(n, F.col("global_shift"), F.col("q90"), q50)
     return centre.drop("_centre").join(picks, list(by)).select(
         *by, F.lit(1).alias("classes"), F.col("global_shift").alias("mean_shift"), F.col("global_shift").alias("max_shift"),
         F.lit(1.0).alias("concentration"), fixed(clamp(score), 6).alias("metric"),
@@ -168,10 +184,15 @@ def subpopulation_shift(
     sizes = named.groupBy(*by).agg(
         F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "eval").alias("n_eval")
     )
-    multi = _multi_class(class_displacement(named, by, label, vector), by).where("classes > 1")
+    multi = multi_class_rows(class_displacement(named, by, label, vector), by).where("classes > 1")
     single = spread_shift(named.join(multi, list(by), "left_anti"), by, vector)
     columns = [*by, "classes", "mean_shift", "max_shift", "concentration", "metric"]
     rows = multi.select(*columns).union(single.select(*columns)).join(sizes, list(by))
+    return subpopulation_rows(rows, by, threshold, min_n)
+
+
+def subpopulation_rows(rows: DataFrame, by: Sequence[str], threshold: float = 0.25, min_n: int = 15) -> DataFrame:
+    """DS-4 from its figures ``n_ref, n_eval, classes, mean_shift, max_shift, concentration, metric``."""
     m = F.col("metric")
     detected = (m > threshold) & ((F.col("max_shift") > 0.10) | (F.col("concentration") >= 1.8))
     return rows.select(
