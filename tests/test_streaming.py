@@ -79,6 +79,30 @@ def test_links_in_stream(spark, tmp_path):
     assert _rows(out, "arrival", "link_broken", "sequence_gap") == [(i, i == 3, i == 4) for i in range(6)]
 
 
+def test_one_hot_stream_of_large_numbers_in_one_batch_equals_batch(spark, tmp_path):
+    """Most rows are of one stream and come shuffled, in many Arrow batches; its numbers lie above 2^53."""
+    SR.use_rocksdb(spark)
+    base = (1 << 60) + 1
+    df = spark.range(30_000).select(
+        F.col("id").alias("arrival"), F.when(F.col("id") % 20 == 0, "t").otherwise("s").alias("session_id"), F.lit("k").alias("signing_key_id"),
+        F.when(F.col("id") % 97 != 5, F.lit(base) + F.col("id") - F.when(F.col("id") % 53 == 0, 3).otherwise(0)).alias("sequence_number"),
+        F.sha2(F.col("id").cast("string"), 256).alias("record_hash"), (F.col("id") % 11 != 0).alias("authentic"),
+    )
+    path = tmp_path / "in"
+    df.orderBy(F.xxhash64("arrival")).coalesce(1).write.parquet(str(path))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    try:
+        stream = spark.readStream.schema(df.schema).parquet(str(path))
+        out = _run(spark, SR.flag_stream(stream, chunk=1500), tmp_path / "out", tmp_path / "cp")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("sequence_regression", "sequence_gap")]
+    pick = lambda rows: {r[0]: tuple(r) for r in rows.select("arrival", "sequence_number", "previous_sequence", *flags).collect()}
+    ours, batch = pick(out), pick(R.sequence_state(df))
+    assert ours == batch and len(ours) == 30_000
+    assert any(r[3] for r in ours.values()) and any(r[4] for r in ours.values())
+
+
 def test_append_audit_continues_chains(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = [(f"log{i % 2}", i, f"e{i}", "2024-01-01 00:00:00", "FINDING_RECORDED", "tester", None, None, json.dumps({"n": i})) for i in range(8)]

@@ -7,9 +7,13 @@ advance state, as in batch, so the operators run on processing time and never dr
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain, groupby
+from operator import itemgetter
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,38 +72,87 @@ class _FirstUse(StatefulProcessor):
         pass
 
 
+#: Arrivals in a chunk of a stream's share of a micro-batch.
+CHUNK = 1 << 14
+_NONE = np.iinfo(np.int64).min
+
+
+def _pack(pdf: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_pandas()
+
+
 class _StreamState(StatefulProcessor):
-    """Chain tip and last accepted sequence number of one stream."""
+    """Chain tip and last accepted sequence number of one stream, advanced in order of arrival.
+
+    Rows of a share come in any order. A share of one Arrow batch is sorted as it is; a larger one is put into map state by
+    chunks of arrival and taken out chunk by chunk, so memory holds one chunk however much of a stream a micro-batch brings.
+    Numbers are text on the way, since pandas would turn a column with nulls into doubles.
+    """
 
-    def __init__(self, check_links: bool):
-        self.check_links = check_links
+    def __init__(self, check_links: bool, chunk: int = CHUNK):
+        self.check_links, self.chunk = check_links, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("tip", T.StringType())])
         self.state = handle.getValueState("stream", schema)
+        place = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("part", T.LongType())])
+        self.pending = handle.getMapState("pending", place, T.StructType([T.StructField("rows", T.BinaryType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last, tip = self.state.get() if self.state.exists() else (None, None)
-        # One stream's share of a micro-batch; admission (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds it.
-        pdf = pd.concat(list(rows)).sort_values("arrival", kind="stable").reset_index(drop=True)
+        last = _NONE if last is None else last
+        for pdf in self._in_order(rows):
+            pdf, last, tip = self._advance(pdf, last, tip)
+            yield pdf
+        self.state.update((None if last == _NONE else last, tip))
+
+    def _in_order(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, second = next(rows, None), next(rows, None)
+        if second is None:
+            if first is not None:
+                yield self._sorted(first)
+            return
+        places = []
+        for pdf in chain([first, second], rows):
+            for number, part in pdf.groupby(pdf["arrival"].astype("int64") // self.chunk):
+                places.append((int(number), len(places)))
+                self.pending.updateValue(places[-1], (_pack(part),))
+        for _, group in groupby(sorted(places), key=itemgetter(0)):
+            held = list(group)
+            yield self._sorted(pd.concat([_unpack(bytes(self.pending.getValue(p)[0])) for p in held]))
+            for place in held:
+                self.pending.removeKey(place)
+
+    @staticmethod
+    def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[np.argsort(pdf["arrival"].astype("int64").to_numpy(), kind="stable")].reset_index(drop=True)
+
+    def _advance(self, pdf: pd.DataFrame, last: int, tip: str | None) -> tuple[pd.DataFrame, int, str | None]:
         if self.check_links:
             expected = pdf["record_hash"].shift(1)
             expected.iloc[0] = tip
             stated = pdf["previous_record_hash"].where(pdf["previous_record_hash"].notna(), "")
             pdf["link_broken"] = expected.notna() & (expected.where(expected.notna(), "") != stated)
             pdf["authentic"] = pdf["authentic"] & ~pdf["link_broken"]
-        accepted = pdf["sequence_number"].where(pdf["authentic"]).astype("float64").cummax()
-        before = accepted.shift(1).ffill()
-        start = float("nan") if last is None else float(last)
-        before = before.fillna(start).where(~(before < start), start)
-        number = pdf["sequence_number"].astype("float64")
-        checked = pdf["authentic"].astype(bool) & before.notna()
-        pdf["previous_sequence"] = before.astype("Int64")
+        trusted = pdf["authentic"].fillna(False).to_numpy(dtype=bool)
+        given = pdf["sequence_number"].notna().to_numpy()
+        number = pdf["sequence_number"].where(given, str(_NONE)).astype("int64").to_numpy()
+        top = np.maximum.accumulate(np.concatenate([[last], np.where(trusted & given, number, _NONE)]))
+        before = top[:-1]
+        known = before != _NONE
+        checked = trusted & known & given
+        pdf["previous_sequence"] = pd.Series(before.astype(str)).where(known, None)
         pdf["sequence_regression"] = checked & (number <= before)
-        pdf["sequence_gap"] = checked & (number > before + 1)
-        top = pd.concat([accepted, pd.Series([start])]).max()
-        self.state.update((None if pd.isna(top) else int(top), str(pdf["record_hash"].iloc[-1])))
-        yield pdf
+        pdf["sequence_gap"] = checked & (number > before) & (number - 1 != before)
+        return pdf, int(top[-1]), str(pdf["record_hash"].iloc[-1])
 
     def close(self) -> None:
         pass
@@ -132,8 +185,8 @@ def drop_repeated_nonce(stream: DataFrame, time: str = "timestamp", delay: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["nonce"])
 
 
-def flag_stream(stream: DataFrame, keys: Sequence[str] = STREAM, check_links: bool = False) -> DataFrame:
-    """Add sequence flags, and link flags when asked. Needs ``arrival, authentic, record_hash``.
+def flag_stream(stream: DataFrame, keys: Sequence[str] = STREAM, check_links: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Add sequence flags, and link flags when asked. Needs ``arrival, authentic, record_hash``; ``arrival`` is never null.
 
     Only authentic rows advance the sequence; a broken link makes its row not authentic.
     """
@@ -141,7 +194,11 @@ def flag_stream(stream: DataFrame, keys: Sequence[str] = STREAM, check_links: bo
     if check_links:
         extra = [("link_broken", T.BooleanType()), ("authentic", T.BooleanType()), *extra]
     schema = _with(stream.schema, *extra)
-    return stream.groupBy(*keys).transformWithStateInPandas(_StreamState(check_links), schema, outputMode="Append", timeMode="None")
+    longs = {f.name for f in schema.fields if f.dataType == T.LongType() and f.name not in keys}
+    text = T.StructType([T.StructField(f.name, T.StringType() if f.name in longs else f.dataType) for f in schema.fields])
+    rows = stream.withColumns({c: F.col(c).cast("string") for c in longs if c in stream.columns})
+    found = rows.groupBy(*keys).transformWithStateInPandas(_StreamState(check_links, chunk), text, outputMode="Append", timeMode="None")
+    return found.withColumns({c: F.col(c).cast("long") for c in longs})
 
 
 def enrich(
