@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.functions import binary as B
+from trustlake.operators import centroids as C
 from trustlake.operators import duplicates as D
 from trustlake.operators import models as M
 from trustlake.operators import neighbours as N
@@ -151,3 +152,18 @@ def test_mad_outlier_rules(spark):
     got = {r["g"]: r for r in M.mad_outlier(spark.createDataFrame(rows, "g string, name string, score double"), ["g"]).collect()}
     assert (got["ok"]["suspect"], got["ok"]["flagged"], got["ok"]["anomaly_index"]) == ("d", True, 6.07)
     assert got["few"]["status"] == got["stuck"]["status"] == "INSUFFICIENT_EVIDENCE" and got["flat"]["anomaly_index"] == 0.0
+
+
+def test_confusion_by_matrix_equals_the_join(spark):
+    """Both ways, grouped, with a class too small for a centroid and a label that occurs in one group only."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(600):
+        label = int(rng.integers(0, 5)) if k % 3 else 0
+        v = rng.normal(size=8) + label * 0.4
+        rows.append(("d1" if k % 4 else "d2", label if k != 17 else 99, (v / np.linalg.norm(v)).tolist()))
+    df = spark.createDataFrame(rows, "d string, class_id int, vec array<double>").repartition(6)
+    pick = lambda max_bytes: sorted(map(tuple, C.confusion_rates(df, ["d"], max_bytes=max_bytes).collect()))
+    assert pick(1 << 20) == pick(0) and len(pick(0)) == 2 * 5 * 4

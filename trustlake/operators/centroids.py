@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustlake.functions.numeric import fixed
 from trustlake.functions.vectors import cosine_distance, unit
-from trustlake.session import is_small, sized_broadcast
+from trustlake.session import cut_lineage, is_small, sized_broadcast
 
 SALTS = 64
+#: Centroids of all datasets that may travel to every task.
+MATRIX_BYTES = 64 << 20
 
 
 def _long(features: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
@@ -59,15 +64,67 @@ def centroid_distances(
     )
 
 
+def closer_counts(
+    features: DataFrame, centroids: DataFrame, by: Sequence[str] = (), label: str = "class_id", vector: str = "vec"
+) -> DataFrame:
+    """``by..., label, other, n, closer``: rows of class ``label`` and how many of them lie closer to ``other`` than to their own centroid.
+
+    A batch of rows is multiplied with the centroid matrix of its dataset, and only counts leave the task: no row is copied per
+    class. ``centroids`` must fit in memory, see :func:`matrix_bytes`. Distances are compared at nine digits.
+    """
+    keys = [*by, label]
+    matrices: dict[tuple, tuple[list, np.ndarray]] = {}
+    for row in sorted(centroids.select(*keys, "centroid").collect(), key=lambda r: str(r[label])):
+        names, vectors = matrices.setdefault(tuple(row[b] for b in by), ([], []))
+        names.append(row[label])
+        vectors.append(row["centroid"])
+    held = features.sparkSession.sparkContext.broadcast({k: (names, np.array(v, dtype=float)) for k, (names, v) in matrices.items()})
+    schema = T.StructType([
+        *[features.schema[k] for k in keys], T.StructField("other", features.schema[label].dataType), T.StructField("n", T.LongType()), T.StructField("closer", T.LongType()),
+    ])
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, rows in pdf.groupby(list(by)) if by else [((), pdf)]:
+                names, matrix = held.value.get(key, ([], None))
+                place = {name: i for i, name in enumerate(names)}
+                own = rows[label].map(place)
+                rows, own = rows[own.notna()], own.dropna().astype(int).to_numpy()
+                n, closer = np.zeros(len(names), dtype=np.int64), np.zeros((len(names), len(names)), dtype=np.int64)
+                for start in range(0, len(rows), 2048):
+                    at = own[start:start + 2048]
+                    away = np.maximum(0.0, 1.0 - np.stack(rows["_vec"].iloc[start:start + 2048].to_numpy()) @ matrix.T)
+                    away = np.floor(away * 1e9 + 0.5000001)
+                    np.add.at(closer, at, away < away[np.arange(len(at)), at][:, None])
+                    n += np.bincount(at, minlength=len(names))
+                out += [(*key, names[i], names[j], int(n[i]), int(closer[i, j])) for i in np.flatnonzero(n) for j in range(len(names)) if i != j]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    rows = features.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("_vec"))
+    return rows.mapInPandas(multiply, schema).groupBy(*keys, "other").agg(F.sum("n").alias("n"), F.sum("closer").alias("closer"))
+
+
+def matrix_bytes(centroids: DataFrame) -> int:
+    return centroids.agg(F.sum(F.size("centroid") * 8 + 64)).first()[0] or 0
+
+
 def confusion_rates(
-    features: DataFrame, by: Sequence[str] = (), label: str = "class_id", vector: str = "vec", min_n: int = 3
+    features: DataFrame, by: Sequence[str] = (), label: str = "class_id", vector: str = "vec", min_n: int = 3, max_bytes: int = MATRIX_BYTES
 ) -> DataFrame:
-    """Share of class ``label`` rows lying closer to centroid ``other`` than to their own."""
-    centroids = class_centroids(features, by, label, vector, min_n)
-    away = centroid_distances(features, centroids, by, label, vector).where(F.col(label) != F.col("other"))
-    return away.groupBy(*by, label, "other").agg(
-        F.count(F.lit(1)).alias("n"), (F.count_if(F.col("distance") < F.col("own_distance")) / F.count(F.lit(1))).alias("rate")
-    )
+    """Share of class ``label`` rows lying closer to centroid ``other`` than to their own.
+
+    Centroids up to ``max_bytes`` in all go to the tasks as matrices; more are joined to the rows by dataset.
+    """
+    centroids = cut_lineage(class_centroids(features, by, label, vector, min_n))
+    if matrix_bytes(centroids) <= max_bytes:
+        counts = closer_counts(features, centroids, by, label, vector)
+    else:
+        away = centroid_distances(features, centroids, by, label, vector).where(F.col(label) != F.col("other"))
+        counts = away.groupBy(*by, label, "other").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") < F.col("own_distance")).alias("closer")
+        )
+    return counts.select(*by, label, "other", "n", (F.col("closer") / F.col("n")).alias("rate"))
 
 
 def asymmetric_confusion(
