@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from trustlake.operators import ingest as I
 from trustlake.operators import records as R
 from trustlake.plans import jobs
-from trustlake.sources import sinks
-from trustlake.sources.artifacts import scan_artifacts, scan_contents
+from trustlake.sources import adapters, sinks
+from trustlake.sources.artifacts import scan_artifacts, scan_contents, scan_ranges
 from trustlake.sources.coco import read_coco
 from trustlake.sources.files import file_digests, image_catalog
+from trustlake.sources.pages import write_pages
 from trustlake.sources.records import read_audit_log, read_records
 from trustlake.sources.yolo import read_label_lines, read_yolo
 
@@ -146,6 +147,18 @@ def test_artifact_scan(spark, tmp_path):
     first = {n: p[0].split(":")[0] for n, p in got.items() if p}
     assert first == {"evil.pt": "unsafe_signature", "deep.pt": "unsafe_signature", "edge.pth": "unsafe_signature", "odd.txt": "unsupported_extension", "bomb.pt": "compression_ratio", "broken.pt": "malformed_archive",
                      "script.pth": "executable_script", "climb.pth": "path_traversal", "pickle.pth": "unsafe_signature"}
+    pick = lambda rows: {r["path"]: (r["format"], r["file_hash"], r["is_archive"], r["problems"], r["is_safe"], r["size_bytes"]) for r in rows.collect()}
+    # Read by ranges, with payloads at their borders, the same files give the same rows.
+    for size in (1000, 1 << 20):
+        ranged = scan_artifacts(spark, str(tmp_path / "m"), whole_bytes=0, range_bytes=size)
+        assert pick(ranged) == pick(scan_artifacts(spark, str(tmp_path / "m")))
+    body = b"w" * 995 + b"cposix\nsystem" + b"w" * 500
+    put(tmp_path / "border" / "b.pt", body)
+    listed = spark.createDataFrame([(f"file:{tmp_path}/border/b.pt", len(body))], "path string, size_bytes long")
+    for size in (5, 100, 996, 1000):
+        assert scan_ranges(listed, range_bytes=size).first()["problems"] == ["unsafe_signature: cposix\nsystem"]
+    large = scan_artifacts(spark, str(tmp_path / "border"), max_bytes=100, whole_bytes=10).first()
+    assert large["problems"][0] == "file_too_large" and not large["is_safe"]
     empty = spark.createDataFrame([("e.onnx", bytearray(), 0)], "path string, content binary, size_bytes long")
     assert scan_contents(empty).first()["problems"] == ["empty_file"]
 
@@ -233,3 +246,66 @@ def test_shift_and_model_jobs(spark):
     }
     assert sorted(r["threat_id"] for r in jobs.compare_models(tables, "c", "r").collect()) == ["MT-1", "MT-2"]
     assert jobs.compare_models(tables, "r", "r").count() == 0
+
+
+def test_pages_read_only_their_ranges(spark, tmp_path):
+    rows = [(k % 7 if k % 50 else None, f"id{k:05d}", k) for k in range(5000)]
+    df = spark.createDataFrame(rows, "s long, id string, n long").repartition(5)
+    index = write_pages(df, ["s", "id"], str(tmp_path / "pages"), rows_per_range=400)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert index.total() == 5000
+    for limit, offset in ((100, 0), (1000, 2950), (10, 4995), (7, 399), (5, 5000)):
+        page = index.page(limit, offset)
+        assert [tuple(r) for r in page.collect()] == order[offset:offset + limit]
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "(_range#" in plan or "_range#" in plan and " IN " in plan or "LocalTableScan" in plan or offset == 5000, plan
+    seen, token = [], None
+    while batch := index.after(token, 800).collect():
+        seen += [tuple(r) for r in batch]
+        token = index.token(batch[-1])
+    assert seen == order
+    with pytest.raises(ValueError):
+        index.page(1001)
+    nothing = write_pages(df.where("false"), ["id"], str(tmp_path / "none"))
+    assert nothing.total() == 0
+
+
+class Csv(adapters.AnnotationFormat):
+    """A third format: ``image,class,x,y,w,h`` in pixels of a picture of 100 x 50."""
+
+    suffixes = (".boxes",)
+
+    @classmethod
+    def name(cls):
+        return "toy_boxes"
+
+    def rows(self, path, content):
+        for line in content.decode().splitlines():
+            image, name, *coords = line.split(",")
+            yield {"image": image, "class_name": name, "kind": "xywh", "coords": [float(c) for c in coords], "width": 100, "height": 50}
+
+
+def test_formats_as_data_sources(spark, tmp_path):
+    adapters.register(spark, Csv)
+    manifest = {
+        "images": [{"id": 1, "file_name": "a.png", "width": 200, "height": 100}], "categories": [{"id": 3, "name": "tank"}],
+        "annotations": [{"id": 7, "image_id": 1, "category_id": 3, "bbox": [20, 10, 80, 40], "score": 0.5}, {"id": 8, "image_id": 9, "category_id": 4, "bbox": [0, 0, 1, 1]}],
+    }
+    put(tmp_path / "c" / "train" / "instances.json", json.dumps(manifest))
+    put(tmp_path / "c" / "val" / "broken.json", "{")
+    read = spark.read.format("coco").load(str(tmp_path / "c"))
+    with pytest.raises(Exception, match="(?s).*JSON.*|.*Expecting.*"):
+        read.collect()
+    rows = adapters.boxes(read.where("split = 'train'")).orderBy("number").collect()  # the broken file is of another split and is not opened
+    assert [(r["image"], r["class_name"], r["score"]) for r in rows] == [("a.png", "tank", 0.5), ("9", None, None)]
+    direct = read_coco(spark, str(tmp_path / "c" / "train")).annotations.where("class_id = 3").first()
+    assert tuple(rows[0]["bbox"]) == tuple(direct["bbox"]) == pytest.approx((0.1, 0.1, 0.5, 0.5))
+    put(tmp_path / "y" / "labels" / "a.txt", "0 0.5 0.5 0.4 0.4\n1 0.1 0.1 0.3 0.1 0.2 0.4\nx y\n")
+    found = adapters.boxes(spark.read.format("yolo").load(str(tmp_path / "y"))).orderBy("number").collect()
+    assert [tuple(r["bbox"]) for r in found] == [pytest.approx((0.3, 0.3, 0.7, 0.7)), pytest.approx((0.1, 0.1, 0.3, 0.4))]
+    for k in range(5):
+        put(tmp_path / "t" / f"{k}.boxes", f"i{k},cat,10,10,20,20\n" * (k + 1))
+    toy = spark.read.format("toy_boxes").load(str(tmp_path / "t"))
+    assert toy.count() == 15 and toy.where("path = '3.boxes'").count() == 4
+    assert tuple(adapters.boxes(toy).first()["bbox"]) == pytest.approx((0.1, 0.2, 0.3, 0.6))
+    assert toy.where("path LIKE 'none%'").count() == 0
