@@ -168,6 +168,8 @@ def test_sinks(spark, tmp_path):
     sinks.upsert(spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, v int, x string"), path, ["k"], "v")
     sinks.upsert(spark.createDataFrame([(2, 2, "B"), (3, 1, "c"), (1, 0, "old")], "k int, v int, x string"), path, ["k"], "v")
     assert sorted((r["k"], r["x"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "B"), (3, "c")]
+    with pytest.raises(ValueError, match="made with"):
+        sinks.upsert(spark.createDataFrame([(9, 1, "z")], "k int, v int, x string"), path, ["k"], "v", parts=8)
     once = str(tmp_path / "once")
     sinks.append_immutable(spark.createDataFrame([("e1",), ("e2",)], "evidence_id string"), once, "evidence_id")
     with pytest.raises(sinks.ImmutableError):
@@ -309,3 +311,19 @@ def test_formats_as_data_sources(spark, tmp_path):
     assert toy.count() == 15 and toy.where("path = '3.boxes'").count() == 4
     assert tuple(adapters.boxes(toy).first()["bbox"]) == pytest.approx((0.1, 0.2, 0.3, 0.6))
     assert toy.where("path LIKE 'none%'").count() == 0
+
+
+def test_arrival_is_file_order_whatever_task_reads_a_split(spark, tmp_path):
+    """Files of very unequal size, cut in many splits that Spark packs by size."""
+    wanted = []
+    for name, n in (("a", 3), ("b", 900), ("c", 40), ("d", 2)):
+        lines = [json.dumps({"record_id": f"{name}{k:04d}", "session_id": "s" * (k % 50)}) for k in range(n)]
+        put(tmp_path / "r" / f"{name}.jsonl", "\n".join(lines) + "\n")
+        wanted += [f"{name}{k:04d}" for k in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_records(spark, str(tmp_path / "r")).select("record_id", "arrival").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["record_id"] for r in sorted(rows, key=lambda r: r["arrival"])] == wanted
+    assert sorted(r["arrival"] for r in rows) == list(range(len(wanted)))

@@ -21,11 +21,11 @@ def has_payload(metrics: Column, artifacts: Column, baseline: Column, raw_ref: C
 
 
 def evidence_with_threat(evidence: DataFrame, findings: DataFrame) -> DataFrame:
-    """Add ``threat_id`` from the finding, else from the stored JSON."""
-    side = findings.select("finding_id", F.col("threat_id").alias("_threat")).distinct()
+    """Add ``threat_id`` from the finding, else from the stored JSON; of a finding told with several threats the least counts."""
+    side = findings.groupBy("finding_id").agg(F.min("threat_id").alias("_threat"))
     stored = F.get_json_object("record_json", "$.reproducibility_info.threat_id")
     joined = evidence.join(side, "finding_id", "left")
-    return joined.withColumn("threat_id", F.coalesce("_threat", stored)).drop("_threat").dropDuplicates()
+    return joined.withColumn("threat_id", F.coalesce("_threat", stored)).drop("_threat")
 
 
 def search_evidence(evidence: DataFrame, findings: DataFrame | None = None, **filters: str) -> DataFrame:

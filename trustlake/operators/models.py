@@ -147,10 +147,10 @@ def _slot(v: Column, side: Column) -> Column:
 
 
 def _covered(box: Column, side: Column) -> Column:
-    """Grid cells a box touches."""
+    """Grid cells a box touches; a grid of one cell is not computed."""
     span = lambda low, high: F.sequence(_slot(box[low], side), F.greatest(_slot(box[low], side), _slot(box[high], side)))
     cols, rows = span("x_min", "x_max"), span("y_min", "y_max")
-    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: r * side + c)))
+    return F.when(side == 1, F.array(F.lit(0))).otherwise(F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: r * side + c))))
 
 
 def iou_pairs(
@@ -173,7 +173,7 @@ def iou_pairs(
     edge = lambda pick, side: pick(F.col(f"c_box.{side}"), F.col(f"r_box.{side}"))
     area = lambda box: (F.col(f"{box}.x_max") - F.col(f"{box}.x_min")) * (F.col(f"{box}.y_max") - F.col(f"{box}.y_min"))
     joined = a.join(b, [*keys, "_cell"]).withColumns({"_left": edge(F.greatest, "x_min"), "_top": edge(F.greatest, "y_min")})
-    kept = joined.where(F.col("_cell") == _slot(F.col("_top"), grid) * grid + _slot(F.col("_left"), grid))
+    kept = joined.where((grid == 1) | (F.col("_cell") == _slot(F.col("_top"), grid) * grid + _slot(F.col("_left"), grid)))
     kept = kept.withColumns({"_w": edge(F.least, "x_max") - F.col("_left"), "_h": edge(F.least, "y_max") - F.col("_top")})
     kept = kept.where("_w > 0 AND _h > 0").withColumn("_both", F.col("_w") * F.col("_h"))
     kept = kept.withColumn("iou", F.col("_both") / (area("c_box") + area("r_box") - F.col("_both")))
@@ -224,7 +224,7 @@ def match_boxes(
     """
     from trustlake.operators.duplicates import connected_components
 
-    pairs = iou_pairs(candidate, reference, by)
+    pairs = cut_lineage(iou_pairs(candidate, reference, by))  # read for the sizes and for the groups
     columns = [*by, "component", "c_no", "r_no", "c_class", "r_class", "c_box", "r_box", "iou"]
     crowded = pairs.groupBy(*by).count().where(F.col("count") > crowd).select(*by)
     if crowded.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +28,21 @@ _ROW_BITS = (1 << 33) - 1
 def read_records(spark: SparkSession, path: str, arrival: bool = True) -> DataFrame:
     """Records with a fixed schema; unknown fields are ignored, free-form maps stay JSON text.
 
-    ``arrival`` adds a file-order number where the producer's own order column is not at hand.
+    ``arrival`` adds a file-order number where the producer's own order column is not at hand: files by path, then lines by place. A
+    task may read splits of several files in any order, so its running number alone would not do.
     """
-    rows = spark.read.schema(RECORD).json(path).fillna("1.0", ["schema_version"])
-    return rows.withColumn("arrival", F.monotonically_increasing_id()) if arrival else rows
+    read = spark.read.schema(RECORD).json(path)
+    if not arrival:
+        return read.fillna("1.0", ["schema_version"])
+    placed = read.withColumns({
+        "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id(),
+    })
+    splits = placed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    # One row per split: how many records lie in the splits before it.
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    rows = placed.join(starts, ["_file", "_block"]).withColumn("arrival", (F.col("_before") + F.col("_row") - F.col("_first")).cast("long"))
+    return rows.drop("_file", "_block", "_row", "_first", "_before").fillna("1.0", ["schema_version"])
 
 
 def stream_records(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

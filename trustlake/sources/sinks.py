@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,11 +25,31 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+LAYOUT = "_layout"
+
+
+def _hold_layout(spark: SparkSession, path: str, layout: dict) -> None:
+    """Store ``layout`` in the table's folder once (readers skip the file by its name), or compare it with the stored one."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LAYOUT}")
+    system = name.getFileSystem(spark._jsc.hadoopConfiguration())
+    told = json.dumps(layout, sort_keys=True)
+    if system.exists(name):
+        with closing(system.open(name)) as stream:
+            stored = bytes(stream.readAllBytes()).decode()
+        if stored != told:
+            raise ValueError(f"the table was made with {stored}, not {told}")
+        return
+    with closing(system.create(name, False)) as stream:
+        stream.write(bytearray(told.encode()))
+
+
 def upsert(df: DataFrame, path: str, keys: Sequence[str], order: str, parts: int = PARTS) -> None:
     """Insert or replace by key; the highest ``order`` wins, new rows win ties.
 
-    Rows live in hash partitions of their key and only partitions with new rows are rewritten.
+    Rows live in hash partitions of their key and only partitions with new rows are rewritten. The number of partitions and the keys are
+    stored beside the table when it is made; a later call with other ones is refused, for it would leave old rows beside new ones.
     """
+    _hold_layout(df.sparkSession, path, {"parts": parts, "keys": list(keys)})
     part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
     new = df.withColumn("_part", part).withColumn("_new", F.lit(1))
     old = _existing(df.sparkSession, path)
