@@ -35,7 +35,7 @@ SEEDS = (32, 184, 200)
 #: Windows in a piece, and kinds of pieces of one minimizer that may meet in a task (about a megabyte).
 PIECE, KINDS = 256, 2048
 #: Bytes for one transform and for one round of hashing.
-POOL, BLOCK = 1 << 21, 1 << 20
+POOL, BLOCK = 1 << 18, 1 << 20
 
 MULTIPLIER, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
@@ -111,7 +111,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for k in range(7):  # nine bits a symbol
         key = (key << np.uint64(9)) | padded[k:k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.empty(n, dtype=np.int64)
@@ -126,11 +126,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         suffix = order[at]
         ahead = suffix + depth
         behind = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        own = rank[suffix]
-        moved = np.lexsort((behind, own))
-        suffix, behind, own = suffix[moved], behind[moved], own[moved]
+        both = rank[suffix] * (n + 1) + behind + 1
+        moved = np.argsort(both)
+        suffix, both = suffix[moved], both[moved]
         order[at] = suffix
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (behind[1:] != behind[:-1])])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
         fresh[at] = new
         rank[suffix] = np.maximum.accumulate(np.where(new, at, 0))
         depth *= 2
@@ -146,7 +146,7 @@ def open_ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     order = suffix_array(text)
     last = text[order - 1]  # the transform; before the first suffix stands the last symbol
     step = np.empty(n, dtype=np.int64)
-    step[np.argsort(last, kind="stable")] = np.arange(n)
+    step[np.argsort(last.astype(np.int16), kind="stable")] = np.arange(n)  # a radix sort
     unknown = np.ones(n + 1, dtype=bool)
     unknown[[0, n]] = False
     low, high = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)  # half open
