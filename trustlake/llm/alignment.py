@@ -34,7 +34,7 @@ from trustlake.llm.common import arrow_batches, stage
 #: Tokens of one lane: a step of the lockstep costs as much for few lanes as for many.
 LANE = 256
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Ids of words that a Python worker keeps.
 CACHED_IDS = 4_000_000
 #: How byte-level files cut texts (fixed value).
