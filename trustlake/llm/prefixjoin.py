@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import small_batches, stage
+from trustlake.llm.common import arrow_batches, small_batches, stage
 from trustlake.operators.duplicates import connected_components
 from trustlake.session import sized_broadcast
 
@@ -319,7 +319,8 @@ def similar_documents(
     rows = stage(prefixes(docs, percent, words, id_col, text_col), "prefixes")
     name = ["n", "s1", "s2"]
     texts = stage(rows.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.min("g").alias("g")), "texts")
-    postings = stage(shared_postings(rows), "postings")
+    with arrow_batches(docs.sparkSession, 1 << 16):  # rows of fixed width
+        postings = stage(shared_postings(rows), "postings")
     heads = texts.groupBy("g").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("held"))
     sized = postings.join(heads.select("g", "held"), "g")
     full = sized.groupBy("token").agg(F.sum("held").alias("_texts")).where(F.col("_texts") > LISTED).select("token")
