@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trustlake.operators import shift as S
@@ -61,6 +62,29 @@ def test_scans_equal_windows_for_any_width(spark):
             past.append(row["x"])
 
 
+def test_scans_over_sparse_and_repeated_orders(spark):
+    rng = random.Random(3)
+    at = sorted(rng.sample(range(1 << 40), 300))
+    stamped = [(t << 22) | rng.randrange(4096) for t in at]  # ids made of milliseconds: a bucket each
+    df = spark.createDataFrame([("hot", o, i % 7) for i, o in enumerate(stamped)] + [("cold", -5, 1), ("cold", 9, 2)], "k string, o long, x long")
+    plain = W.partitionBy("k").orderBy("o")
+    before = plain.rowsBetween(W.unboundedPreceding, -1)
+    wanted = df.select("k", "o", F.lag("x").over(plain).alias("p"), F.max("x").over(before).alias("m"), F.coalesce(F.sum("x").over(before), F.lit(0)).alias("s"))
+    wanted = sorted(map(tuple, wanted.collect()))
+    for width, span in ((1 << 18, 1 << 22), (1 << 18, 1 << 40), (1 << 50, 4), (1 << 18, None)):
+        got = with_running(df, ["k"], "o", {"m": ("max", F.col("x")), "s": ("sum", F.col("x"))}, width, span=span)
+        got = with_previous(got, ["k"], "o", ["x"], width, span=span).select("k", "o", F.col("prev_x").alias("p"), "m", "s")
+        assert sorted(map(tuple, got.collect())) == wanted
+    buckets = df.where("k = 'hot'").select(F.floor(F.col("o") / (1 << 18)).alias("b"))
+    assert buckets.distinct().count() > 290  # the summaries are as many as the rows, yet no window holds many of them
+    spread = spark.createDataFrame([("hot", (i << 30) + (i % 3)) for i in range(5000)], "k string, o long")
+    spans = spread.select(F.floor(F.col("o") / (1 << 18)).alias("b")).distinct().groupBy(F.floor(F.col("b") / (1 << 18)).alias("s")).count()
+    assert spans.agg(F.max("count")).first()[0] <= 64
+    same = spark.createDataFrame([("k", 4, 1)] * 20 + [("k", 5, 1)], "k string, o long, x long")
+    ranks = sorted(r["r"] for r in with_rank(same, ["k"], "o", "r", 2).collect())
+    assert ranks == list(range(21))
+
+
 def _pair(spark, ref, ev, classes=2):
     rows = [("c", side, i, str(i % classes), [float(x) for x in v]) for side, m in (("ref", ref), ("eval", ev)) for i, v in enumerate(m)]
     return spark.createDataFrame(rows, "report string, side string, ord long, class_name string, vec array<double>")

@@ -3,6 +3,11 @@
 A plain window over such a key would sort the whole stream in one task. Here the order column is cut into
 buckets of a fixed width: the row-level window runs inside (key, bucket), and a second window carries one
 summary row per bucket forward. With a unique integer order a bucket holds at most ``width`` rows.
+
+A sparse order (time-stamped ids) gives nearly a bucket per row, so the summaries are scanned the same way, in
+spans of ``SPAN`` buckets. The cuts are digits of the order value and need no pass over the data: of any 64-bit
+order no window sees more than 2^18 rows, 2^22 bucket summaries or 2^24 span summaries of a key. Rows that share
+one order value stay together; in which order they are scanned is not defined.
 """
 
 from __future__ import annotations
@@ -14,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 18
+WIDTH, SPAN = 1 << 18, 1 << 22
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
-_BUCKET = "_bucket"
+_BUCKET, _AT = "_bucket", "_at"
 
 
 def _merge(kind: str, left: Column, right: Column) -> Column:
@@ -39,18 +44,23 @@ def join_buckets(rows: DataFrame, buckets: DataFrame, keys: Sequence[str]) -> Da
 
 def with_running(
     df: DataFrame, keys: Sequence[str], order: str,
-    aggs: Mapping[str, tuple[str, Column]], width: int = WIDTH, include_current: bool = False,
+    aggs: Mapping[str, tuple[str, Column]], width: int = WIDTH, include_current: bool = False, span: int | None = SPAN,
 ) -> DataFrame:
-    """Add running aggregates over earlier rows of the key: ``{"name": ("max", col)}``."""
+    """Add running aggregates over earlier rows of the key: ``{"name": ("max", col)}``.
+
+    ``span`` buckets are summarised once more; None carries all buckets of a key in one window.
+    """
     rows = add_bucket(df, order, width)
     end = W.currentRow if include_current else -1
     inside = W.partitionBy(*keys, _BUCKET).orderBy(order).rowsBetween(W.unboundedPreceding, end)
-    across = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, _BUCKET).agg(*[_AGG[k](c).alias(f"_t_{n}") for n, (k, c) in aggs.items()])
-    carried = totals.select(
-        *keys, _BUCKET,
-        *[_AGG["sum" if k == "count" else k](f"_t_{n}").over(across).alias(f"_c_{n}") for n, (k, _) in aggs.items()],
-    )
+    merged = {f"_c_{n}": ("sum" if k == "count" else k, F.col(f"_t_{n}")) for n, (k, _) in aggs.items()}
+    if span is None:
+        across = W.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+        carried = totals.select(*keys, _BUCKET, *[_AGG[k](c).over(across).alias(n) for n, (k, c) in merged.items()])
+    else:
+        carried = with_running(totals.withColumnRenamed(_BUCKET, _AT), keys, _AT, merged, span, span=None)
+        carried = carried.select(*keys, F.col(_AT).alias(_BUCKET), *merged)
     rows = rows.select("*", *[_AGG[k](c).over(inside).alias(f"_i_{n}") for n, (k, c) in aggs.items()])
     joined = join_buckets(rows, carried, keys)
     return joined.select(
@@ -59,15 +69,18 @@ def with_running(
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], width: int = WIDTH, prefix: str = "prev_"
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], width: int = WIDTH, prefix: str = "prev_", span: int | None = SPAN
 ) -> DataFrame:
-    """Add ``prev_<column>`` of the preceding row of the key; null on its first row."""
+    """Add ``prev_<column>`` of the preceding row of the key; null on its first row. ``span`` as in :func:`with_running`."""
     rows = add_bucket(df, order, width)
     packed = F.struct(*[F.col(c) for c in columns])
     inside = W.partitionBy(*keys, _BUCKET).orderBy(order)
-    across = W.partitionBy(*keys).orderBy(_BUCKET)
     last = rows.groupBy(*keys, _BUCKET).agg(F.max_by(packed, order).alias("_last"))
-    carried = last.select(*keys, _BUCKET, F.lag("_last").over(across).alias("_carried"))
+    if span is None:
+        carried = last.select(*keys, _BUCKET, F.lag("_last").over(W.partitionBy(*keys).orderBy(_BUCKET)).alias("_carried"))
+    else:
+        carried = with_previous(last.withColumnRenamed(_BUCKET, _AT), keys, _AT, ["_last"], span, "_before", None)
+        carried = carried.select(*keys, F.col(_AT).alias(_BUCKET), F.col("_before_last").alias("_carried"))
     rows = rows.withColumn("_lag", F.lag(packed).over(inside))
     joined = join_buckets(rows, carried, keys)
     before = F.coalesce(F.col("_lag"), F.col("_carried"))
