@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from trustlake.operators import ingest as I
 from trustlake.operators import records as R
 from trustlake.plans import jobs
-from trustlake.sources import adapters, sinks
+from trustlake.sources import adapters, jsonranges, sinks
 from trustlake.sources.artifacts import scan_artifacts, scan_contents, scan_ranges
-from trustlake.sources.coco import read_coco
+from trustlake.sources.coco import read_coco, read_coco_ranges
 from trustlake.sources.files import file_digests, image_catalog
 from trustlake.sources.pages import write_pages
 from trustlake.sources.records import read_audit_log, read_records
@@ -63,6 +63,79 @@ def test_coco_splits_boxes_and_contributor(spark, tmp_path):
     assert {(r["dataset_id"], r["class_id"]): r["count"] for r in t.classes.collect()} == {("d1", 1): 2, ("d1", 2): 2, ("d2", 1): 1, ("d2", 2): 1}
 
 
+def _plain(tables):
+    pick = lambda df, *drop: sorted(map(repr, df.drop(*drop).collect()))
+    annotations = tables.annotations.withColumn("segmentation", F.from_json("segmentation", "array<array<double>>"))
+    return pick(tables.images), pick(annotations, "ann_ord"), pick(tables.classes), pick(tables.datasets)
+
+
+AWKWARD = {
+    "info": {"contributor": "a \\\" {[ \\\\", "nested": {"images": [{"id": 77}]}}, "licenses": [{"id": 5, "url": "x"}], "notes": [[{"id": 1}], 3, "]}"],
+    "categories": [{"id": 1, "name": "ta\"nk]"}, {"id": 2, "name": "a\\\\"}],
+    "images": [{"id": i, "file_name": "i}{%d\\" % i + "é" * i + ".png", "width": 20, "height": 10} for i in range(9)],
+    "annotations": [
+        {"id": i, "image_id": i % 9, "category_id": 1 + i % 2, "bbox": [1, 2, 3, i], "segmentation": [[1, 2, 3.5]], "attributes": {"t": "\\" * i + '"' * (i % 3)}}
+        for i in range(40)
+    ],
+}
+
+
+def test_json_ranges_of_any_size(monkeypatch):
+    """Lexer states composed over ranges, and elements cut from them, against a plain parse."""
+    wanted = {k: [x for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict)] for k, v in AWKWARD.items()}
+    for text in (json.dumps(AWKWARD), json.dumps(AWKWARD, indent=3, ensure_ascii=False)):
+        raw = text.encode()
+        for piece, size in ((3, 64), (37, 7), (37, 1 << 20), (1 << 20, 7), (1 << 20, 300)):
+            monkeypatch.setattr(jsonranges, "PIECE", piece)
+            file, quotes, depth, ranges = io.BytesIO(raw), 0, 0, []
+            for start in range(0, len(raw), size):
+                told = jsonranges._transition(file, start, min(size, len(raw) - start))
+                ranges.append((start, size, quotes % 2 == 1, depth))
+                depth += told[3] if quotes % 2 else told[1]
+                quotes += told[0]
+            assert depth == 0 and quotes % 2 == 0
+            members = [m for r in ranges for m in jsonranges._members(file, *r)]
+            ends = [m[0] for m in members[1:]] + [len(raw)]
+            found = {
+                key: [json.loads(x) for r in ranges if r[0] < end and r[0] + size > begin for part in jsonranges._elements(file, *r, kind, begin, end) for _, x in part]
+                for (begin, key, kind), end in zip(members, ends)
+            }
+            assert found == wanted
+
+
+def test_manifests_by_ranges(spark, tmp_path):
+    root = tmp_path / "sets"
+    for split in ("train", "valid"):
+        put(root / "d1" / split / "_annotations.coco.json", manifest([1, 2], "unit-7"))
+    put(root / "d2" / "annotations" / "instances_train.json", json.dumps(AWKWARD))
+    put(root / "d3" / "annotations.json", json.dumps(AWKWARD, indent=3, ensure_ascii=False))
+    put(root / "d4" / "annotations.json", '{"images": [], "annotations": [], "categories": []}')
+    put(root / "d5" / "data.json", '{"images": "none"}')
+    put(root / "d6" / "data.json", '[{"images": [{"id": 1}]}]')
+    wanted = _plain(read_coco(spark, str(root), nested=True))
+    assert len(wanted[0]) == 22 and len(wanted[1]) == 84
+    for size in (90, 1 << 20):
+        found = read_coco_ranges(spark, str(root), nested=True, range_bytes=size)
+        assert _plain(found) == wanted, size
+        order = [r["annotation_id"] for r in found.annotations.where("dataset_id = 'd3'").orderBy("ann_ord").collect()]
+        assert order == [str(i) for i in range(40)]
+    put(root / "d7" / "annotations.json", json.dumps(AWKWARD)[:-1])
+    assert read_coco_ranges(spark, str(root), nested=True, range_bytes=64).images.where("dataset_id = 'd7'").count() == 0
+
+
+def test_one_manifest_many_tasks(spark, tmp_path):
+    n = 60_000
+    annotations = ",".join(f'{{"id":{i},"image_id":{i % 500},"category_id":1,"bbox":[1,2,3,4]}}' for i in range(n))
+    images = ",".join(f'{{"id":{i},"file_name":"{i}.png","width":10,"height":10}}' for i in range(500))
+    put(tmp_path / "m" / "annotations.json", f'{{"annotations":[{annotations}],"images":[{images}],"categories":[{{"id":1,"name":"a"}}]}}')
+    found = read_coco_ranges(spark, str(tmp_path / "m"), range_bytes=100_000)
+    assert found.annotations.agg(F.count("*"), F.count_distinct("annotation_id"), F.sum(F.col("annotation_id").cast("long"))).first() == (n, n, n * (n - 1) // 2)
+    read = jsonranges.scan_json(spark.createDataFrame([(str(tmp_path / "m" / "annotations.json"), (tmp_path / "m" / "annotations.json").stat().st_size)], "path string, size_bytes long"), 100_000)
+    dealt = read.elements("annotations").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < n
+    assert read.elements("images").count() == 500
+
+
 def test_yolo_pairs_boxes_and_violations(spark, tmp_path):
     root = tmp_path / "y"
     for name, text in {"a": "0 0.5 0.5 0.4 0.4\n1 0.1 0.1 0.3 0.1 0.2 0.4\n", "b": "0 0.5 0.5\nx 0.5 0.5 0.1 0.1\n\n2 0.5 0.5 0.1 0.1", "c": ""}.items():

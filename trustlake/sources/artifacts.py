@@ -16,6 +16,7 @@ from trustlake.constants import (
 )
 from trustlake.functions.risk import case_of
 from trustlake.functions.text import extension
+from trustlake.sources.files import open_file
 
 
 def _name(signature: bytes) -> str:
@@ -82,13 +83,6 @@ def scan_artifacts(
     return found.unionByName(scan_ranges(listed, max_bytes, max_ratio, max_archive_bytes, range_bytes))
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:") else path)
-    return system.open_input_file(inner)
-
-
 class _Seekable(io.RawIOBase):
     """An Arrow file as ``zipfile`` expects one: a seek before the start is an ``OSError``."""
 
@@ -126,7 +120,7 @@ def range_signatures(listed: DataFrame, range_bytes: int = RANGE) -> DataFrame:
         for pdf in batches:
             out = []
             for path, start in zip(pdf["path"], pdf["start"].tolist()):
-                with _open(path) as file:
+                with open_file(path) as file:
                     file.seek(start)
                     left, tail, found = range_bytes + last, b"", set()
                     while left > 0 and (piece := file.read(min(PIECE, left))):
@@ -154,7 +148,7 @@ def scan_ranges(
         for pdf in batches:
             for path in pdf["path"]:
                 digest, inner, warnings = hashlib.sha256(), [], []
-                with _open(path) as file:
+                with open_file(path) as file:
                     is_zip = file.read(4) == b"PK\x03\x04"
                     file.seek(0)
                     while piece := file.read(PIECE):

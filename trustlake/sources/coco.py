@@ -15,7 +15,9 @@ from trustlake.constants import SPLIT_NAMES
 from trustlake.functions.geometry import box_from_xywh
 from trustlake.functions.text import basename, folder
 from trustlake.operators.ingest import attach_class_names, namespaced_id, resolve_files, split_of
+from trustlake.session import cut_lineage
 from trustlake.sources.files import relative, split_dataset
+from trustlake.sources.jsonranges import RANGE, JsonFiles, scan_json
 
 IMAGE_FIELDS = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("width", T.LongType()),
@@ -51,15 +53,20 @@ def _manifests(spark: SparkSession, root: str, nested: bool, dataset_id: str) ->
     return raw.withColumn("dataset_id", dataset).withColumn("manifest", inner)
 
 
+def _hidden_manifests(spark: SparkSession, root: str, nested: bool) -> list:
+    """File states of manifests named ``_annotations.coco.json``; one per split folder."""
+    jvm = spark.sparkContext._jvm
+    pattern = root.rstrip("/") + ("/*" if nested else "") + "/{" + ",".join(SPLIT_NAMES) + "}/_annotations.coco.json"
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+
+
 def _underscored(spark: SparkSession, root: str, nested: bool) -> DataFrame:
     """Manifests named ``_annotations.coco.json``, which Spark's own readers skip as hidden files.
 
     The driver lists their names (one per split folder); tasks read and parse them.
     """
-    jvm = spark.sparkContext._jvm
-    pattern = root.rstrip("/") + ("/*" if nested else "") + "/{" + ",".join(SPLIT_NAMES) + "}/_annotations.coco.json"
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    found = _hidden_manifests(spark, root, nested)
     names = spark.createDataFrame([(f.getPath().toUri().toString(),) for f in found], "_file string")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,34 +109,73 @@ def discover_manifests(manifests: DataFrame) -> DataFrame:
     )
 
 
+_PLACE = ["dataset_id", "manifest", "manifest_dir", "split", "manifest_no", "manifests", "split_folder"]
+
+
 def read_coco(spark: SparkSession, root: str, nested: bool = False, dataset_id: str = "dataset", files: DataFrame | None = None) -> AnnotatedTables:
     """Read every dataset below ``root`` (one per folder when ``nested``).
 
     ``files`` is a catalogue as from ``image_catalog``; with it images get path, digest and size, and images
-    without a file are dropped. One manifest is parsed by one task; for very large datasets use
-    :func:`read_coco_lines`.
+    without a file are dropped. One manifest is parsed by one task; :func:`read_coco_ranges` reads large manifests
+    by many.
     """
     manifests = _manifests(spark, root, nested, dataset_id)
     used = discover_manifests(manifests)
     rows = manifests.join(used, ["dataset_id", "manifest"])
+    images = rows.select(*_PLACE, F.explode("images").alias("i"))
+    annotations = rows.select(*_PLACE, F.posexplode("annotations").alias("_pos", "a"))
+    annotations = annotations.withColumn("ann_ord", F.col("manifest_no").cast("long") * F.lit(1 << 40) + F.col("_pos"))
+    categories = rows.select(*_PLACE, F.explode("categories").alias("c"))
+    return _finish(*_tables(images, annotations, categories, rows), files)
+
+
+def read_coco_ranges(
+    spark: SparkSession, root: str, nested: bool = False, dataset_id: str = "dataset", files: DataFrame | None = None, range_bytes: int = RANGE,
+) -> AnnotatedTables:
+    """The tables of :func:`read_coco`, each manifest read by one task per ``range_bytes``; a manifest of any size is never held whole.
+
+    ``ann_ord`` counts bytes in place of annotations: the order is the same. ``segmentation`` is JSON without spaces.
+    A broken manifest yields nothing.
+    """
+    files_of = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(root)
+    listed = files_of.select("path", F.col("length").alias("size_bytes"))
+    hidden = [(f.getPath().toUri().toString(), f.getLen()) for f in _hidden_manifests(spark, root, nested)]
+    listed = listed.union(spark.createDataFrame(hidden, "path string, size_bytes long"))
+    found = scan_json(listed, range_bytes)
+    has = lambda key: F.max(F.when((F.col("key") == key) & (F.col("kind") == "["), True)).alias(key)
+    dataset, inner = split_dataset(relative(F.col("path"), root), nested, dataset_id)
+    manifests = found.members.groupBy("path").agg(has("images"), has("annotations"), has("categories"))
+    manifests = cut_lineage(manifests.withColumn("dataset_id", dataset).withColumn("manifest", inner))
+    used = manifests.select("path", "dataset_id", "manifest").join(discover_manifests(manifests), ["dataset_id", "manifest"])
+    used = cut_lineage(used.select("path", *_PLACE))
+    chosen = JsonFiles(found.ranges.join(used.select("path"), "path", "left_semi"), found.members)
+
+    def parsed(key: str, fields: T.StructType, name: str) -> DataFrame:
+        rows = chosen.elements(key).select("path", "place", F.from_json("text", fields).alias(name))
+        return rows.join(used, "path")
+
+    annotations = parsed("annotations", ANNOTATION_FIELDS, "a")
+    annotations = annotations.withColumn("ann_ord", F.col("manifest_no").cast("long") * F.lit(1 << 44) + F.col("place"))
+    info = used.join(parsed("info", MANIFEST["info"].dataType, "info").select("path", "info"), "path", "left")
+    return _finish(*_tables(parsed("images", IMAGE_FIELDS, "i"), annotations, parsed("categories", CATEGORY_FIELDS, "c"), info), files)
+
+
+def _tables(images: DataFrame, annotations: DataFrame, categories: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Images, annotations, categories and datasets from parsed records ``i``, ``a``, ``c`` and ``info`` with the place of their manifest."""
     named = lambda raw: namespaced_id(raw, F.col("split"), F.col("manifests"), F.col("split_folder"))
-    place = ["dataset_id", "manifest", "manifest_dir", "split", "manifest_no", "manifests", "split_folder"]
-    images = rows.select(*place, F.explode("images").alias("i")).select(
+    images = images.select(
         "dataset_id", named(F.col("i.id")).alias("image_id"), F.col("i.id").alias("raw_id"), "split", "manifest_dir", "manifest",
         "i.file_name", "i.width", "i.height", "i.source_metadata",
     )
-    annotations = rows.select(*place, F.posexplode("annotations").alias("_pos", "a")).select(
-        "dataset_id", named(F.col("a.id")).alias("annotation_id"), named(F.col("a.image_id")).alias("image_id"),
-        (F.col("manifest_no").cast("long") * F.lit(1 << 40) + F.col("_pos")).alias("ann_ord"), F.col("a.category_id").alias("class_id"),
+    annotations = annotations.select(
+        "dataset_id", named(F.col("a.id")).alias("annotation_id"), named(F.col("a.image_id")).alias("image_id"), "ann_ord", F.col("a.category_id").alias("class_id"),
         F.col("a.bbox").alias("pixel_box"), "a.area", F.col("a.score").alias("confidence"), F.coalesce("a.iscrowd", F.lit(0)).alias("iscrowd"), "a.segmentation",
     )
-    categories = rows.select("dataset_id", "manifest_no", F.explode("categories").alias("c")).select(
-        "dataset_id", "manifest_no", F.col("c.id").alias("class_id"), F.col("c.name").alias("class_name")
-    )
-    datasets = rows.select("dataset_id", "manifest_no", F.col("info.contributor").alias("contributor")).groupBy("dataset_id").agg(
+    categories = categories.select("dataset_id", "manifest_no", F.col("c.id").alias("class_id"), F.col("c.name").alias("class_name"))
+    datasets = manifests.select("dataset_id", "manifest_no", F.col("info.contributor").alias("contributor")).groupBy("dataset_id").agg(
         F.min_by("contributor", F.when(F.coalesce("contributor", F.lit("")) != "", F.col("manifest_no"))).alias("contributor_id")
     ).withColumn("format_origin", F.lit("coco"))
-    return _finish(images, annotations, categories, datasets, files)
+    return images, annotations, categories, datasets
 
 
 def _finish(images: DataFrame, annotations: DataFrame, categories: DataFrame, datasets: DataFrame, files: DataFrame | None) -> AnnotatedTables:

@@ -10,6 +10,14 @@ from trustlake.functions.binary import image_header
 from trustlake.functions.text import extension
 
 
+def open_file(path: str):
+    """A file that can seek, opened in a task through Arrow file systems."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:") else path)
+    return system.open_input_file(inner)
+
+
 def relative(path: Column, root: str) -> Column:
     """Path below ``root`` without scheme; both may carry one."""
     base = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
