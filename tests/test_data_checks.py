@@ -70,6 +70,31 @@ def test_knn_brute_force_with_a_third_of_rows_equal(spark, pivots):
         assert [j for _, j in sorted(got[i])] == [j for _, j in order]
 
 
+def test_one_huge_group_is_pruned_by_its_own_tree(spark):
+    """Nearly all rows in one clustered group: exact against brute force, and far fewer pairs than its square."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8))
+    rows, x = [], []
+    for i in range(2100):
+        v = centres[i % 40] + 0.05 * rng.normal(size=8) if i % 7 else centres[i % 40]
+        x.append(v / np.linalg.norm(v))
+        rows.append(("small" if i % 21 == 0 else "huge", str(i), i, i % 3, x[-1].tolist()))
+    df = spark.createDataFrame(rows, "g string, image_id string, ord long, class_id int, vec array<double>").repartition(5)
+    x, group = np.array(x), np.array([r[0] for r in rows])
+    got = {}
+    for r in N.knn_join(df, 3, by=["g"], pivots=32, leaf=300, block=64).collect():
+        got.setdefault(r["ord"], []).append((r["rank"], int(r["n_id"])))
+    away = np.floor(np.maximum(0, 1 - x @ x.T) * 1e9 + 0.5000001) / 1e9
+    for i in range(len(rows)):
+        order = sorted((away[i, j], j) for j in np.flatnonzero(group == group[i]) if j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in order]
+    points = spark.createDataFrame([(r[0], r[2], r[4]) for r in rows], "g string, _uid long, _vec array<double>")
+    members, queries = N.pivot_tree(points, ["g"], 3, 100, 32)
+    held, asked = ({tuple(r)[:2]: r["count"] for r in d.groupBy("_g", "_path").count().collect()} for d in (members, queries))
+    assert sum(held.values()) == len(rows) and len(held) > 30
+    assert sum(n * asked.get(node, 0) for node, n in held.items()) < len(rows) ** 2 / 5
+
+
 def test_flipped_label_is_found(spark):
     def content(level, i):
         return bytes((level + (i * 7 + j) % 9) % 256 for j in range(600))

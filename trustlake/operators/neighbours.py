@@ -1,21 +1,21 @@
 """Exact k-nearest-neighbour join on unit vectors, and the label votes built on it.
 
 Plan: equal vectors are folded into one point that remembers its k + 1 lowest-ordered members, which is all any
-query can ever need of them. Points are assigned to pivot cells; a query visits a cell only when the triangle
-or bisector bound allows a neighbour there. Cells are packed into blocks of bounded size and block pairs are
-scored with one matrix product each, so no task ever holds a whole cell, however many points fall into it.
+query can ever need of them. Each large group is a tree of pivot balls, split while a ball is large; a query visits a
+ball only when the triangle or bisector bound allows a neighbour there. Leaves, and small groups, are packed into blocks of bounded size and block pairs are
+scored with one matrix product each, so no task ever holds a whole leaf, however many points fall into it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trustlake.session import cut_lineage
 
@@ -41,11 +41,12 @@ def _points(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 class _Cells:
-    """Pivots and the per-cell radii that bound where neighbours can be. At most ``pivots`` x (dim + k) numbers."""
+    """Pivots of one node and the radii of its cells, which bound where neighbours can be: pivots x (dim + k) numbers."""
 
     def __init__(self, pivots: np.ndarray, top: float):
-        self.pivots, self.top = pivots, top
-        self.radius = np.zeros(len(pivots))
+        self.top = top
+        self.pivots = self.lift(pivots)
+        self.radius = np.full(len(pivots), -np.inf)
         self.near = np.full((len(pivots), 1), np.inf)
 
     def lift(self, vectors: np.ndarray) -> np.ndarray:
@@ -57,53 +58,32 @@ class _Cells:
         squares = (lifted * lifted).sum(1)[:, None] + (self.pivots**2).sum(1)[None, :] - 2.0 * lifted @ self.pivots.T
         return np.sqrt(np.maximum(squares, 0.0))
 
-    def visits(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """Boolean (query, cell): cells that may hold one of the k + 1 nearest points."""
+    def measure(self, cells: Sequence[dict], k: int) -> None:
+        """Take in the largest and the k + 1 smallest distances from each pivot to the points of its cell."""
+        self.near = np.full((len(self.pivots), k + 1), np.inf)
+        for cell in cells:
+            self.radius[cell["_cell"]] = cell["radius"]
+            self.near[cell["_cell"], : len(cell["near"])] = cell["near"]
+
+    def visits(self, queries: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Boolean (query, cell): cells that may hold one of the k + 1 nearest points; and each query's tightened limit."""
         away = self.distances(np.hstack([queries, np.zeros((len(queries), 1))]))
         upper = (away[:, :, None] + self.near[None]).reshape(len(queries), -1)
-        limit = np.partition(upper, min(k, upper.shape[1] - 1), axis=1)[:, min(k, upper.shape[1] - 1)]
+        at = min(k, upper.shape[1] - 1)
+        limit = np.minimum(limit, np.partition(upper, at, axis=1)[:, at])
         own = away.argmin(1)
         between = self.distances(self.pivots)[own]
         with np.errstate(divide="ignore", invalid="ignore"):
             bisector = (away**2 - (away.min(1) ** 2)[:, None]) / (2.0 * between)
         bisector = np.where(between > 1e-9, bisector, 0.0)
         lower = np.maximum(np.maximum(away - self.radius[None], bisector), 0.0)
-        return lower**2 <= (limit**2)[:, None] + 1e-6
+        return lower**2 <= (limit**2)[:, None] + 1e-6, limit
 
 
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def _make_cells(points: DataFrame, k: int, pivots: int) -> tuple[_Cells, DataFrame]:
-    length = F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda a, x: a + x * x))
-    top = points.agg(F.max(length)).first()[0]
-    chosen = points.orderBy(F.xxhash64("_uid"), "_uid").limit(pivots).select("_vec").collect()
-    cells = _Cells(np.zeros((1, 1)), float(top))
-    cells.pivots = cells.lift(np.array([r[0] for r in chosen], dtype=float))
-    schema = T.StructType([*points.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_r", T.DoubleType())])
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                away = cells.distances(cells.lift(_stack(pdf["_vec"])))
-                yield pdf.assign(_cell=away.argmin(1).astype("int32"), _r=away.min(1))
-
-    placed = points.mapInPandas(assign, schema)
-    closest = W.partitionBy("_cell").orderBy("_r")
-    measured = placed.select("_cell", "_r").withColumn("_rn", F.row_number().over(closest))
-    nearest = measured.where(F.col("_rn") <= k + 1).select("_cell", "_rn", "_r").collect()
-    radii = placed.groupBy("_cell").agg(F.max("_r")).collect()
-    measured_cells = _Cells(cells.pivots, cells.top)
-    measured_cells.near = np.full((len(cells.pivots), k + 1), np.inf)
-    measured_cells.radius = np.full(len(cells.pivots), -np.inf)
-    for cell, rank, r in nearest:
-        measured_cells.near[cell, rank - 1] = r
-    for cell, r in radii:
-        measured_cells.radius[cell] = r
-    return measured_cells, placed.drop("_r")
-
-
 def _blocks(rows: DataFrame, keys: list[str], name: str, fields: list[str], size: int) -> DataFrame:
     counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("_chunks"))
     chunk = F.pmod(F.xxhash64("_uid"), F.col("_chunks"))
@@ -125,31 +105,112 @@ def _block_pairs(asked: DataFrame, data: DataFrame, keys: list[str]) -> DataFram
     return dealt(asked, data, "asked", "data").join(dealt(data, asked, "data", "asked"), [*keys, "_asked", "_data"]).select("asked", "data")
 
 
+_NODE = ["_g", "_path"]
+_SPAN = 8192  # rows of a node that one task meets at a time
+
+
+def _spread(rows: DataFrame, tables: DataFrame):
+    """Rows of each node in spans of about ``_SPAN``, each beside the node's table, whatever the size of the node."""
+    counts = rows.groupBy(*_NODE).agg(F.ceil(F.count(F.lit(1)) / F.lit(_SPAN)).alias("_spans"))
+    dealt = rows.join(counts, _NODE).withColumn("_span", F.pmod(F.xxhash64("_uid"), F.col("_spans"))).drop("_spans")
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("_spans") - 1)
+    named = [F.col(c).alias(f"{c}_of") for c in _NODE]  # new names keep the two sides apart
+    copies = tables.join(counts, _NODE).select(*named, F.explode(numbers).alias("_span_of"), *[c for c in tables.columns if c not in _NODE])
+    return dealt.groupBy(*_NODE, "_span").cogroup(copies.groupBy("_g_of", "_path_of", "_span_of"))
+
+
+def _cells_of(table: pd.DataFrame) -> _Cells:
+    return _Cells(np.array([np.asarray(v, dtype=float) for v in table["_pivots"].iloc[0]]), float(table["_top"].iloc[0]))
+
+
+def _split(placed: DataFrame, asked: DataFrame, big: DataFrame, level: int, k: int, fanout: int) -> tuple[DataFrame, DataFrame]:
+    """One level of the tree: members of the ``big`` nodes go to the cell of their nearest pivot, queries to every cell
+    that may hold a neighbour. Each node draws its own pivots, about the root of its size, ``fanout`` at most."""
+    share = F.least(F.lit(float(fanout)), F.ceil(F.sqrt("_n"))) / F.col("_n")
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(level), "_uid"), 11) / F.lit(float(1 << 53))
+    chosen = placed.join(big, _NODE).where((drawn < share) | (F.col("_uid") == F.col("_first")))
+    tables = cut_lineage(chosen.groupBy(*_NODE).agg(
+        F.sort_array(F.collect_list(F.struct("_uid", "_vec")))["_vec"].alias("_pivots"), F.first("_top").alias("_top")
+    ))
+    place_schema = "_g bigint, _path string, _top double, _uid bigint, _vec array<double>, _cell int, _r double"
+
+    def place(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="_span")
+        if not len(rows):
+            return rows.assign(_cell=0, _r=0.0)
+        cells = _cells_of(table)
+        away = cells.distances(cells.lift(_stack(rows["_vec"])))
+        return rows.assign(_cell=away.argmin(1).astype("int32"), _r=away.min(1))
+
+    members = cut_lineage(_spread(placed, tables).applyInPandas(place, place_schema))
+    closest = W.partitionBy(*_NODE, "_cell").orderBy("_r")
+    ranked = members.select(*_NODE, "_cell", "_r").withColumn("_rn", F.row_number().over(closest)).where(F.col("_rn") <= k + 1)
+    near = ranked.groupBy(*_NODE, "_cell").agg(F.sort_array(F.collect_list("_r")).alias("near"))
+    radius = members.groupBy(*_NODE, "_cell").agg(F.max("_r").alias("radius"))
+    measured = near.join(radius, [*_NODE, "_cell"]).groupBy(*_NODE).agg(F.collect_list(F.struct("_cell", "radius", "near")).alias("_cells"))
+
+    def route(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: rows[c].iloc[:0] for c in ("_g", "_path", "_top", "_uid", "_vec", "_limit")})]
+        if len(rows):
+            cells = _cells_of(table)
+            cells.measure(table["_cells"].iloc[0], k)
+        for start in range(0, len(rows), 512):
+            part = rows.iloc[start:start + 512]
+            seen, limit = cells.visits(_stack(part["_vec"]), k, part["_limit"].to_numpy(dtype=float))
+            row, cell = np.nonzero(seen)
+            picked = part.iloc[row]
+            out.append(pd.DataFrame({
+                "_g": picked["_g"].to_numpy(), "_path": picked["_path"].to_numpy() + np.char.add(".", cell.astype(str)).astype(object),
+                "_top": picked["_top"].to_numpy(), "_uid": picked["_uid"].to_numpy(), "_vec": picked["_vec"].to_numpy(), "_limit": limit[row],
+            }))
+        return pd.concat(out, ignore_index=True)
+
+    route_schema = "_g bigint, _path string, _top double, _uid bigint, _vec array<double>, _limit double"
+    routed = cut_lineage(_spread(asked, tables.join(measured, _NODE)).applyInPandas(route, route_schema))
+    below = F.concat("_path", F.lit("."), F.col("_cell").cast("string"))
+    return members.withColumn("_path", below).drop("_cell", "_r"), routed
+
+
+def pivot_tree(points: DataFrame, keys: list[str], k: int, leaf: int, fanout: int, levels: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Members and queries by leaf: ``_g, _path, _uid, _vec`` each.
+
+    Every group is the root of a tree of pivot balls; a node of more than ``leaf`` points is split, up to ``levels``
+    times. A query goes down with the bound on its (k + 1)th distance and only into balls that the bound lets in, so all
+    its neighbours lie in leaves it reaches. Trees are tables: no group, node or list of nodes passes the driver.
+    """
+    length = F.sqrt(F.aggregate("_vec", F.lit(0.0), lambda a, x: a + x * x))
+    groups = points.groupBy(*keys).agg(F.min("_uid").alias("_g"), F.max(length).alias("_top"))
+    placed = points.join(groups, keys).select("_g", F.lit("").alias("_path"), "_top", "_uid", "_vec")
+    asked = placed.withColumn("_limit", F.lit(float("inf")))
+    done = []
+    for level in range(levels):
+        sizes = placed.groupBy(*_NODE).agg(F.count(F.lit(1)).alias("_n"), F.min("_uid").alias("_first"))
+        big = cut_lineage(sizes.where(F.col("_n") > leaf))
+        if big.isEmpty():
+            break
+        named = big.select(*_NODE)
+        done.append((placed.join(named, _NODE, "left_anti"), asked.join(named, _NODE, "left_anti")))
+        placed, asked = _split(placed.join(named, _NODE, "left_semi"), asked.join(named, _NODE, "left_semi"), big, level, k, fanout)
+    done.append((placed, asked))
+    columns = [*_NODE, "_uid", "_vec"]
+    members, queries = zip(*done)
+    return tuple(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]) for parts in (members, queries))
+
+
 def nearest_points(
-    points: DataFrame, keys: list[str], k: int, pivots: int, block: int, digits: int = 9
+    points: DataFrame, keys: list[str], k: int, leaf: int | None, fanout: int, block: int, digits: int = 9
 ) -> DataFrame:
-    """``_uid`` with the sorted array of its k + 1 nearest members (its own included)."""
-    if pivots > 1:
-        cells, placed = _make_cells(points, k, pivots)
-        route_schema = T.StructType(
-            [f for f in points.schema.fields if f.name in ("_uid", "_vec")] + [T.StructField("_cell", T.IntegerType())]
-        )
-
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for start in range(0, len(pdf), 512):
-                    part = pdf.iloc[start:start + 512]
-                    row, cell = np.nonzero(cells.visits(_stack(part["_vec"]), k))
-                    yield pd.DataFrame({
-                        "_uid": part["_uid"].to_numpy()[row], "_vec": part["_vec"].to_numpy()[row],
-                        "_cell": cell.astype("int32"),
-                    })
-
-        queries = points.select("_uid", "_vec").mapInPandas(route, route_schema)
+    """``_uid`` with the sorted array of its k + 1 nearest members (its own included).
+
+    With ``leaf``, groups of more points are pruned by their pivot tree; None joins every group block by block.
+    """
+    rooted, roots = (points, keys) if keys else (points.withColumn("_all", F.lit(0)), ["_all"])
+    if leaf is not None and not rooted.groupBy(*roots).count().where(F.col("count") > leaf).isEmpty():
+        placed, queries = pivot_tree(rooted, roots, k, leaf, fanout)
+        placed, cell_keys = placed.join(points.select("_uid", "_members"), "_uid"), _NODE
     else:
-        placed = points.withColumn("_cell", F.lit(0))
-        queries = placed.select(*keys, "_uid", "_vec", "_cell")
-    cell_keys = [*keys, "_cell"]
+        placed, cell_keys = rooted, roots
+        queries = placed.select(*roots, "_uid", "_vec")
     data = _blocks(placed, cell_keys, "data", ["_vec", "_members"], block)
     asked = _blocks(queries, cell_keys, "asked", ["_uid", "_vec"], block)
     pairs = _block_pairs(asked, data, cell_keys)
@@ -185,12 +246,12 @@ def nearest_points(
 
 def nearest(
     features: DataFrame, k: int = 5, by: Sequence[str] = (), id_col: str = "image_id", order: str = "ord",
-    label: str = "class_id", vector: str = "vec", pivots: int | None = None, block: int = 1024,
+    label: str = "class_id", vector: str = "vec", pivots: int | None = None, block: int = 1024, leaf: int | None = None,
 ) -> DataFrame:
     """Add ``neighbours``: the k nearest other rows as array<struct(distance, n_ord, n_id, n_label)>.
 
-    ``order`` must be a unique integer over the whole table; it breaks ties. Without ``by`` large inputs are
-    pruned through pivot cells; with ``by`` each group is joined block by block.
+    ``order`` must be a unique integer over the whole table; it breaks ties. Groups of more than ``leaf`` points
+    (50,000 by default) are pruned through a tree of at most ``pivots`` balls a node; ``pivots=1`` never prunes.
     """
     keys = list(by)
     rows = features.select(
@@ -198,10 +259,8 @@ def nearest(
         F.col(label).cast("string").alias("_label"), F.col(vector).cast("array<double>").alias("_vec"),
     )
     points = cut_lineage(_points(rows, keys, k))  # read by the pivots, the cells and both sides of the join
-    if pivots is None:
-        count = 0 if keys else points.count()
-        pivots = 1 if count < 50_000 else int(min(2048, count**0.5))
-    found = nearest_points(points, keys, k, pivots, block)
+    leaf = None if pivots == 1 else leaf or (50_000 if pivots is None else 4 * pivots)
+    found = nearest_points(points, keys, k, leaf, pivots or 1024, block)
     per_vector = points.drop("_members").join(found, "_uid").drop("_uid")
     joined = rows.join(per_vector, [*keys, "_vec"])
     others = F.slice(F.filter("_found", lambda n: n["n_ord"] != F.col("_ord")), 1, k)
