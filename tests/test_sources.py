@@ -323,6 +323,48 @@ def test_shift_and_model_jobs(spark):
     assert jobs.compare_models(tables, "r", "r").count() == 0
 
 
+def test_many_model_pairs_in_one_job(spark):
+    """Detection models: a copy, one with shifted boxes and one blind for class 1 under perturbation; each pair as if alone."""
+    from trustlake.plans.compare import detection_behaviour
+
+    def rows(model):
+        out = []
+        for p in range(12):
+            boxes = []
+            for i in range(4):
+                x, y = 0.1 + 0.2 * i, 0.05 * (p % 4) + 0.1
+                x += 0.06 if model == "shifted" else 0.0
+                kind = i % 2
+                if model == "blind" and p >= 6 and kind == 1:
+                    continue
+                boxes.append((kind, 0.9, [x, y, x + 0.15, y + 0.2]))
+            out.append((model, f"p{p}", boxes if p != 5 else []))
+        return out
+
+    data = [r for m in ("base", "copy", "shifted", "blind") for r in rows(m)]
+    detections = spark.createDataFrame(data, "model_id string, probe_id string, detections array<struct<class_id:int,confidence:double,bbox:array<double>>>")
+    probes = spark.createDataFrame([(f"p{p}", p >= 6) for p in range(12)], "probe_id string, perturbed boolean")
+    models = spark.createDataFrame([("base", "x"), ("copy", "x"), ("shifted", "y"), ("blind", "z")], "model_id string, digest string")
+    scores = spark.createDataFrame([("copy", n, s) for n, s in (("a", 10.0), ("b", 11.0), ("c", 9.0), ("d", 1.0), ("e", 10.5))] + [("blind", "a", 1.0)],
+                                   "model_id string, name string, score double")
+    pairs = spark.createDataFrame([(m, m, "base") for m in ("copy", "shifted", "blind")], "asset_id string, candidate string, reference string")
+    tables = {"detections": detections, "probes": probes, "models": models, "scores": scores}
+    found = jobs.compare_model_pairs(tables, pairs).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["asset_id"], set()).add((r["threat_id"], r["severity"]))
+    assert got["copy"] == {("MT-1", "INFORMATIONAL"), ("MT-3", "HIGH")}
+    assert ("MT-3", "HIGH") in got["blind"] and ("MT-3", "INFORMATIONAL") in got["blind"] and ("MT-1", "INFORMATIONAL") not in got["blind"]
+    assert got["shifted"] & {("MT-1", "HIGH"), ("MT-2", "MEDIUM")} and ("MT-3", "HIGH") not in got["shifted"]
+    behaviour = {r["asset_id"]: r for r in detection_behaviour(detections, pairs).collect()}
+    iou = 0.09 / 0.21  # 0.15 wide boxes moved by 0.06; the probe without boxes agrees fully
+    assert abs(behaviour["shifted"]["distance"] - 0.4 * (1 - (11 * iou + 1) / 12)) < 1e-5 and behaviour["copy"]["identical"]
+    assert abs(behaviour["blind"]["count_drift_ratio"] - round(12 / 44, 4)) < 1e-9
+    for m in ("copy", "shifted", "blind"):
+        alone = jobs.compare_models(tables, m, "base", m).collect()
+        assert {(r["finding_id"], r["severity"]) for r in alone} == {(r["finding_id"], r["severity"]) for r in found if r["asset_id"] == m}
+
+
 def test_pages_read_only_their_ranges(spark, tmp_path):
     rows = [(k % 7 if k % 50 else None, f"id{k:05d}", k) for k in range(5000)]
     df = spark.createDataFrame(rows, "s long, id string, n long").repartition(5)

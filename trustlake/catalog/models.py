@@ -8,6 +8,7 @@ from trustlake.functions.numeric import fixed
 from trustlake.operators import digest as G
 from trustlake.operators import models as M
 from trustlake.operators.twosample import explode_vectors
+from trustlake.plans.compare import compare_model_pairs
 
 WEIGHTS = """w AS (SELECT CASE vec_id % 2 WHEN 0 THEN 'ref' ELSE 'cand' END AS model_id, label AS layer, vec_id,
   unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS value FROM embeddings),
@@ -205,6 +206,58 @@ def detection_distance(spark, sf):
     return M.detection_distance(metrics, M.class_counts_pair(cand, ref))
 
 
+PAIRS = [("a1", "m1", "m0"), ("a2", "m2", "m0"), ("a3", "m3", "m1")]
+#: A model is what shares a remainder: layers and activations from embeddings, class probabilities from lineitem.
+PAIR_TABLES = f"""prs(asset, c, r) AS (VALUES {", ".join(map(str, PAIRS))}),
+w AS (SELECT 'm' || (vec_id % 4)::VARCHAR AS m, label AS layer, unnest(embedding)::DOUBLE * (label + vec_id % 4 <> 3)::INTEGER AS v FROM embeddings),
+st AS (SELECT m, layer, count(*) AS n, avg(v) AS mean, sqrt(sum(v * v)) AS l2, count(*) FILTER (abs(v) < 1e-7) / count(*) AS sparsity FROM w GROUP BY ALL),
+lay AS (SELECT asset, abs(c.l2 - r.l2) / (r.l2 + 1e-7) AS rel, c.l2 IS NULL AS gone, abs(c.mean - r.mean) AS md
+  FROM prs JOIN st r ON r.m = prs.r LEFT JOIN st c ON c.m = prs.c AND c.layer = r.layer),
+act AS (SELECT 'm' || (vec_id % 4)::VARCHAR AS m, label AS layer, vec_id // 4 AS probe, unnest(range(len(embedding))) AS neuron, unnest(embedding)::DOUBLE - 0.2 AS v FROM embeddings),
+dn AS (SELECT m, layer, count(*) FILTER (top <= 0) / count(*) AS ratio FROM (SELECT m, layer, neuron, max(v) AS top FROM act GROUP BY ALL) GROUP BY ALL),
+cs AS (SELECT asset, a.layer, a.probe, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS s
+  FROM prs JOIN act a ON a.m = prs.c JOIN act b ON b.m = prs.r AND b.layer = a.layer AND b.probe = a.probe AND b.neuron = a.neuron GROUP BY ALL),
+sim AS (SELECT asset, layer, avg(s) AS s FROM cs GROUP BY ALL),
+p AS (SELECT 'm' || (l_linenumber % 4)::VARCHAR AS m, l_suppkey AS probe, l_partkey % 3 AS class_id, {fx('avg(abs(l_discount) * 5 + l_linenumber % 4 // 2 * (l_partkey % 3))')} AS p FROM lineitem GROUP BY ALL),
+al AS (SELECT coalesce(x.asset, y.asset) AS asset, coalesce(x.p, 0.0) AS a, coalesce(y.p, 0.0) AS b FROM (SELECT asset, probe, class_id, p FROM prs JOIN p ON p.m = prs.c) x
+  FULL JOIN (SELECT asset, probe, class_id, p FROM prs JOIN p ON p.m = prs.r) y ON x.asset = y.asset AND x.probe = y.probe AND x.class_id = y.class_id),
+bd AS (SELECT asset, {fx('greatest(0.0, 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))))')} AS d FROM al GROUP BY asset),
+fnd AS (SELECT asset, 'MT-1' AS t, 'Potential Model Substitution' AS title, least(0.95, 0.7 + (d - 0.25) * 0.5) AS conf, NULL AS n, d AS x FROM bd WHERE d >= 0.25
+  UNION ALL SELECT asset, 'MT-2', 'Behavioral Drift Detected', 0.75, NULL, d FROM bd WHERE d >= 0.08 AND d < 0.25
+  UNION ALL SELECT asset, 'MT-2', 'Model Parameter Modification Detected', least(0.9, 0.65 + coalesce(max(rel), 0)), count(*), coalesce(max(rel), 0) FROM lay WHERE rel > 0.02 OR md > 0.05 OR gone GROUP BY asset
+  UNION ALL SELECT asset, 'MT-2', 'Anomalous Parameter Sparsity Observed', 0.6, count(*), max(sparsity) FROM prs JOIN st ON st.m = prs.c WHERE sparsity > 0.95 AND n > 10 GROUP BY asset
+  UNION ALL SELECT asset, 'MT-4', 'Elevated Dead Neuron Ratio', 0.8, count(*), max(ratio) FROM prs JOIN dn ON dn.m = prs.c WHERE ratio >= 0.75 GROUP BY asset
+  UNION ALL SELECT asset, 'MT-4', 'Intermediate Representation Divergence', 0.85, count(*), min(s) FROM sim WHERE s < 0.5 GROUP BY asset)"""
+
+
+def model_tables(t: Tables):
+    e, model = t("embeddings"), F.concat(F.lit("m"), (F.col("vec_id") % 4).cast("string")).alias("model_id")
+    keys = ["model_id", "layer", "probe_id", "keep"]
+    rows = explode_vectors(e.select(
+        model, F.col("label").alias("layer"), F.floor(F.col("vec_id") / 4).alias("probe_id"), (F.col("label") + F.col("vec_id") % 4 != 3).alias("keep"), "embedding"
+    ), keys, "embedding")
+    number = F.col("l_linenumber") % 4
+    confidence = F.avg(F.abs("l_discount") * 5 + F.floor(number / 2) * (F.col("l_partkey") % 3))
+    top = t("lineitem").groupBy(
+        F.concat(F.lit("m"), number.cast("string")).alias("model_id"), F.col("l_suppkey").alias("probe_id"), (F.col("l_partkey") % 3).cast("int").alias("class_id")
+    ).agg(confidence.alias("confidence"))
+    return {
+        "weights": rows.select("model_id", "layer", F.when(F.col("keep"), F.col("v")).otherwise(0.0).alias("value")),
+        "activations": rows.select("model_id", "layer", "probe_id", F.col("dim").alias("neuron"), (F.col("v") - 0.2).alias("value")),
+        "predictions": top.groupBy("model_id", "probe_id").agg(F.collect_list(F.struct("class_id", "confidence")).alias("top_k")),
+    }
+
+
+@query("compare_model_pairs", f"""WITH {PAIR_TABLES}
+SELECT asset AS asset_id, t AS threat_id, title, {fx('conf')} AS confidence, n::DOUBLE AS layers, {fx('x')} AS value FROM fnd""")
+def compare_pairs(spark, sf):
+    """Three model pairs in one job: behaviour, weights, dead layers and neurons, activations."""
+    pairs = spark.createDataFrame(PAIRS, "asset_id string, candidate string, reference string")
+    found = compare_model_pairs(model_tables(Tables(spark, sf)), pairs)
+    value = F.coalesce(*[F.col("metrics")[n] for n in ("distance", "max_l2", "max_sparsity", "max_ratio", "min_similarity")])
+    return found.select("asset_id", "threat_id", "title", fixed(F.col("confidence"), 6).alias("confidence"), F.col("metrics")["layers"].alias("layers"), fixed(value, 6).alias("value"))
+
+
 COUNTS = """counts AS (SELECT l_linenumber AS model_id, l_suppkey % 25 AS class_id, count(*) FILTER (l_returnflag = 'A') AS c_ref,
   count(*) FILTER (l_returnflag = 'R' AND (l_suppkey % 25 <> l_linenumber OR l_quantity < 5)) AS c_cand FROM lineitem GROUP BY ALL)"""
 

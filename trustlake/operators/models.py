@@ -56,12 +56,12 @@ def dead_neurons(activations: DataFrame, by: Sequence[str] = ("model_id", "layer
     return rows.withColumn("flagged", F.col("dead_ratio") >= threshold)
 
 
-def activation_similarity(candidate: DataFrame, reference: DataFrame, threshold: float = 0.50) -> DataFrame:
-    """Mean cosine similarity per layer over the probes both models saw with the same width."""
-    a = candidate.select("layer", "probe_id", "neuron", F.col("value").alias("a"))
-    b = reference.select("layer", "probe_id", "neuron", F.col("value").alias("b"))
-    joined = a.join(b, ["layer", "probe_id", "neuron"], "full_outer")
-    both = joined.groupBy("layer", "probe_id").agg(
+def activation_similarity(candidate: DataFrame, reference: DataFrame, threshold: float = 0.50, by: Sequence[str] = ()) -> DataFrame:
+    """Mean cosine similarity per layer over the probes both models saw with the same width; ``by`` separates model pairs."""
+    a = candidate.select(*by, "layer", "probe_id", "neuron", F.col("value").alias("a"))
+    b = reference.select(*by, "layer", "probe_id", "neuron", F.col("value").alias("b"))
+    joined = a.join(b, [*by, "layer", "probe_id", "neuron"], "full_outer")
+    both = joined.groupBy(*by, "layer", "probe_id").agg(
         F.sum(F.col("a") * F.col("b")).alias("ab"), F.sqrt(F.sum(F.col("a") ** 2)).alias("na"),
         F.sqrt(F.sum(F.col("b") ** 2)).alias("nb"), F.count("a").alias("ca"), F.count("b").alias("cb"),
     )
@@ -69,7 +69,7 @@ def activation_similarity(candidate: DataFrame, reference: DataFrame, threshold:
     sims = both.where((F.col("ca") > 0) & (F.col("cb") > 0)).withColumn(
         "s", F.when(usable, F.col("ab") / (F.col("na") * F.col("nb")))
     )
-    rows = sims.groupBy("layer").agg(F.coalesce(F.avg("s"), F.lit(1.0)).alias("similarity"))
+    rows = sims.groupBy(*by, "layer").agg(F.coalesce(F.avg("s"), F.lit(1.0)).alias("similarity"))
     return rows.withColumn("divergent", F.col("similarity") < threshold)
 
 
@@ -291,23 +291,28 @@ def match_metrics(
     )
 
 
-def class_counts_pair(candidate: DataFrame, reference: DataFrame) -> DataFrame:
-    """``class_id, c_cand, c_ref`` with zeros."""
-    a = candidate.groupBy("class_id").agg(F.count(F.lit(1)).alias("c_cand"))
-    b = reference.groupBy("class_id").agg(F.count(F.lit(1)).alias("c_ref"))
-    return a.join(b, "class_id", "full_outer").fillna(0, ["c_cand", "c_ref"])
+def class_counts_pair(candidate: DataFrame, reference: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., class_id, c_cand, c_ref`` with zeros."""
+    a = candidate.groupBy(*by, "class_id").agg(F.count(F.lit(1)).alias("c_cand"))
+    b = reference.groupBy(*by, "class_id").agg(F.count(F.lit(1)).alias("c_ref"))
+    return a.join(b, [*by, "class_id"], "full_outer").fillna(0, ["c_cand", "c_ref"])
 
 
-def detection_distance(metrics: DataFrame, counts: DataFrame, weights: Sequence[float] = (0.4, 0.4, 0.2)) -> DataFrame:
-    """One row: distance 0.4(1 - IoU) + 0.4(1 - agreement) + 0.2 drift, with its parts."""
-    means = metrics.agg(F.coalesce(F.avg("mean_iou"), F.lit(0.0)).alias("iou"), F.coalesce(F.avg("class_agreement"), F.lit(0.0)).alias("agree"))
+def detection_distance(
+    metrics: DataFrame, counts: DataFrame, weights: Sequence[float] = (0.4, 0.4, 0.2), by: Sequence[str] = ()
+) -> DataFrame:
+    """Distance 0.4(1 - IoU) + 0.4(1 - agreement) + 0.2 drift with its parts: one row, or one per model pair ``by``."""
+    means = metrics.groupBy(*by).agg(F.coalesce(F.avg("mean_iou"), F.lit(0.0)).alias("iou"), F.coalesce(F.avg("class_agreement"), F.lit(0.0)).alias("agree"))
     gap = F.sum(F.abs(F.col("c_cand") - F.col("c_ref")))
-    drift = counts.agg(F.least(F.lit(1.0), F.coalesce(gap / F.greatest(F.lit(1), F.sum("c_ref")), F.lit(0.0))).alias("drift"))
-    both = means.withColumn("_k", F.lit(1)).join(drift.withColumn("_k", F.lit(1)), "_k")
+    drift = counts.groupBy(*by).agg(F.least(F.lit(1.0), F.coalesce(gap / F.greatest(F.lit(1), F.sum("c_ref")), F.lit(0.0))).alias("drift"))
+    if by:
+        both = means.join(drift, list(by), "left").fillna(0.0, ["drift"])
+    else:
+        both = means.withColumn("_k", F.lit(1)).join(drift.withColumn("_k", F.lit(1)), "_k")
     w1, w2, w3 = (F.lit(float(w)) for w in weights)
     both = both.withColumn("_d", clamp(w1 * (1 - F.col("iou")) + w2 * (1 - F.col("agree")) + w3 * F.col("drift")))
     return both.select(
-        fixed(F.col("_d"), 6).alias("distance"), fixed(F.col("iou"), 4).alias("mean_matched_iou"), fixed(F.col("agree"), 4).alias("class_agreement_rate"),
+        *by, fixed(F.col("_d"), 6).alias("distance"), fixed(F.col("iou"), 4).alias("mean_matched_iou"), fixed(F.col("agree"), 4).alias("class_agreement_rate"),
         fixed(F.col("drift"), 4).alias("count_drift_ratio"), (F.col("_d") < 1e-4).alias("identical"), distance_band(F.col("_d")).alias("assessment"),
     )
 

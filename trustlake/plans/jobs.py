@@ -18,12 +18,12 @@ from trustlake.operators import duplicates as D
 from trustlake.operators import evidence as E
 from trustlake.operators import ingest as I
 from trustlake.operators import lineage as L
-from trustlake.operators import models as M
 from trustlake.operators import neighbours as N
 from trustlake.operators import shift as S
 from trustlake.operators import twosample as TS
 from trustlake.operators.records import verify_records  # noqa: F401  (job B4 is the operator itself)
 from trustlake.plans.checks import FINDING_COLUMNS, Check, Tables, finding_rows, run_checks
+from trustlake.plans.compare import compare_model_pairs
 from trustlake.session import cut_lineage
 
 DATA = "DATA_INTEGRITY"
@@ -175,55 +175,14 @@ def predict(inputs: DataFrame, model: Callable, schema: str) -> DataFrame:
 
 
 def compare_models(tables: Tables, candidate: str, reference: str, asset_id: str = "model") -> DataFrame:
-    """Findings of a candidate against a reference model, from whichever tables are present.
+    """Findings of one candidate against one reference; :func:`compare_model_pairs` tells which tables count.
 
-    ``weights(model_id, layer, idx, value)``, ``activations(model_id, probe_id, layer, neuron, value)``,
-    ``predictions(model_id, probe_id, top_k)``, ``detections(model_id, probe_id, ..., perturbed)``,
-    ``scores(grp, name, score)``.
+    ``scores`` may lack ``model_id``: they are the candidate's then.
     """
-    pick = lambda df, m: df.where(F.col("model_id") == m)
-    tag = lambda df: df.withColumn("asset", lit(asset_id))
-    row = lambda df, threat, severity, confidence, advice, title, metrics: finding_rows(
-        tag(df), "asset", threat, "MODEL_INTEGRITY", lit(severity), confidence, lit(advice), lit(title), metrics
-    )
-    d = F.col("distance")
-
-    def behaviour(t: Tables) -> DataFrame:
-        probabilities = M.class_probabilities(t["predictions"])
-        return M.classification_distance(pick(probabilities, candidate), pick(probabilities, reference))
-
-    def substitution(t: Tables) -> DataFrame:
-        return row(behaviour(t).where(d >= 0.25), "MT-1", "HIGH", F.least(lit(0.95), 0.70 + (d - 0.25) * 0.5), "QUARANTINE", "Potential Model Substitution", {"distance": d})
-
-    def drift(t: Tables) -> DataFrame:
-        return row(behaviour(t).where(M.drift_verdict(d)), "MT-2", "MEDIUM", lit(0.75), "REVIEW", "Behavioral Drift Detected", {"distance": d})
-
-    def layers(t: Tables) -> DataFrame:
-        stats = M.layer_stats(t["weights"])
-        changed = M.modified_layers(M.compare_layers(pick(stats, candidate), pick(stats, reference)))
-        total = changed.agg(F.count(lit(1)).alias("layers"), F.coalesce(F.max("relative_l2"), lit(0.0)).alias("top")).where("layers > 0")
-        return row(total, "MT-2", "MEDIUM", F.least(lit(0.90), 0.65 + F.col("top")), "REVIEW", "Model Parameter Modification Detected", {"layers": F.col("layers"), "max_l2": F.col("top")})
-
-    def dead(t: Tables) -> DataFrame:
-        rows = M.dead_neurons(pick(t["activations"], candidate)).where("flagged").agg(F.count(lit(1)).alias("layers"), F.max("dead_ratio").alias("top")).where("layers > 0")
-        return row(rows, "MT-4", "MEDIUM", lit(0.80), "REVIEW", "Elevated Dead Neuron Ratio", {"layers": F.col("layers"), "max_ratio": F.col("top")})
-
-    def diverged(t: Tables) -> DataFrame:
-        rows = M.activation_similarity(pick(t["activations"], candidate), pick(t["activations"], reference)).where("divergent")
-        rows = rows.agg(F.count(lit(1)).alias("layers"), F.min("similarity").alias("low")).where("layers > 0")
-        return row(rows, "MT-4", "HIGH", lit(0.85), "QUARANTINE", "Intermediate Representation Divergence", {"layers": F.col("layers"), "min_similarity": F.col("low")})
-
-    def trojan(t: Tables) -> DataFrame:
-        rows = M.mad_outlier(t["scores"], ["grp"]).where("flagged")
-        index = F.col("anomaly_index")
-        return row(rows, "MT-3", "HIGH", F.least(lit(0.95), 0.70 + (index - 2.0) * 0.05), "QUARANTINE", "Anomalous Trigger Reconstruction Pattern", {"anomaly_index": index})
-
-    checks = [
-        Check("MT-1", ("predictions",), substitution), Check("MT-2", ("predictions",), drift), Check("MT-2", ("weights",), layers),
-        Check("MT-4", ("activations",), dead), Check("MT-4", ("activations",), diverged), Check("MT-3", ("scores",), trojan),
-    ]
-    found, _ = run_checks(checks, tables)
-    return found
+    pairs = next(iter(tables.values())).sparkSession.createDataFrame([(asset_id, candidate, reference)], "asset_id string, candidate string, reference string")
+    if "scores" in tables and "model_id" not in tables["scores"].columns:
+        tables = {**tables, "scores": tables["scores"].withColumn("model_id", lit(candidate))}
+    return compare_model_pairs(tables, pairs)
 
 
 def assess(findings: DataFrame, coverage: DataFrame, policy: A.AssurancePolicy = A.DEFAULT_POLICY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -252,5 +211,5 @@ def trace_lineage(**tables: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 __all__ = [
-    "analyze_shift", "assess", "audit_evidence_store", "byte_signals", "compare_models", "predict", "scan_datasets", "trace_lineage", "verify_audit_chain", "verify_records",
+    "analyze_shift", "assess", "audit_evidence_store", "byte_signals", "compare_model_pairs", "compare_models", "predict", "scan_datasets", "trace_lineage", "verify_audit_chain", "verify_records",
 ]
