@@ -296,6 +296,22 @@ def test_scan_datasets_finds_planted_faults(spark):
     assert got["dirty"]["DT-1"]["severity"] == "CRITICAL" and "DT-1" not in got.get("clean", {})
     verdicts, _, _ = jobs.assess(findings, coverage)
     assert {r["session_id"]: r["disposition"] for r in verdicts.collect()}["dirty"] == "QUARANTINE"
+    owners = images.select("dataset_id", "image_id", F.when(F.col("image_id").isin("dirty5", "dirty6"), "copier").otherwise("unit-1").alias("contributor_id"),
+                           F.lit(None).cast("string").alias("batch_id"))
+    again, _, samples, evidence = jobs.scan_with_samples(images, annotations, classes, datasets, contributors=owners.where("dataset_id = 'dirty'"))
+    known = {r["finding_id"]: r for r in again.collect()}
+    plain = {k for d in got.values() for k in (r["finding_id"] for t, r in d.items() if t != "DT-6")}
+    assert plain <= set(known) and {r["finding_id"] for r in evidence.collect()} == set(known)
+    about = {}
+    for r in samples.collect():
+        about.setdefault(known[r["finding_id"]]["title"], {}).setdefault(r["dataset_id"], set()).add(r["image_id"])
+    assert about["Exact Duplicate Images Detected"] == {"dirty": {"dirty5", "dirty6"}}
+    assert about["Potential Backdoor Trigger Injections"] == {"dirty": {"dirty8", "dirty10", "dirty12"}}
+    assert "dirty4" in about["Potential Label Inconsistencies Detected"]["dirty"]
+    risk = {r["title"].split(": ")[1].split(" ")[0]: r["metrics"] for r in known.values() if r["threat_id"] == "DT-6"}
+    about_copies = sum(bool({"dirty5", "dirty6"} & d.get("dirty", set())) for d in about.values())
+    whole = sum(r["asset_id"] == "dirty" and r["threat_id"] != "DT-6" and r["title"] not in about for r in known.values())
+    assert risk["copier"]["images"] == 2 and risk["unit-1"]["images"] == 22 and risk["copier"]["issues"] == about_copies + whole
 
 
 def test_shift_and_model_jobs(spark):
@@ -360,9 +376,8 @@ def test_many_model_pairs_in_one_job(spark):
     iou = 0.09 / 0.21  # 0.15 wide boxes moved by 0.06; the probe without boxes agrees fully
     assert abs(behaviour["shifted"]["distance"] - 0.4 * (1 - (11 * iou + 1) / 12)) < 1e-5 and behaviour["copy"]["identical"]
     assert abs(behaviour["blind"]["count_drift_ratio"] - round(12 / 44, 4)) < 1e-9
-    for m in ("copy", "shifted", "blind"):
-        alone = jobs.compare_models(tables, m, "base", m).collect()
-        assert {(r["finding_id"], r["severity"]) for r in alone} == {(r["finding_id"], r["severity"]) for r in found if r["asset_id"] == m}
+    alone = jobs.compare_models(tables, "blind", "base", "blind").collect()
+    assert {(r["finding_id"], r["severity"]) for r in alone} == {(r["finding_id"], r["severity"]) for r in found if r["asset_id"] == "blind"}
 
 
 def test_pages_read_only_their_ranges(spark, tmp_path):

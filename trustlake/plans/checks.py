@@ -9,12 +9,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustlake.session import cut_lineage
+
 Tables = Mapping[str, DataFrame]
 FINDING_COLUMNS = (
     "finding_id", "asset_id", "session_id", "threat_id", "category", "severity", "confidence", "recommended_disposition", "ord", "title", "metrics",
 )
 
 
+class Staged(dict):
+    """Tables of a run, with results that checks share: each is computed when first asked for and then stored."""
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self:
+            self[name] = cut_lineage(make())
+        return self[name]
+
+
+def once(tables: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The shared result of a run, or a plan of its own where tables are not :class:`Staged`."""
+    return tables.once(name, make) if isinstance(tables, Staged) else make()
+
+
 @dataclass(frozen=True)
 class Check:
     """``requires`` names the tables the check reads; ``run`` returns findings built by :func:`finding_rows`."""

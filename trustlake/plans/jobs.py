@@ -22,7 +22,7 @@ from trustlake.operators import neighbours as N
 from trustlake.operators import shift as S
 from trustlake.operators import twosample as TS
 from trustlake.operators.records import verify_records  # noqa: F401  (job B4 is the operator itself)
-from trustlake.plans.checks import FINDING_COLUMNS, Check, Tables, finding_rows, run_checks
+from trustlake.plans.checks import FINDING_COLUMNS, Check, Staged, Tables, evidence_rows, finding_rows, once, run_checks
 from trustlake.plans.compare import compare_model_pairs
 from trustlake.session import cut_lineage
 
@@ -57,7 +57,8 @@ def _exact(t: Tables) -> DataFrame:
 
 def _near(t: Tables) -> DataFrame:
     narrow = t["signals"].select(KEY, "image_id", "file_hash", "dhash")
-    rows = D.near_duplicate_summary(D.near_duplicate_clusters(narrow, [KEY]), narrow, [KEY]).where("clusters > 0")
+    found = once(t, "near", lambda: D.near_duplicate_clusters(narrow, [KEY]))
+    rows = D.near_duplicate_summary(found, narrow, [KEY]).where("clusters > 0")
     return finding_rows(rows, KEY, "DT-4", DATA, lit("MEDIUM"), lit(0.85), lit("REVIEW"), lit("Perceptual Near-Duplicate Images Detected"),
                         {"clusters": F.col("clusters"), "files": F.col("files"), "ratio": F.col("ratio")})
 
@@ -80,8 +81,8 @@ def _flips(t: Tables, k: int = 5, threshold: float = 0.8) -> DataFrame:
     rows = _labelled(t)
     sizes = rows.groupBy(KEY).agg(F.count(lit(1)).alias("samples")).where(F.col("samples") > k)
     found = N.nearest(rows.join(sizes.select(KEY), KEY, "left_semi"), k, by=[KEY])
-    flipped = N.label_disagreement(found, k, threshold).groupBy(KEY).agg(F.count(lit(1)).alias("n"))
-    rows = flipped.join(sizes, KEY).withColumn("ratio", F.col("n") / F.col("samples"))
+    flipped = once(t, "flipped", lambda: N.label_disagreement(found, k, threshold))
+    rows = flipped.groupBy(KEY).agg(F.count(lit(1)).alias("n")).join(sizes, KEY).withColumn("ratio", F.col("n") / F.col("samples"))
     return finding_rows(rows, KEY, "DT-2", DATA, F.when(F.col("ratio") > 0.05, "HIGH").otherwise("MEDIUM"), _ratio_confidence(0.70, 0.5, 0.95),
                         lit("REVIEW"), lit("Potential Label Inconsistencies Detected"), {"samples": F.col("n"), "ratio": F.col("ratio")})
 
@@ -94,7 +95,8 @@ def _confusion(t: Tables) -> DataFrame:
 
 def _outliers(t: Tables, sigma: float = 3.0) -> DataFrame:
     images = t["signals"].groupBy(KEY).agg(F.count(lit(1)).alias("images"))
-    rows = C.class_outliers(_labelled(t, 0), sigma, by=[KEY]).groupBy(KEY).agg(F.count(lit(1)).alias("n"), F.max("score").alias("top"))
+    found = once(t, "outliers", lambda: C.class_outliers(_labelled(t, 0), sigma, by=[KEY]))
+    rows = found.groupBy(KEY).agg(F.count(lit(1)).alias("n"), F.max("score").alias("top"))
     rows = rows.join(images, KEY).withColumn("ratio", F.col("n") / F.col("images"))
     return finding_rows(rows, KEY, "DT-5", DATA, lit("MEDIUM"), _ratio_confidence(0.60, 0.4, 0.85), lit("REVIEW"),
                         lit("Potential Out-of-Distribution Samples"), {"samples": F.col("n"), "ratio": F.col("ratio"), "max_score": F.round("top", 3)})
@@ -106,31 +108,76 @@ DATA_CHECKS = (
 )
 
 
-def scan_datasets(
-    images: DataFrame, annotations: DataFrame, classes: DataFrame, datasets: DataFrame, requested: Sequence[str] | None = None,
-    extractor: Callable[[Column], Column] = byte_features, checks: Sequence[Check] = DATA_CHECKS,
-) -> tuple[DataFrame, DataFrame]:
-    """Findings and coverage of every dataset. Bytes are read once; all checks work on the stored signals.
+def _samples(t: Staged, threshold: float = 0.55) -> DataFrame:
+    """``dataset_id, image_id, threat_id, title, cluster, score``: what the findings of the run are about."""
+    signals = t["signals"]
+    none = lit(None)
+
+    def rows(df: DataFrame, threat: str, title: str, cluster: Column = none, score: Column = none) -> DataFrame:
+        return df.select(KEY, F.col("image_id").cast("string").alias("image_id"), lit(threat).alias("threat_id"), lit(title).alias("title"),
+                         cluster.cast("string").alias("cluster"), score.cast("double").alias("score"))
+
+    shared = D.exact_duplicates(signals.select(KEY, "file_hash"), [KEY])
+    parts = [
+        rows(signals.join(shared, [KEY, "file_hash"], "left_semi"), "DT-4", "Exact Duplicate Images Detected", F.col("file_hash")),
+        rows(signals.where(F.col("edge.score") >= threshold), "DT-1", "Potential Backdoor Trigger Injections", score=F.col("edge.score")),
+    ]
+    if "near" in t:
+        parts.append(rows(t["near"], "DT-4", "Perceptual Near-Duplicate Images Detected", F.col("cluster")))
+    if "flipped" in t:
+        parts.append(rows(t["flipped"], "DT-2", "Potential Label Inconsistencies Detected", F.col("consensus"), F.col("disagreement")))
+    if "outliers" in t:
+        parts.append(rows(t["outliers"], "DT-5", "Potential Out-of-Distribution Samples", score=F.col("score")))
+    return reduce(DataFrame.unionByName, parts)
 
-    ``images(dataset_id, image_id, ord, content)``; ``datasets(dataset_id, contributor_id, batch_id)``.
+
+def scan_datasets(images: DataFrame, annotations: DataFrame, classes: DataFrame, datasets: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """Findings and coverage of every dataset; arguments as for :func:`scan_with_samples`."""
+    return scan_with_samples(images, annotations, classes, datasets, *args, **options)[:2]
+
+
+def scan_with_samples(
+    images: DataFrame, annotations: DataFrame, classes: DataFrame, datasets: DataFrame, requested: Sequence[str] | None = None,
+    extractor: Callable[[Column], Column] = byte_features, checks: Sequence[Check] = DATA_CHECKS, contributors: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Findings, coverage, the samples of each finding and its evidence rows. Bytes are read once; checks work on stored signals.
+
+    ``images(dataset_id, image_id, ord, content)``; ``datasets(dataset_id, contributor_id, batch_id)``. Samples are rows
+    ``finding_id, dataset_id, image_id, cluster, score``, whole whatever their number. With ``contributors(dataset_id,
+    image_id, contributor_id, batch_id)`` a finding counts for those whose images it is about, and a finding without
+    samples for all of the dataset; else for the contributors that ``datasets`` names.
     """
     signals = cut_lineage(byte_signals(images, extractor))
     sizes = signals.groupBy(KEY).agg(F.count(lit(1)).alias("images")).join(
         classes.groupBy(KEY).agg(F.count_distinct("class_id").alias("classes")), KEY, "left"
     ).fillna(0, ["classes"])
     coverage = I.coverage(sizes, requested)
-    found, _ = run_checks(checks, {"signals": signals, "annotations": annotations, "classes": classes}, requested)
+    tables = Staged(signals=signals, annotations=annotations, classes=classes)
+    found, _ = run_checks(checks, tables, requested)
     ready = coverage.where("state = 'executed'").select(F.col(KEY).cast("string").alias("asset_id"), F.col("analysis_id").alias("threat_id"))
     findings = cut_lineage(found.join(ready, ["asset_id", "threat_id"], "left_semi").select(*FINDING_COLUMNS))
-    owners = datasets.select(F.col(KEY).cast("string").alias("asset_id"), "contributor_id", "batch_id")
-    owned = findings.join(owners, "asset_id")
-    pictures = sizes.select(F.col(KEY).cast("string").alias("asset_id"), "images").join(owners, "asset_id").groupBy("asset_id", "contributor_id", "batch_id").agg(
-        F.sum("images").alias("images")
-    )
+    coverage = coverage.withColumn("session_id", F.col(KEY).cast("string"))
+    named = findings.select("finding_id", "asset_id", "threat_id", "title")
+    samples = _samples(tables).withColumn("asset_id", F.col(KEY).cast("string")).join(named, ["asset_id", "threat_id", "title"])
+    samples = samples.select("finding_id", KEY, "image_id", "cluster", "score")
     if requested and not {"DT-6", "AUTO"} & set(requested):
-        return findings, coverage.withColumn("session_id", F.col(KEY).cast("string"))
-    risk = _contributor(owned, pictures)
-    return findings.unionByName(risk), coverage.withColumn("session_id", F.col(KEY).cast("string"))
+        return findings, coverage, samples, evidence_rows(findings)
+    who = ["contributor_id", "batch_id"]
+    if contributors is None:
+        owners = datasets.select(F.col(KEY).cast("string").alias("asset_id"), *who)
+        owned = findings.join(owners, "asset_id")
+        pictures = sizes.select(F.col(KEY).cast("string").alias("asset_id"), "images").join(owners, "asset_id")
+    else:
+        owners = contributors.select(F.col(KEY).cast("string").alias("asset_id"), F.col("image_id").cast("string").alias("image_id"), *who)
+        samples = cut_lineage(samples)
+        touched = samples.select("finding_id", F.col(KEY).cast("string").alias("asset_id"), "image_id").join(owners, ["asset_id", "image_id"])
+        about = touched.select("finding_id", *who).distinct()
+        general = findings.join(samples.select("finding_id").distinct(), "finding_id", "left_anti")
+        owned = findings.join(about, "finding_id").unionByName(general.join(owners.select("asset_id", *who).distinct(), "asset_id"))
+        pictures = owners.groupBy("asset_id", *who).agg(F.count(lit(1)).alias("images"))
+    pictures = pictures.groupBy("asset_id", *who).agg(F.sum("images").alias("images"))
+    findings = findings.unionByName(_contributor(owned, pictures))
+    return findings, coverage, samples, evidence_rows(findings)
 
 
 def _contributor(owned: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -211,5 +258,5 @@ def trace_lineage(**tables: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 __all__ = [
-    "analyze_shift", "assess", "audit_evidence_store", "byte_signals", "compare_model_pairs", "compare_models", "predict", "scan_datasets", "trace_lineage", "verify_audit_chain", "verify_records",
+    "analyze_shift", "assess", "audit_evidence_store", "byte_signals", "compare_model_pairs", "compare_models", "predict", "scan_datasets", "scan_with_samples", "trace_lineage", "verify_audit_chain", "verify_records",
 ]
