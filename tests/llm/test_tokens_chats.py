@@ -113,3 +113,14 @@ def test_very_common_conversation(spark):
     rows = [(c, t, "user", f"turn {t}") for c in range(600) for t in range(3 if c % 2 else 2)]
     got = snapshots.collapse_snapshots(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r["conv_id"], r["copies"]) for r in got} == {(1, 300)} and len(got) == 3
+
+
+def test_latin_words_get_the_ids_of_the_whole_tokenizer():
+    """Every letter below U+0250 and its neighbours, alone, inside words, in capitals and before marks."""
+    words = [f"{a}{chr(i)}{b}" for i in range(33, 0x260) for a, b in (("", ""), ("a", "e"), ("X", "."), ("", ","), ("\u00c7\u0130", "\u0308"))]
+    texts = [" ".join(words), " ".join(reversed(words)), "e\u0301t\u00e9 \u00c9T\u00c9. na\u00efve, \u023a\u023e \u01c4x ` a\u0300 \u1e9e \u0394\u03a3"]
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = False
+    got = eliasfano.Words(PATH, "<u4").encode(texts, 1)
+    for text, raw in zip(texts, got):
+        assert np.frombuffer(raw, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]

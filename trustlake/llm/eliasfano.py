@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -115,41 +116,53 @@ def _block(number: int, keys: list[int | None], parts: list[bytes], width: int)
 #: What str.split takes for white space but the tokenizer does not.
 ODD_BLANK = re.compile("[\x1c-\x1f\x85]")
 ASCII_WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
+#: Letters below this point are in composed form and lower-case one by one; all but U+0130, which becomes two characters.
+LATIN_END, DOTTED = "\u0250", "\u0130"
+
+
+def latin_bytes() -> dict[int, str]:
+    """How the byte-level alphabet writes each lower-case Latin letter beyond ASCII: printable bytes stand for
+    themselves, the others for the code points from 256 up."""
+    spare = iter(range(256, 512))
+    shown = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(spare)) for b in range(256)]
+    lower = {c for i in range(128, ord(LATIN_END)) for c in chr(i).lower()}
+    return {ord(c): "".join(shown[b] for b in c.encode()) for c in lower}
 
 
 class Words:
     """Ids of texts through a cache of words.
 
     The tokenizer cuts texts at white space before anything else, so the ids of a text are those of its words in order.
-    A plain word of ASCII letters, the bulk of all words, goes to the model without the costly normalising steps, which
+    A word of Latin letters, the bulk of all words, goes to the model without the costly normalising steps, which
     leave it as it is but for its case; every other word takes the whole way.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 250_000):
+    def __init__(self, path: str, dtype: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
-        self.model, self.dtype, self.most = self.tokenizer.model, dtype, most
+        self.model, self.pack, self.most = self.tokenizer.model, "H" if dtype == "<u2" else "I", most
+        self.latin = latin_bytes()
         # Two generations: when the newer one is full it becomes the older, which words in use move out of again.
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # ids by what the model is given, apart from the words of texts
         self.marks = {m: self._raw(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
 
     def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.pack}", *ids)
 
     def _letters(self, word: str) -> bytes:
-        found = self.known.get(word) or self.old.get(word)
+        found = self.pieces.get(word)
         if found is None:
-            found = self._raw([t.id for t in self.model.tokenize(word)])
-        self.known[word] = found
+            found = self.pieces[word] = self._raw([t.id for t in self.model.tokenize(word)])
         return found
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > self.most:
-            self.old, self.known = self.known, {}
+            self.old, self.known, self.pieces = self.known, {}, {}
         known, old, marks, others = self.known, self.old, self.marks, []
         for word in words:
             if word in known:
@@ -158,8 +171,9 @@ class Words:
                 known[word] = raw
                 continue
             core = word[:-1] if word[-1] in marks else word
-            if core.isascii() and core.isalpha():
-                known[word] = self._letters(core.lower()) + (marks[word[-1]] if core is not word else b"")
+            if core.isalpha() and max(core) < LATIN_END and DOTTED not in core:
+                letters = core.lower() if core.isascii() else core.lower().translate(self.latin)
+                known[word] = self._letters(letters) + (marks[word[-1]] if core is not word else b"")
             else:
                 others.append(word)
         for start in range(0, len(others), 2000):
@@ -172,7 +186,7 @@ class Words:
         split = [ASCII_WORD.findall(t) if ODD_BLANK.search(t) else t.split() for t in texts]
         self.learn(set().union(*split))
         known = self.known
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        return [b"".join(map(known.__getitem__, words)) + end for words in split]
 
 
 @lru_cache(maxsize=1)
